@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, mixing, pii, quality_rules, simhash
+from . import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash
 from .common import table
 
 
@@ -26,6 +26,16 @@ def held_out(id_column: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts == part, F.lit(True))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
     model = language_id.train(docs.filter("NOT held_out"))
@@ -36,11 +46,17 @@ def op8_low_discrepancy_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0))
+    return quality_classifier.score(docs, labels).withColumn("held_out", held_out("doc_id", 5, 0))
+
+
 def op10_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op4_anchor_expansion, op5_two_pass_bloom, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op10_bit_sliced_simhash)}
+QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash)}
 
 _LIMITS = " AND ".join(["100 * dup_line_chars <= 20 * word_chars", *(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in quality_rules.NGRAM_LIMITS.items())])
 _GRAMS = quality_rules.NGRAM_LIMITS
