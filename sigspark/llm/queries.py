@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash
+from . import exact_dedup, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
 from .common import table
 
 
+def op1_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[c for c in found.columns if c.startswith("dup_")])
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op4_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,7 @@ def op10_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_repetition_coverage, op3_stupid_backoff, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash)}
 
 _LIMITS = " AND ".join(["100 * dup_line_chars <= 20 * word_chars", *(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in quality_rules.NGRAM_LIMITS.items())])
 _GRAMS = quality_rules.NGRAM_LIMITS
