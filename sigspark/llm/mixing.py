@@ -105,3 +105,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column:
     taken = pieces.groupBy(F.col("sid").alias("_sid"), F.col("at").alias("_at")).agg(F.sum("length").alias("words"))
     joined = laid.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
     return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+
+
+def repeat_as_taken(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with every row as often as the mix takes its words, rounded to whole documents.
+
+    Rows with equal id and size share what their places take evenly, as far as whole copies go. Documents without words
+    are not taken. All columns stay as they are.
+    """
+    taken = mix(docs, text, source, id_column)
+    copies = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_n"))
+    copies = copies.filter("_size > 0").withColumn("_copies", F.floor(F.col("_taken") / (F.col("_size") * F.col("_n")) + 0.5).cast("int")).filter("_copies > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("_i"), F.col(source).alias("_s"), word_count(F.col(text)).alias("_z"))
+    same = F.col("_i").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_z") == F.col("_size"))
+    return rows.join(copies, same).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -66,6 +66,15 @@ def op10_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_repetition_coverage, op3_stupid_backoff, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash)}
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 _LIMITS = " AND ".join(["100 * dup_line_chars <= 20 * word_chars", *(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in quality_rules.NGRAM_LIMITS.items())])
 _GRAMS = quality_rules.NGRAM_LIMITS
 
