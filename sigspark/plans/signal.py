@@ -130,9 +130,9 @@ def sig_ranks(spark, d):
 _FILL = ", b AS (SELECT series_id, channel, idx, x, last_value(x IGNORE NULLS) OVER p AS a, first_value(x IGNORE NULLS) OVER q AS b, last_value(CASE WHEN x IS NOT NULL THEN idx END IGNORE NULLS) OVER p AS i, first_value(CASE WHEN x IS NOT NULL THEN idx END IGNORE NULLS) OVER q AS j FROM sig_hourly WINDOW p AS (PARTITION BY series_id, channel ORDER BY idx ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY series_id, channel ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), filled AS (SELECT series_id, channel, idx, coalesce(x, a + (b - a) * ((idx - i) / nullif((j - i)::DOUBLE, 0)), a, b) AS x FROM b)"
 
 
-@query(_FILL + " SELECT series_id, channel, idx, round(x, 6) AS x FROM filled", "sig_hourly")
+@query(_FILL + " SELECT series_id, channel, idx, round(x, 8) AS x FROM filled", "sig_hourly")
 def sig_gapfill(spark, d):
-    return rounded(op.filled(sig_hourly(spark, d), H), "x")
+    return op.filled(sig_hourly(spark, d), H).withColumn("x", F.round("x", 8))
 
 
 @query("SELECT series_id, idx, round(x - (regr_slope(x, idx) OVER w * idx + regr_intercept(x, idx) OVER w), 6) + 0e0 AS d, round(x - avg(x) OVER w, 6) + 0e0 AS c FROM sig_emb WINDOW w AS (PARTITION BY series_id)", "sig_emb")
