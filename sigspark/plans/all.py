@@ -1,6 +1,6 @@
 """Every registered query."""
 
-from . import coupled, signal, spectrum  # noqa: F401
+from . import bundled, coupled, kernels, signal, spectrum, tables  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
