@@ -44,6 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_hot(left: DataFrame, left_key: str, right: DataFrame, right_key: str, how: str = "inner") -> DataFrame:
+    """A join of hot keys with one row per key. The hash as a second key keeps Spark from reusing the partitions of an
+    aggregation on the right, so both sides have an exchange of their own and skewed partitions of the left are split."""
+    right = right.withColumn("_join_hash", F.xxhash64(right_key))
+    return left.join(right, (F.xxhash64(left_key) == F.col("_join_hash")) & (F.col(left_key) == F.col(right_key)), how).drop("_join_hash")
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

@@ -17,6 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import join_hot
+
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 28
 _BLOCK_WORDS = 4096
@@ -95,7 +97,7 @@ def mark_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     single = rows.filter(~F.col("_again")).select(*docs.drop(*ADDED).columns, F.col(id_column).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("_again")
     best = maybe.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max(F.struct(F.col(id_column).alias("id"), F.col("_row").alias("row"))).alias("_best"), F.count("*").alias("group_size"))
-    grouped = maybe.join(best, F.col("text_sha256") == F.col("_sha")).select(
+    grouped = join_hot(maybe, "text_sha256", best, "_sha").select(
         *docs.drop(*ADDED).columns, F.col("_best.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best.row")).alias("kept"), "text_sha256"
     )
     return single.unionByName(grouped)
