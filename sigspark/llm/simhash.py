@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_hot
 from .components import components
 
 RADIUS = 2
@@ -181,7 +181,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = prints.select("print").distinct()
     keyed = distinct.select("print", F.explode(pair_keys(F.col("print"), edges)).alias("key"))
     shared = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = keyed.join(shared, F.col("key") == F.col("k")).select("key", "print", (F.col("n") > HOT).alias("hot"))
+    keyed = join_hot(keyed, "key", shared, "k").select("key", "print", (F.col("n") > HOT).alias("hot"))
     cold = keyed.filter("NOT hot").select("key", F.lit(-1).cast("long").alias("sub"), "print")
     # The bits outside the pair, drawn together, are cut into parts again.
     rest = None
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     rooted = cut_lineage(rooted)
     names = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     of_print = rooted.join(names, F.col("root") == F.col("r")).select(F.col("print").alias("p"), "component_id")
-    joined = prints.join(of_print, F.col("print") == F.col("p"))
+    joined = join_hot(prints, "print", of_print, "p")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
