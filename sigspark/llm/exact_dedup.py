@@ -83,23 +83,28 @@ def _probe(hashes: DataFrame, bits: int):
     return may_repeat
 
 
-def mark_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with keep_id, group_size, kept and text_sha256.
+def mark_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", max_bits: int = MAX_BITS, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all, if None) of ``docs`` with keep_id, group_size, kept and text_sha256.
 
     Equal texts form a group; the row with the largest id stays, a null id being the smallest. Of rows that repeat the
-    same id and text exactly one stays. A null text is empty, and all empty texts are equal. Nothing is normalised, whole
-    texts are hashed. An empty table gives no rows. Input columns named like an added one are replaced.
+    same id and text exactly one stays: they are told apart by a hash of their other columns, and rows alike in all
+    columns collapse to one with a count, which is dealt out again at the end. A null text is empty, and all empty texts
+    are equal. Nothing is normalised, whole texts are hashed. An empty table gives no rows. Input columns named like an
+    added one are replaced.
     """
+    columns = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+    kinds = dict(docs.dtypes)
+    told_apart = [F.col(f"`{c}`") for c in columns if c != text and "map<" not in kinds[c]]
     bits = min(max_bits, 1 << max(18, (BITS_PER_ROW * docs.count() - 1).bit_length()))
-    rows = docs.drop(*ADDED).withColumn("text_sha256", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    rows = rows.withColumn("_hash", F.xxhash64("text_sha256")).withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(id_column).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"), (F.xxhash64(*told_apart) if told_apart else F.lit(0).cast("long")).alias("_rest"))
+    rows = rows.withColumn("_hash", F.xxhash64("text_sha256"))
     rows = rows.withColumn("_again", _probe(rows.select("_hash"), bits)("_hash"))
-    single = rows.filter(~F.col("_again")).select(*docs.drop(*ADDED).columns, F.col(id_column).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = rows.filter("_again")
-    best = maybe.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max(F.struct(F.col(id_column).alias("id"), F.col("_row").alias("row"))).alias("_best"), F.count("*").alias("group_size"))
-    grouped = join_hot(maybe, "text_sha256", best, "_sha").select(
-        *docs.drop(*ADDED).columns, F.col("_best.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best.row")).alias("kept"), "text_sha256"
-    )
+    single = rows.filter(~F.col("_again")).select("_doc.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alike = rows.filter("_again").groupBy("text_sha256", "_id", "_rest").agg(F.first("_doc").alias("_doc"), F.count("*").alias("_n"))
+    best = alike.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max(F.struct("_id", "_rest")).alias("_best"), F.sum("_n").alias("group_size"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")
+    stays = F.struct("_id", "_rest").eqNullSafe(F.col("_best")) & (F.col("_copy") == 1)
+    grouped = join_hot(alike, "text_sha256", best, "_sha").select("*", each).select("_doc.*", F.col("_best._id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256")
     return single.unionByName(grouped)
 
 

@@ -26,7 +26,7 @@ def op4_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_two_pass_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
 
 
 def held_out(id_column: str, parts: int, part: int):
