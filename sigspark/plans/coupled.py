@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S, special
 from ..operators import coupling as cp, features as ft, series as op, spectral as sp, statistics as st, surrogates as su
 from .registry import pair_emb, query, r6, rounded, sig_emb, sig_hourly
+from .signal import _FILL
 
 P = ["pair_id"]
 SCALES = [4, 8, 16]
@@ -185,9 +186,8 @@ def perm_cluster_two_sample(spark, d):
     return rounded(su.cluster_test_two_sample(v, 20, 1.5), "p").withColumn("mass", F.round("mass", 5) + 0.0)
 
 
-@query(None)
-def cpl_peak_significance(spark, d):
-    """Click against view activity per user bucket: gap fill, windowed lag search, peak, Fisher z, t against 0, FDR."""
+def _peak_statistic(spark, d):
+    """Click against other activity per user bucket: gap fill, windowed lag search, peak, Fisher z, t against 0."""
     h = op.filled(sig_hourly(spark, d), ["series_id", "channel"])
     base = h.filter("channel = 'click'").select("series_id", "idx", "x")
     other = h.filter("channel <> 'click'").select("series_id", "idx", "channel", F.col("x").alias("y"))
@@ -195,5 +195,16 @@ def cpl_peak_significance(spark, d):
     keys = ["series_id", "channel"]
     top = cp.peaks(cp.windowed_xcorr(pairs, 48, 24, 6, keys), [*keys, "w"])
     subject = top.groupBy(*keys).agg(F.avg(S.fisher_z("peak_r")).alias("z"), F.avg("peak_lag").alias("lag"))
-    tested = st.t_one_sample(subject, ["channel"], "z", with_p=False)
+    return st.t_one_sample(subject, ["channel"], "z", with_p=False)
+
+
+@query(_FILL + ", pairs AS (SELECT a.series_id, b.channel, a.idx, a.x, b.x AS y FROM filled a JOIN filled b ON a.series_id = b.series_id AND a.idx = b.idx AND a.channel = 'click' AND b.channel <> 'click'), w AS (SELECT series_id, channel, w.w, idx - w.w * 24 AS pos, x, y FROM pairs, (SELECT range AS w FROM range(29)) w WHERE idx >= w.w * 24 AND idx < w.w * 24 + 48), z AS (SELECT series_id, channel, w, pos, x - avg(x) OVER g AS x, y - avg(y) OVER g AS y, stddev_pop(x) OVER g AS sx, stddev_pop(y) OVER g AS sy FROM w WINDOW g AS (PARTITION BY series_id, channel, w)), xc AS (SELECT a.series_id, a.channel, a.w, l.range AS lag, sum(a.x * b.y) / (any_value(a.sx) * any_value(a.sy) * 48 + 1e-12) AS r FROM z a, range(-6, 7) l, z b WHERE a.series_id = b.series_id AND a.channel = b.channel AND a.w = b.w AND b.pos = a.pos - l.range GROUP BY a.series_id, a.channel, a.w, l.range), p AS (SELECT series_id, channel, w, arg_max(r, (round(r, 9), -lag)) AS r FROM xc GROUP BY ALL), s AS (SELECT series_id, channel, avg(atanh(greatest(least(r, 0.9999), -0.9999))) AS z FROM p GROUP BY ALL) SELECT channel, count(z)::BIGINT AS n, round(avg(z), 6) AS mean, round(avg(z) / (stddev_samp(z) / sqrt(count(z))), 5) AS t, (count(z) - 1)::DOUBLE AS df FROM s GROUP BY channel", "sig_hourly")
+def cpl_peak_statistic(spark, d):
+    return rounded(_peak_statistic(spark, d), "mean").withColumn("t", F.round("t", 5))
+
+
+@query(None)
+def cpl_peak_significance(spark, d):
+    """The flagship: which activities couple with clicks, with p and its correction over activities."""
+    tested = _peak_statistic(spark, d)
     return st.bh_fdr(tested.withColumn("p", special.t_p("t", "df"))).select("channel", "n", r6("mean").alias("mean_z"), r6("t").alias("t"), r6("p").alias("p"), r6("p_fdr").alias("p_fdr"))
