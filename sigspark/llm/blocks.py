@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,16 @@ ANSWERED = "block long, kind int, bucket int, answer binary"
 
 
 def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=5).compress(data)
 
 
 def restored(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, data, at in steps(batch.column(1), BLOCK_BYTES):
+        for first, end, data, at in steps(batch.column(1), size):
             ids = batch.column(0).slice(first, end - first)
             words = len(word_bounds(data, at)[0])
             yield pa.RecordBatch.from_arrays(
@@ -44,12 +45,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def into_blocks(docs: DataFrame, text: str, id_column: str) -> DataFrame:
+def into_blocks(docs: DataFrame, text: str, id_column: str, size: int = BLOCK_BYTES) -> DataFrame:
     """block, ids, sizes, words, data: a table in the shared folder. A null text is empty; a long one is a block alone."""
     spark = docs.sparkSession
     at = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows.mapInArrow(_blocks, "block long, ids array<long>, sizes array<long>, words long, data binary").write.option("compression", "none").parquet(at)
+    rows.mapInArrow(partial(_blocks, size=size), "block long, ids array<long>, sizes array<long>, words long, data binary").write.option("compression", "none").parquet(at)
     return spark.read.parquet(at)
 
 

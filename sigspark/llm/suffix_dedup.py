@@ -1,11 +1,10 @@
 """Removal of repeated substrings by blockwise suffix sorting with a difference cover.
 
-Windows of ``LENGTH`` bytes that are equal have the same minimizer, the least hash of their 32-byte substrings, so runs
+Windows of ``LENGTH`` bytes that are equal have the same minimizer, the least hash of their 64-byte substrings, so runs
 of windows with one minimizer are the suffix buckets, and each is sorted by itself. Minimizers that one window run alone
 has, and runs that are equal throughout, need no sorting: a table of minimizers by hash settles them. The text of the
-others goes to its bucket. There, positions of a difference cover modulo ``PERIOD`` are ranked by prefix doubling; other
-suffixes are sorted by their first ``PERIOD`` bytes, and ties are resolved by the ranks of two cover positions at the
-same distance from both. Neighbours that share ``LENGTH`` bytes are repeats. A minimizer of more than ``HOT`` runs, such
+others goes to its bucket. There, positions of a difference cover modulo ``PERIOD`` are ranked by prefix doubling;
+suffixes that agree at the start are ordered by the ranks of two cover positions at the same distance from both. Neighbours that share ``LENGTH`` bytes are repeats. A minimizer of more than ``HOT`` runs, such
 as one at the rim of a passage that very many documents quote, is split: its windows are looked up by their own hashes.
 """
 
@@ -21,34 +20,50 @@ from .blocks import ANSWERED, ASKED, answers, asked, bucket_count, bucket_edges,
 from .common import Rolling, per_document
 
 LENGTH = 200
-MINIMIZER = 32
+MINIMIZER = 64
 HOT = 1024
 _LONGEST_RUN = 1024
-_SORT_BYTES = 1 << 21
+_SORT_BYTES = 1 << 19
+#: Windows that are alone with their first so many bytes are no repeats and need no place in the order.
+_PREFIX = 100
 #: A perfect difference cover: every distance modulo PERIOD is a difference of two members. Fixed values.
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+PERIOD = 7
+COVER = (1, 2, 4)
 _MINIMIZERS, _TEXTS, _NAMES = 1, 2, 3
+_PLACE_BITS = np.uint64(21)
+_PIECE = (1 << 21) - 256
 _ALONE, _SAME, _MIXED, _CROWDED = 0, 1, 2, 3
 
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER) for s in range(PERIOD)] for r in range(PERIOD)])
 
 
+def _leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For every ``width`` successive hashes the least one's upper bits, and its place in the lower bits (leftmost of equal
+    ones, modulo a piece). Pieces of a long text overlap, so a result depends on its own window only."""
+    n = max(0, len(hashes) - width + 1)
+    out = np.empty(n, np.uint64)
+    for low in range(0, n, _PIECE):
+        high = min(n, low + _PIECE)
+        x = hashes[low : high + width - 1] >> _PLACE_BITS << _PLACE_BITS
+        x |= np.arange(len(x), dtype=np.uint64)
+        span = 1
+        while 2 * span <= width:
+            x = np.minimum(x[:-span], x[span:])
+            span *= 2
+        out[low:high] = np.minimum(x[: high - low], x[width - span : width - span + high - low])
+    return out
+
+
 class Runs:
     """The runs of windows of a block: first window, number of windows, minimizer, hash of the run's bytes."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         self.hashes = Rolling.of_bytes(data)
-        least = self.hashes.windows(MINIMIZER)
-        span, width = 1, LENGTH - MINIMIZER + 1
-        while 2 * span <= width and len(least) > span:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if len(least) > width - span:
-            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+        least = _leftmost_minima(self.hashes.windows(MINIMIZER), LENGTH - MINIMIZER + 1)
         room = np.maximum(np.diff(at) - LENGTH + 1, 0)
         windows = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(room)[:-1])), room) + np.arange(room.sum())
-        keys = least[windows] if len(windows) else np.zeros(0, np.uint64)
+        least = least[windows] if len(windows) else np.zeros(0, np.uint64)
+        keys = least >> _PLACE_BITS << _PLACE_BITS
         new = np.ones(len(windows), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (windows[1:] != windows[:-1] + 1)
         begin = np.flatnonzero(new)
@@ -60,17 +75,14 @@ class Runs:
             n = np.minimum(left, _LONGEST_RUN)
         self.start = windows[begin] if len(begin) else begin
         self.n, self.key = n, keys[begin]
+        moved = np.zeros(len(windows), bool)
+        moved[1:] = least[1:] != least[:-1]
+        moved[begin] = False
+        #: The leftmost place of the minimizer moves inside the run; else no two windows of it are equal.
+        self.repetitive = np.add.reduceat(moved, begin, dtype=np.int64) > 0 if len(begin) else moved
         self.hash = self.hashes.between(self.start, self.start + n + LENGTH - 1)
         self.keys, self.of_key = np.unique(self.key, return_inverse=True)
 
-    def repetitive(self) -> np.ndarray:
-        """Whether the minimizer occurs twice in a run: without that, no two windows of the run are equal."""
-        if not len(self.n):
-            return np.zeros(0, bool)
-        n = self.n + LENGTH - MINIMIZER
-        found = self.hashes.windows(MINIMIZER)[_ranges(self.start, n)] == np.repeat(self.key, n)
-        return np.add.reduceat(found, np.cumsum(n) - n, dtype=np.int64) > 1
-
     def chosen(self, verdict: np.ndarray, what: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct runs with this verdict by (minimizer, hash): their numbers and counts; all runs with it, and which distinct one each is."""
         runs = np.flatnonzero(verdict[self.of_key] == what)
@@ -91,7 +103,7 @@ def _minimizers(batch: pa.RecordBatch, row: int):
     order = np.argsort(runs.of_key, kind="stable")
     first = np.searchsorted(runs.of_key[order], np.arange(len(runs.keys)))
     # A run that repeats itself counts as two different ones, which are sorted.
-    itself = runs.repetitive().astype(np.uint64)
+    itself = runs.repetitive.astype(np.uint64)
     low = np.minimum.reduceat((runs.hash & ~itself)[order], first) if len(order) else runs.hash
     high = np.maximum.reduceat((runs.hash | itself)[order], first) if len(order) else runs.hash
     times = np.minimum(np.bincount(runs.of_key, 1.0 + itself, len(runs.keys)), 65535).astype("<u2")
@@ -173,13 +185,7 @@ def cover_ranks(code: np.ndarray, word: np.ndarray, end: np.ndarray, depth: int)
     rank = np.zeros(len(code), np.int64)
     if not len(place):
         return rank
-    parts = [word[place], word[place + 8], word[place + 16], word[place + 24] >> np.uint64(8)]
-    order = np.lexsort(parts[::-1])
-    new = np.zeros(len(place), bool)
-    new[0] = True
-    for p in parts:
-        new[1:] |= p[order[1:]] != p[order[:-1]]
-    rank[place[order]] = np.cumsum(new)
+    rank[place] = np.unique(word[place] >> np.uint64(8), return_inverse=True)[1] + 1
     reach = PERIOD
     while reach < depth and rank.max() < len(place):
         later = place + reach
@@ -202,15 +208,10 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH)
     end[_ranges(lead, sizes)] = np.repeat(lead + sizes, sizes)
     windows = _ranges(lead, sizes - length + 1)
     out = np.zeros(len(windows), bool)
-    # Sort by the first PERIOD bytes; a window alone in its class is no repeat.
-    parts = [word[windows], word[windows + 8], word[windows + 16], word[windows + 24] >> np.uint64(8)]
-    order = np.lexsort(parts[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([p[order[1:]] != p[order[:-1]] for p in parts])
-    group = np.cumsum(new) - 1
-    tied = np.bincount(group)[group] > 1 if len(group) else new
-    order, group = order[tied], group[tied]
+    prefix = Rolling.of_bytes(code).between(windows, windows + min(length, _PREFIX))
+    _, group, times = np.unique(prefix, return_inverse=True, return_counts=True)
+    order = np.flatnonzero(times[group] > 1)
+    group = group[order]
     if not len(order):
         return out
     rank = cover_ranks(code, word, end, int(sizes.max()))

@@ -52,15 +52,15 @@ def test_against_brute_force(table, hot):
 def test_small_blocks(spark, table, block, monkeypatch):
     texts = corpus()
     docs = table(list(enumerate(texts)))
-    from sigspark.llm import blocks
-
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
-    rows = [(i, (t or "").encode()) for i, t in enumerate(texts)]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t.decode() for _, t in rows])], ["doc_id", "text"])
-    made = pa.Table.from_batches(list(blocks._blocks(iter([batch]))))
+    from sigspark.llm import blocks
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    made = pa.Table.from_batches(list(blocks._blocks(iter([batch]), block)))
+    assert len(made) > 1
     assert sum(len(x) for x in made["ids"].to_pylist()) == len(texts)
+    monkeypatch.setattr(s, "into_blocks", lambda docs, text, ids: blocks.into_blocks(docs, text, ids, block))
     assert got(docs.repartition(7)) == brute(texts)
 
 
