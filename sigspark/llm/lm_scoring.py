@@ -16,6 +16,8 @@ from .common import Rolling, mixed, per_document, word_bounds
 
 ORDER = 2
 BACKOFF = 0.4
+#: Larger blocks ask about fewer keys: a key is asked about once per block.
+BLOCK_BYTES = 4_000_000
 
 
 def _grams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -31,11 +33,24 @@ def _grams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[list[tuple[np.
     return out, first
 
 
+def _times(counts: np.ndarray) -> bytes:
+    """A bit for each key, whether it occurs more than once, and the counts of those that do."""
+    more = counts > 1
+    return np.packbits(more).tobytes() + squeezed(counts[more].astype("<u4").tobytes())
+
+
+def _untimed(data: bytes, n: int) -> np.ndarray:
+    counts = np.ones(n, np.int64)
+    more = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8))[:n].astype(bool)
+    counts[more] = np.frombuffer(restored(data[(n + 7) // 8 :]), "<u4")
+    return counts
+
+
 def _asked(order: int):
     def of_block(batch: pa.RecordBatch, row: int):
         for n, (_, hashes) in enumerate(_grams(*opened(batch, row), order)[0], 1):
             keys, counts = np.unique(hashes, return_counts=True)
-            yield n, keys, lambda a, b, counts=counts: squeezed(counts[a:b].astype("<u4").tobytes())
+            yield n, keys, lambda a, b, counts=counts: _times(counts[a:b])
 
     return of_block
 
@@ -43,7 +58,7 @@ def _asked(order: int):
 def _counted(table: pa.Table) -> pa.Table:
     """One bucket of a count table: the total of every key that any block asked about."""
     keys = [unpacked(k.as_py()) for k in table["keys"]]
-    own = [np.frombuffer(restored(m.as_py()), "<u4") for m in table["more"]]
+    own = [_untimed(m.as_py(), len(k)) for k, m in zip(keys, table["more"])]
     _, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate(own))[back].astype("<u8")
     ends = np.cumsum([len(k) for k in keys])
@@ -92,7 +107,7 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", order:
     empty text has no words and scores 0. Rows that repeat an id are documents of their own; a null id stays null. An
     empty table gives no rows. Other columns are not read. Whole texts are scored, whatever their length.
     """
-    blocks = into_blocks(docs, text, id_column)
+    blocks = into_blocks(docs, text, id_column, BLOCK_BYTES)
     n_blocks, words = blocks.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     ask = blocks.select("block", "sizes", "data").mapInArrow(questions(_asked(order), bucket_count(n_blocks)), ASKED)
     replies = ask.groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED)
