@@ -18,7 +18,8 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    found = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("log10_score", "mean_log10")})
 
 
 def op4_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +99,18 @@ a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_char
   FROM d LEFT JOIN s USING (r) LEFT JOIN dl USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_LIMITS} AS kept, dup_line_chars, {", ".join(f"dup_{k}gram_chars" for k in _GRAMS)} FROM b""",
+    "op3_stupid_backoff": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+b AS (SELECT r, i, n, word, lag(word) OVER (PARTITION BY r ORDER BY i) AS prev, (count(*) OVER ())::DOUBLE AS total FROM w),
+c AS (SELECT r, i, n, total, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY r, word) AS c1,
+  CASE WHEN prev IS NOT NULL THEN count(*) OVER (PARTITION BY prev, word) - count(*) OVER (PARTITION BY r, prev, word) END AS c2 FROM b),
+e AS (SELECT r, i, total - n AS others, c1, c2, lag(c1) OVER (PARTITION BY r ORDER BY i) AS before FROM c),
+s AS (SELECT r, i, CASE WHEN c2 > 0 THEN log10(c2 / before) WHEN c1 > 0 THEN log10(c1 / others) ELSE -log10(others + 1) END
+  + CASE WHEN i > 1 AND NOT coalesce(c2 > 0, false) THEN log10(0.4) ELSE 0 END AS s, CASE WHEN i > 1 THEN NOT coalesce(c2 > 0, false) ELSE c1 <= 0 END AS back FROM e),
+t AS (SELECT r, count(*) AS n, count(*) FILTER (back) AS backed, sum(s) AS total FROM s GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(backed, 0)::BIGINT AS n_backed_off, round(coalesce(total, 0), 6) + 0e0 AS log10_score, round(coalesce(total / n, 0), 6) + 0e0 AS mean_log10
+FROM d LEFT JOIN t USING (r)""",
     "op5_two_pass_bloom": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
