@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align as A, bundles as bd, series as op, statistics as st
+from ..operators import align as A, bundles as bd, coupling as cp, frames as fr, models as md, series as op, spectral as sp, statistics as st
 from ..sources.recordings import one_per_time, union_all
 from .registry import cells, frame_emb, pair_emb, query, rounded, sig_emb, sig_events, sig_hourly
 
@@ -132,3 +132,56 @@ def stat_window_blocks(spark, d):
     w = op.windowed(h, 48, 24, [F.avg("x").alias("value")], ["series_id", "channel"]).withColumn("block", F.when(F.col("channel").isin("click", "view"), "REST").otherwise("NATURE"))
     pairs = A.paired(w, "series_id", "block", "REST", "NATURE")
     return _all(st.t_one_sample(pairs, []))
+
+
+@query(None)
+def cpl_phase_windowed(spark, d):
+    """Phase coupling in every window of half a series."""
+    w = op.exploded_windows(pair_emb(spark, d), 32, 8, P)
+    return _all(sp.phase_coupling(sp.analytic(w, 32, range(2, 6), ["pair_id", "w"], ("x", "y"), "pos"), ["pair_id", "w"]))
+
+
+@query(None)
+def cpl_coherence_windowed(spark, d):
+    w = op.exploded_windows(pair_emb(spark, d), 32, 16, P).select("pair_id", F.col("w").alias("window"), F.col("pos").alias("idx"), "x", "y")
+    return _all(sp.band_coherence(sp.coherence(w, 8, 4, 64.0, ["pair_id", "window"]), 8.0, 24.0, ["pair_id", "window"]))
+
+
+@query(None)
+def cpl_pac_windowed(spark, d):
+    w = op.exploded_windows(pair_emb(spark, d), 32, 16, P)
+    keys = ["pair_id", "w"]
+    slow, fast = sp.analytic(w, 32, range(1, 4), keys, ("x",), "pos"), sp.analytic(w, 32, range(6, 12), keys, ("y",), "pos")
+    pa = slow.join(fast, [*keys, "pos"]).select(*keys, F.atan2("b_x", "a_x").alias("phase"), F.hypot("a_y", "b_y").alias("amp"))
+    return _all(sp.phase_amplitude(pa, keys))
+
+
+@query(", b AS (SELECT pair_id, w.w, idx, ntile(3) OVER (PARTITION BY pair_id, w.w ORDER BY x, idx) AS x, ntile(3) OVER (PARTITION BY pair_id, w.w ORDER BY y, idx) AS y FROM pair_emb, (SELECT range AS w FROM range(3)) w WHERE idx >= w.w * 16 AND idx < w.w * 16 + 32), n AS (SELECT pair_id, w, x, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), t AS (SELECT pair_id, w, n, sum(n) OVER (PARTITION BY pair_id, w, x) AS nx, sum(n) OVER (PARTITION BY pair_id, w, y) AS ny, sum(n) OVER (PARTITION BY pair_id, w) AS total FROM n) SELECT pair_id, w, round(sum(n / total * ln(n * total / (nx * ny))), 6) + 0e0 AS mi_nats FROM t GROUP BY pair_id, w", "pair_emb")
+def cpl_mi_windowed(spark, d):
+    w = op.exploded_windows(pair_emb(spark, d), 32, 16, P)
+    return rounded(cp.mutual_information(cp.binned(w, 3, ["pair_id", "w"]), ["pair_id", "w"]), "mi_nats")
+
+
+@query(None)
+def vid_pixel_spectrum_windowed(spark, d):
+    """Every pixel's spectrum in sliding windows, and how far the pixels' peak frequencies agree in each."""
+    keys = ["clip", "y", "px", "w"]
+    s = op.detrended(op.exploded_windows(fr.pixel_series(frame_emb(spark, d)), 16, 8, ["clip", "y", "px"]), keys, "x", "pos", "x")
+    p = sp.dft(s, 16, range(1, 9), keys, "pos").withColumn("p", F.col("re_x") ** 2 + F.col("im_x") ** 2)
+    top = p.groupBy(*keys).agg(F.max_by("k", F.struct(F.round("p", 9), -F.col("k"))).alias("k"))
+    return _all(fr.synchrony(top, ["clip", "w"], "k"))
+
+
+@query(", p AS (SELECT clip, frame, y // 4 AS gy, px // 4 AS gx, avg(v) AS mean, stddev_pop(v) AS sd FROM frame_emb GROUP BY ALL) SELECT clip, frame, gy, gx, round(mean, 6) + 0e0 AS mean, round(sd, 6) AS sd FROM p", "frame_emb")
+def vid_patch_field(spark, d):
+    """Per-patch maps of every frame."""
+    f = frame_emb(spark, d)
+    patch = [F.floor(F.col(c) / 4).cast("long").alias(g) for c, g in (("y", "gy"), ("px", "gx"))]
+    return _all(f.groupBy("clip", "frame", *patch).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")))
+
+
+@query(None)
+def mdl_channel_sweep(spark, d):
+    """One random-intercept model per activity and weekday over users, corrected within the weekday."""
+    e = sig_events(spark, d).withColumn("day", (F.floor(F.col("t_s") / 86400) % 7).cast("long"))
+    return _all(st.bh_fdr(md.random_intercept(e, ["channel", "day"], "series_id", "t_s", "x"), keys=["day"]), "coefficient", "se")
