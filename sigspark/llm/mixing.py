@@ -18,7 +18,7 @@ _RING = 1 << 31
 #: The golden ratio's fractional part as an odd multiple of 1 / _RING.
 _GOLDEN = 1327217885
 _SLOTS_PER_CHUNK = 4096
-_DOCS_PER_BUCKET = 4096
+_DOCS_PER_BUCKET = 1024
 _LOOKUP_BITS = 8
 
 
