@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Rolling, mixed, per_document, steps, word_bounds
 
-#: Per n-gram length, the percentage of a text's word characters that may lie in repeated n-grams.
+#: Per n-gram length, the percentage of a text's word characters that may lie in n-grams that repeat an earlier one. The
+#: first occurrence does not count, so one line said twice does not condemn a short text.
 NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: The same for characters in lines that repeat an earlier line.
 LINE_LIMIT = 20
@@ -67,15 +68,17 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
             held = np.zeros(len(starts) + n, bool)
             held[begins] = True
             begins = begins[np.logical_and.reduce([held[begins + k] for k in range(n - before + 1)]) & (room[begins] >= n)]
+        later = begins
         if len(begins):
             grams = mixed((words.sums[begins + n] - words.sums[begins]) * words.down[begins] + np.uint64(n))
-            begins = begins[_repeated(mixed(grams ^ salt[begins]))]
+            keys = mixed(grams ^ salt[begins])
+            later = begins[_later(keys)]
+            begins = begins[_repeated(keys)]
         before = n
-        inside = cover(begins, n)
         if n == 3:
-            out["n_repeat_words"] = per_document(inside, first)
+            out["n_repeat_words"] = per_document(cover(begins, n), first)
         else:
-            out[f"dup_{n}gram_chars"] = per_document(np.where(inside, chars, 0), first)
+            out[f"dup_{n}gram_chars"] = per_document(np.where(cover(later, n), chars, 0), first)
 
     breaks = np.flatnonzero(data == 0x0A)
     line_starts = np.union1d(breaks + 1, at[:-1])

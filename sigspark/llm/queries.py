@@ -86,7 +86,7 @@ l AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FR
 w AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM l),
 g AS (SELECT r, i, n, length(word) AS c, word, {", ".join(f"CASE WHEN i + {k - 1} <= n THEN concat_ws(' ', {', '.join(f'lead(word, {j}) OVER p' if j else 'word' for j in range(k))}) END AS g{k}" for k in (3, *_GRAMS))}
   FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
-f AS (SELECT r, i, c, {", ".join(f"g{k} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{k}) > 1 AS f{k}" for k in (3, *_GRAMS))} FROM g),
+f AS (SELECT r, i, c, g3 IS NOT NULL AND count(*) OVER (PARTITION BY r, g3) > 1 AS f3, {", ".join(f"g{k} IS NOT NULL AND row_number() OVER (PARTITION BY r, g{k} ORDER BY i) > 1 AS f{k}" for k in _GRAMS)} FROM g),
 v AS (SELECT r, c, {", ".join(f"max(f{k}::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS v{k}" for k in (3, *_GRAMS))} FROM f),
 s AS (SELECT r, count(*) AS n_words, sum(c) AS word_chars, sum(v3) AS n_repeat_words, {", ".join(f"sum(c * v{k}) AS dup_{k}gram_chars" for k in _GRAMS)} FROM v GROUP BY r),
 lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),

@@ -30,16 +30,17 @@ def quality_brute(text):
     w = WORDS.findall(text or "")
     grams = lambda n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
 
-    def covered(n):
-        seen, inside = Counter(grams(n)), set()
+    def covered(n, first_too=False):
+        all_of, seen, inside = Counter(grams(n)), set(), set()
         for i, g in enumerate(grams(n)):
-            if seen[g] > 1:
+            if g in seen or first_too and all_of[g] > 1:
                 inside |= set(range(i, i + n))
+            seen.add(g)
         return inside
 
     lines = Counter(x for x in (text or "").split("\n") if WORDS.search(x))
     chars = lambda i: len(w[i])
-    out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text or ""), "n_dup_lines": sum(lines.values()) - len(lines), "n_repeat_words": len(covered(3))}
+    out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text or ""), "n_dup_lines": sum(lines.values()) - len(lines), "n_repeat_words": len(covered(3, True))}
     out["dup_line_chars"] = sum((k - 1) * sum(map(len, WORDS.findall(x))) for x, k in lines.items())
     out |= {f"dup_{n}gram_chars": sum(map(chars, covered(n))) for n in quality_rules.NGRAM_LIMITS}
     return out
