@@ -349,10 +349,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     An empty table gives no rows. Other columns are not read.
     """
     blocks = into_blocks(docs, text, id_column)
-    buckets = bucket_count(blocks.count())
+    buckets = bucket_count(4 * blocks.count())
     whole, body = blocks.select("block", "ids", "sizes", "data"), blocks.select("block", "sizes", "data")
     verdicts = body.mapInArrow(questions(_minimizers, buckets), ASKED).groupBy("kind", "bucket").applyInArrow(_judged(hot), ANSWERED)
     asks = body.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_open_cases(buckets), ASKED)
-    settled = asks.groupBy("kind", "bucket").applyInArrow(_settled, ANSWERED)
+    # Little text can be much sorting, so buckets are not coalesced by size.
+    settled = asks.repartition(2 * buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_settled, ANSWERED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return whole.groupBy("block").cogroup(verdicts.unionByName(settled).groupBy("block")).applyInArrow(_removed(buckets, with_text), schema)
