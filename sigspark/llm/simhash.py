@@ -50,16 +50,17 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py() or b"", words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+            prints = np.array([fingerprint(t.as_py() or b"", words) for t in batch.column("text")], np.uint64)
+            yield batch.drop_columns("text").append_column("print", pa.array(prints.view(np.int64)))
 
     return run
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, print: the fingerprint's 64 bits as a long."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(words), "doc_id long, print long")
+def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = SHINGLE_WORDS, rest: Column | None = None) -> DataFrame:
+    """doc_id, rest (a long, null unless given), print: the fingerprint's 64 bits as a long."""
+    rest = F.lit(None).cast("long") if rest is None else rest
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), rest.alias("rest"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints(words), "doc_id long, rest long, print long")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,6 +200,16 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped.mapInArrow(_compared(radius), "u long, v long")
 
 
+def _first_of_component(prints: DataFrame, order: Column, radius: int) -> DataFrame:
+    """(p, first): for every print the least ``order`` in its component; nulls are passed over."""
+    least = prints.groupBy("print").agg(F.min(order).alias("least"))
+    tree = components(links(prints, radius))
+    rooted = least.join(tree, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    rooted = cut_lineage(rooted)
+    firsts = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("first"))
+    return rooted.join(firsts, F.col("root") == F.col("r")).select(F.col("print").alias("p"), "first")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per document.
 
@@ -208,18 +219,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     Other columns are not read. Texts of any length are hashed whole.
     """
     prints = cut_lineage(fingerprints(docs, text, id_column, words))
-    least = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    tree = components(links(prints, radius))
-    rooted = least.join(tree, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    rooted = cut_lineage(rooted)
-    names = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(names, F.col("root") == F.col("r")).select(F.col("print").alias("p"), "component_id")
-    joined = join_hot(prints, "print", of_print, "p")
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    joined = join_hot(prints, "print", _first_of_component(prints, F.col("doc_id"), radius), "p")
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that are not the first of their component."""
-    found = near_duplicates(docs, text, id_column)
-    goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(goes, F.col(id_column) == F.col("_gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, with the columns of ``docs``: that with the smallest id, null ids last.
+
+    Rows of one id are told apart by a hash of all their columns (maps excepted), so of different rows that repeat an id,
+    or have none, one stays as well. Rows alike in all columns are one document: they stay or go together.
+    """
+    kinds = dict(docs.dtypes)
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if "map<" not in kinds[c]])
+    prints = cut_lineage(fingerprints(docs, text, id_column, words, rest))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("rest"))
+    joined = join_hot(prints, "print", _first_of_component(prints, order, radius), "p")
+    gone = joined.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rest") == F.col("first.rest")))).select("doc_id", "rest").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).cast("long").alias("_id"), rest.alias("_rest"))
+    return rows.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_rest") == F.col("rest")), "left_anti").select("_row.*")

@@ -90,3 +90,17 @@ def test_odd_rows(odd, empty, clashing):
     assert {(r.doc_id, r.component_id) for r in got if r.fingerprint == "0" * 16} == {(None, 1), (1, 1), (2, 1), (3, 1)}
     assert [r.component_id for r in got if r.doc_id == 4 and r.fingerprint == f"{brute_print('one'):016x}"] == [4, 4]
     assert simhash.near_duplicates(empty).collect() == []
+
+
+def test_one_document_of_each_component_stays(table, clashing, empty):
+    words = [f"word{k}" for k in range(400)]
+    some, other = " ".join(words), " ".join(reversed(words))
+    rows = [(9, some), (3, some.upper()), (None, some + "\n"), (5, other), (5, other + " "), (5, other + "  "), (None, ""), (None, None), (8, "alone"), (8, "alone")]
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(table(rows)).collect()]
+    assert kept.count((8, "alone")) == 2 and (3, some.upper()) in kept  # rows alike in all columns stay together
+    left = [k for k in kept if k[0] not in (3, 8)]
+    assert len(left) == 2 and sum(d == 5 and t.strip() == other for d, t in left) == 1 and sum(d is None and not t for d, t in left) == 1
+    named = clashing.withColumnsRenamed({"key": "_gone", "score": "rest", "block": "_row"})
+    assert simhash.drop_near_duplicates(named).columns == named.columns
+    assert len({r.fingerprint for r in simhash.near_duplicates(named).collect()}) == len({(r.doc_id, r.text) for r in simhash.drop_near_duplicates(named).collect()})
+    assert simhash.drop_near_duplicates(empty).collect() == []
