@@ -24,6 +24,8 @@ LEAST_OF_BEST = 0.2
 _SLOTS_PER_NGRAM = 8
 _PROBES = 3
 _FLUSH = 4_000_000
+#: An n-gram takes some 50 bytes while it is counted or looked up.
+_STEP = 1 << 19
 
 _FOLD = np.full(256, 0x20, np.uint8)
 for _c in (*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)):
@@ -59,7 +61,7 @@ def _counted(languages: list[str]):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             codes = np.array([code_of.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
-            for first, end, data, at in steps(batch.column(0)):
+            for first, end, data, at in steps(batch.column(0), _STEP):
                 grams, begins = ngrams(data, at)
                 code = np.repeat(codes[first:end], np.diff(begins))
                 new, n = np.unique((code[code >= 0].astype(np.uint64) << np.uint64(32)) | grams[code >= 0], return_counts=True)
@@ -143,7 +145,7 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
         model = shared.value
         names, scores = [], []
         has = letters.to_numpy(bool)
-        for first, end, data, at in steps(pa.array(texts, pa.string(), from_pandas=True)):
+        for first, end, data, at in steps(pa.array(texts, pa.string(), from_pandas=True), _STEP):
             if not model.languages:
                 names += ["und"] * (end - first)
                 scores += [0.0] * (end - first)
