@@ -31,7 +31,7 @@ class _Words:
     """Token ids of whole texts as bytes, from caches of words and of their pieces.
 
     For a tokenizer that lower-cases, drops white space and never joins across it, a text in Latin-1 is the sequence of
-    its words; any other text goes to the tokenizer as it is.
+    its words; any other text goes to the tokenizer as it is, and so does one that holds an added token.
     """
 
     #: The tokenizer's own split, which it applies to lower-cased words.
@@ -48,6 +48,7 @@ class _Words:
         self.byte_text = [table[b] for b in range(256)]
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self._splits_words()
 
     @classmethod
@@ -84,7 +85,8 @@ class _Words:
         if self.by_word:
             try:
                 latin = text.encode("latin-1")
-                plain = len(latin.translate(None, b"\x1c\x1d\x1e\x1f")) < len(latin)
+                lower = text.lower()
+                plain = len(latin.translate(None, b"\x1c\x1d\x1e\x1f")) < len(latin) or any(t in lower for t in self.added)
             except UnicodeEncodeError:
                 pass
         joined = self._plain(text) if plain else b"".join(map(self._word, text.split()))
