@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the anchors add, listed after the base ones.
 KINDS = (*BASE_KINDS, "url", "account")
-#: Identifier cues in lower case; a capitalised and an upper-case form are anchors too.
+#: Identifier cues in lower case; they are anchors in any spelling of ASCII letters.
 CUES = ("iban", "ssn", "account", "acct", "passport", "token", "secret", "password", "api_key", "apikey", "api key", "customer id", "user id", "licence", "license")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,8 +35,7 @@ def _automaton() -> ahocorasick.Automaton:
     for mark in ("@", "+", "://", *"0123456789"):
         found.add_word(mark, ("digit" if mark.isdigit() else mark, len(mark)))
     for cue in CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            found.add_word(form, (cue, len(form)))
+        found.add_word(cue, (cue, len(cue)))
     found.make_automaton()
     return found
 
@@ -71,7 +70,7 @@ def _account(text: str, cue: str, start: int, end: int) -> tuple[int, int] | Non
     if not gap[1].strip():
         return None
     m = _CODE.match(text, at)
-    if m and 6 <= m.end() - at <= 128 and sum(c.isdigit() for c in m[0]) >= 4:
+    if m and m.end() - at >= 6 and sum(c.isdigit() for c in m[0]) >= 4:
         return at, m.end()
     return None
 
@@ -80,7 +79,8 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
     """Per kind, (start, end) in code points, by start. The base kinds hold exactly what their patterns match."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     ip_from = card_from = mail_from = 0
-    for last, (what, length) in anchors.iter(text):
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z alone, so offsets stay
+    for last, (what, length) in anchors.iter(lower):
         at = last - length + 1
         if what == "digit":
             if at >= ip_from:
