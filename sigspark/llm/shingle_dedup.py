@@ -1,0 +1,122 @@
+"""Near-duplicates by exact similarity of shingle sets: Jaccard of five-word shingles, 0.8 or more.
+
+Texts with equal sets collapse first. MinHash bands only propose pairs: two sets of similarity s share one of ``BANDS``
+keys with chance 1 - (1 - s^ROWS)^BANDS, 0.99997 at 0.8. Every pair that counts is checked on the whole sets. Of a
+shared key, the members are first checked against its least and its greatest one; whoever is still in another component
+than the least is then checked against all members of other components, so no pair of a key is left open.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import Rolling, cut_lineage, join_hot, mixed, steps, word_bounds
+from .components import components
+from .simhash import keep_first, row_hash
+
+SHINGLE_WORDS = 5
+#: The least similarity, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 20, 4
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_rng = np.random.default_rng(20240301)
+_FLIP = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the distinct shingles of each document, sorted. A text of fewer words is one shingle."""
+    data = _LOWER[data]
+    starts, ends, first = word_bounds(data, at)
+    rolling = Rolling(Rolling.of_bytes(data).between(starts, ends))
+    n = np.diff(first)
+    document = np.repeat(np.arange(len(n)), n)
+    begin = np.flatnonzero(np.arange(len(document)) + words <= first[1:][document])
+    short = np.flatnonzero((n > 0) & (n < words))
+    hashes = np.concatenate([rolling.windows(words)[begin] if len(begin) else np.zeros(0, np.uint64), rolling.between(first[short], first[short] + n[short])])
+    document = np.concatenate([document[begin], short])
+    order = np.lexsort((hashes, document))
+    document, hashes = document[order], hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (document[1:] != document[:-1]) | (hashes[1:] != hashes[:-1])
+    return document[new], hashes[new]
+
+
+def _sets(words: int, banded: bool):
+    """Appends print, a hash of the set, and either its size and band keys or the set itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, at in steps(batch.column("text")):
+                document, hashes = shingles(data, at, words)
+                size = np.bincount(document, minlength=high - low)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                full = np.flatnonzero(size)
+                print_ = np.zeros(high - low, np.uint64)
+                if len(full):
+                    print_[full] = mixed(np.add.reduceat(mixed(hashes), ends[full]) + size[full].astype(np.uint64))
+                out = batch.slice(low, high - low).drop_columns("text").append_column("print", pa.array(print_.view(np.int64)))
+                if banded:
+                    keys = np.zeros((len(full), BANDS), np.uint64)
+                    for k in range(BANDS * ROWS if len(full) else 0):
+                        least = np.minimum.reduceat((hashes ^ _FLIP[k]) * _TIMES[k], ends[full])
+                        keys[:, k // ROWS] = mixed((keys[:, k // ROWS] ^ least) + np.uint64(k))
+                    offsets = np.concatenate(([0], np.cumsum((size > 0) * BANDS))).astype(np.int32)
+                    out = out.append_column("n", pa.array(size.astype(np.int64))).append_column("keys", pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))))
+                else:
+                    out = out.append_column("set", pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64))))
+                yield out
+
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose sets are similar enough."""
+    one = join_hot(pairs, "b", sets.select(F.col("print").alias("pb"), F.col("set").alias("sb")), "pb").drop("pb")
+    both = join_hot(one, "a", sets.select(F.col("print").alias("pa"), F.col("set").alias("sa")), "pa").drop("pa")
+    sizes = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+    return sizes.filter(F.col("common") * (LEAST[0] + LEAST[1]) >= F.col("total") * LEAST[0]).select(F.col("b").alias("u"), F.col("a").alias("v"))
+
+
+def links(prints: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(u, v): links of distinct prints whose components are those of all proposed pairs that are similar enough."""
+    distinct = prints.filter("n > 0").groupBy("print").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = distinct.select("print", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("members"), F.min("print").alias("low"), F.max("print").alias("high")).filter("members > 1")
+    members = cut_lineage(join_hot(keyed, "key", shared, "k").select("key", "print", "n", "low", "high"))
+    wanted = members.select(F.col("print").alias("p")).distinct()
+    sets = texts.mapInArrow(_sets(words, False), "print long, set array<long>")
+    sets = cut_lineage(sets.join(wanted, F.col("print") == F.col("p"), "left_semi").groupBy("print").agg(F.first("set").alias("set")))
+
+    def ordered(x: str, y: str) -> Column:
+        return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    first = members.select(F.explode(F.array(ordered("print", "low"), ordered("print", "high"))).alias("e")).select("e.*").filter("a < b").distinct()
+    found = cut_lineage(_alike(first, sets))
+    rooted = join_hot(members, "print", components(found), "node", "left").select("key", "print", "n", "low", "high", F.coalesce("root", "print").alias("root"))
+    rooted = cut_lineage(rooted)
+    split = rooted.groupBy(F.col("key").alias("k")).agg(F.min_by("root", "print").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("k", "first")
+    still = join_hot(rooted, "key", split, "k").drop("k")
+    outside = still.filter("root <> first AND print <> high").select(F.col("key").alias("k"), F.col("print").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    others = still.filter("print <> low AND print <> high")
+    pairs = others.join(outside, (F.col("key") == F.col("k")) & (F.col("root") != F.col("rx")) & (F.least("n", "nx") * LEAST[1] >= F.greatest("n", "nx") * LEAST[0]))
+    second = pairs.select(ordered("print", "x").alias("e")).select("e.*").distinct()
+    return found.unionByName(_alike(second, sets))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
+    """One document of each component of similar documents, with the columns of ``docs``, as in ``simhash``.
+
+    Words are lower-cased in ASCII. Null, empty and blank texts have the empty set and are alike. Repeated shingles count
+    once. Texts of any length are taken whole.
+    """
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), row_hash(docs).alias("rest"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    prints = cut_lineage(rows.mapInArrow(_sets(words, True), "doc_id long, rest long, print long, n long, keys array<long>"))
+    return keep_first(docs, prints.select("doc_id", "rest", "print"), links(prints, texts, words), id_column)

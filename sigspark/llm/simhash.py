@@ -200,10 +200,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped.mapInArrow(_compared(radius), "u long, v long")
 
 
-def _first_of_component(prints: DataFrame, order: Column, radius: int) -> DataFrame:
+def _first_of_component(prints: DataFrame, order: Column, found: DataFrame) -> DataFrame:
     """(p, first): for every print the least ``order`` in its component; nulls are passed over."""
     least = prints.groupBy("print").agg(F.min(order).alias("least"))
-    tree = components(links(prints, radius))
+    tree = components(found)
     rooted = least.join(tree, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     rooted = cut_lineage(rooted)
     firsts = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("first"))
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     Other columns are not read. Texts of any length are hashed whole.
     """
     prints = cut_lineage(fingerprints(docs, text, id_column, words))
-    joined = join_hot(prints, "print", _first_of_component(prints, F.col("doc_id"), radius), "p")
+    joined = join_hot(prints, "print", _first_of_component(prints, F.col("doc_id"), links(prints, radius)), "p")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
@@ -229,11 +229,19 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "
     Rows of one id are told apart by a hash of all their columns (maps excepted), so of different rows that repeat an id,
     or have none, one stays as well. Rows alike in all columns are one document: they stay or go together.
     """
+    prints = cut_lineage(fingerprints(docs, text, id_column, words, row_hash(docs)))
+    return keep_first(docs, prints, links(prints, radius), id_column)
+
+
+def row_hash(docs: DataFrame) -> Column:
     kinds = dict(docs.dtypes)
-    rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if "map<" not in kinds[c]])
-    prints = cut_lineage(fingerprints(docs, text, id_column, words, rest))
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if "map<" not in kinds[c]])
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """The first document of each component of ``prints`` (doc_id, rest, print) over the links ``found``."""
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("rest"))
-    joined = join_hot(prints, "print", _first_of_component(prints, order, radius), "p")
+    joined = join_hot(prints, "print", _first_of_component(prints, order, found), "p")
     gone = joined.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rest") == F.col("first.rest")))).select("doc_id", "rest").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).cast("long").alias("_id"), rest.alias("_rest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).cast("long").alias("_id"), row_hash(docs).alias("_rest"))
     return rows.join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_rest") == F.col("rest")), "left_anti").select("_row.*")
