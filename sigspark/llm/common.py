@@ -17,9 +17,13 @@ STEP_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(20240229)
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE_CODE = _rng.integers(1, (1 << 61) - 1, 256, dtype=np.uint64)
+_PRIME = (1 << 61) - 1
+_BASE = 0x9E3779B97F4A7C15 % _PRIME
+_BASE_INVERSE = pow(_BASE, -1, _PRIME)
+_P, _LOW = np.uint64(_PRIME), np.uint64((1 << 31) - 1)
+_CACHED = 1 << 14
+_N29, _N30, _N31, _N32, _N61 = map(np.uint64, (29, 30, 31, 32, 61))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,38 +99,85 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """64-bit words modulo the prime 2^61 - 1."""
+    x = (x & _P) + (x >> _N61)
+    return np.minimum(x, x - _P)  # below zero wraps around and is the larger one
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from 31-bit halves: no sum below exceeds 64 bits. Short steps stay in the cache."""
+    out = np.empty(len(a), np.uint64)
+    one = not np.ndim(b)
+    for k in range(0, len(a), _CACHED):
+        x, y, to = a[k : k + _CACHED], b if one else b[k : k + _CACHED], out[k : k + _CACHED]
+        x_high, x_low, y_high, y_low = x >> _N31, x & _LOW, y >> _N31, y & _LOW
+        middle = x_high * y_low
+        middle += x_low * y_high
+        x_low *= y_low
+        x_low += (middle & np.uint64((1 << 30) - 1)) << _N31
+        middle >>= _N30
+        x_low += middle
+        x_high *= y_high
+        x_high += x_high
+        x_low += x_high
+        np.bitwise_and(x_low, _P, out=to)
+        x_low >>= _N61
+        to += x_low
+        np.minimum(to, to - _P, out=to)  # below zero wraps around and is the larger one
+    return out
+
+
 class Rolling:
-    """Polynomial hashes, modulo 2 to the 64, of any range of a sequence from its prefix sums."""
+    """Polynomial hashes, modulo the prime 2^61 - 1, of any range of a sequence from its prefix sums.
+
+    The modulus is a prime because powers of two make texts of the Thue-Morse kind collide.
+    """
 
     _up = np.ones(1, np.uint64)
     _down = np.ones(1, np.uint64)
 
     @classmethod
     def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._up) < n:
-            size = 1 << (n - 1).bit_length()
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            cls._up, cls._down = np.cumprod(up), np.cumprod(down)
+        while len(cls._up) < n:
+            size = len(cls._up)
+            cls._up = np.concatenate([cls._up, _product(cls._up, np.uint64(pow(_BASE, size, _PRIME)))])
+            cls._down = np.concatenate([cls._down, _product(cls._down, np.uint64(pow(_BASE_INVERSE, size, _PRIME)))])
         return cls._up[:n], cls._down[:n]
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, of: np.ndarray | None = None):
+        """``of`` gives the number of each code where ``codes`` are numbers into it."""
         up, self.down = self._powers(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[:-1], out=self.sums[1:])
+        total = np.uint64(0)
+        for k in range(0, len(codes), _CACHED):
+            some = codes[k : k + _CACHED]
+            terms = _product(_folded(some) if of is None else of[some], up[k : k + len(some)])
+            # Sums of 29 high and of 32 low bits are exact; 2^61 is one.
+            low, high = np.cumsum(terms & np.uint64((1 << 32) - 1)), np.cumsum(terms >> _N32)
+            low += total
+            low += (high & np.uint64((1 << 29) - 1)) << _N32
+            low += high >> _N29
+            self.sums[k + 1 : k + 1 + len(some)] = _folded(low)
+            total = self.sums[k + len(some)]
 
     @classmethod
     def of_bytes(cls, data: np.ndarray) -> Rolling:
-        return cls(_BYTE_CODE[data])
+        return cls(data, _BYTE_CODE)
 
     def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        gap = self.sums[ends] - self.sums[starts]
+        return mixed(_product(np.minimum(gap, gap + _P), self.down[starts]) + (ends - starts).astype(np.uint64))
 
     def windows(self, n: int) -> np.ndarray:
         """The hash of every ``n`` successive items."""
-        if len(self.sums) <= n:
-            return np.zeros(0, np.uint64)
-        return mixed((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n] + np.uint64(n))
+        size = max(0, len(self.sums) - n)
+        out = np.empty(size, np.uint64)
+        for k in range(0, size, _CACHED):
+            end = min(size, k + _CACHED)
+            gap = self.sums[k + n : end + n] - self.sums[k:end]
+            out[k:end] = mixed(_product(np.minimum(gap, gap + _P), self.down[k:end]) + np.uint64(n))
+        return out
 
 
 def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:

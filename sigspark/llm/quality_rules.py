@@ -70,8 +70,7 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
             begins = begins[np.logical_and.reduce([held[begins + k] for k in range(n - before + 1)]) & (room[begins] >= n)]
         later = begins
         if len(begins):
-            grams = mixed((words.sums[begins + n] - words.sums[begins]) * words.down[begins] + np.uint64(n))
-            keys = mixed(grams ^ salt[begins])
+            keys = mixed(words.between(begins, begins + n) ^ salt[begins])
             later = begins[_later(keys)]
             begins = begins[_repeated(keys)]
         before = n
