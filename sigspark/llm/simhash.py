@@ -90,9 +90,31 @@ def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def near(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row a > row b) between rows of one group within ``radius`` bits, as a spanning forest. ``group`` is sorted."""
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the links a-b that form a minimum spanning forest of the ``n`` rows, by Boruvka's rounds."""
+    at = np.lexsort((b, a, weight))
+    a, b = a[at], b[at]
+    label, chosen = np.arange(n), []
+    while True:
+        apart = np.flatnonzero(label[a] != label[b])
+        a, b, at = a[apart], b[apart], at[apart]
+        if not len(at):
+            return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        best = np.full(n, len(at))
+        np.minimum.at(best, label[a], np.arange(len(at)))
+        np.minimum.at(best, label[b], np.arange(len(at)))
+        pick = np.unique(best[best < len(at)])
+        chosen.append(at[pick])
+        label = roots(n, label[a[pick]], label[b[pick]])[label]
+
+
+def near(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, distances: bool = False) -> tuple[np.ndarray, ...]:
+    """Links (row a > row b) between rows of one group within ``radius`` bits, as a spanning forest. ``group`` is sorted;
+    ``prints`` are rows of 64 bits, or of several such words. With ``distances`` the links are real pairs, the forest is a
+    minimum one, and their distances come third."""
     n = len(prints)
+    wide = prints if prints.ndim == 2 else prints[:, None]
+    bits = 64 * wide.shape[1]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, n])
     blocks = (size + 63) // 64
@@ -102,21 +124,27 @@ def near(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[n
     own = block_of_group[of] + (np.arange(n) - first[of]) // 64
     begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if n else first  # a block's first row
     one = np.uint64(1)
-    planes = np.stack([np.bitwise_or.reduceat((prints >> np.uint64(k) & one) << lane.astype(np.uint64), begin) for k in range(64)])
+    planes = [np.bitwise_or.reduceat((wide[:, k // 64] >> np.uint64(k % 64) & one) << lane.astype(np.uint64), begin) if n else np.zeros(0, np.uint64) for k in range(bits)]
     filled = np.diff(np.r_[begin, n])
     empty = np.where(filled == 64, np.uint64(0), ~np.uint64(0) << (filled % 64).astype(np.uint64))
     todo = block_of_group[of + 1] - own  # from its own block to its group's last
     ends = np.cumsum(todo)
     label_a, label_b = [], []
+    held, held_d = 0, []
     row = 0
+
+    def kept(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        best = spanning(n, a, b, d)
+        return a[best], b[best], d[best]
+
     while row < n:
         stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + _ROWS_PER_STEP, "right")))
         rows = np.repeat(np.arange(row, stop), todo[row:stop])
         block = own[rows] + np.arange(len(rows)) - np.repeat(ends[row:stop] - todo[row:stop] - (ends[row - 1] if row else 0), todo[row:stop])
         dead = empty[block] | np.where(block == own[rows], (one << lane[rows].astype(np.uint64) << one) - one, np.uint64(0))
         counters = [np.zeros(len(rows), np.uint64) for _ in range(radius.bit_length())]
-        for k in range(64):
-            add = planes[k][block] ^ (np.uint64(0) - (prints[rows] >> np.uint64(k) & one))
+        for k in range(bits):
+            add = planes[k][block] ^ (np.uint64(0) - (wide[rows, k // 64] >> np.uint64(k % 64) & one))
             for c in counters:
                 carry = c & add
                 c ^= add
@@ -130,11 +158,21 @@ def near(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[n
         if len(hit):
             at, lanes = np.nonzero(np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a, b = begin[block[at]] + lanes, rows[at]
-            root = roots(n, a, b) if len(a) > n else None
-            label_a.append(np.flatnonzero(root != np.arange(n)) if root is not None else a)
-            label_b.append(root[label_a[-1]] if root is not None else b)
+            if distances:
+                d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+                label_a, label_b, held_d = [*label_a, a], [*label_b, b], [*held_d, d]
+                held += len(a)
+                if held > 4 * n:
+                    a, b, d = kept(*map(np.concatenate, (label_a, label_b, held_d)))
+                    label_a, label_b, held_d, held = [a], [b], [d], 0
+            else:
+                root = roots(n, a, b) if len(a) > n else None
+                label_a.append(np.flatnonzero(root != np.arange(n)) if root is not None else a)
+                label_b.append(root[label_a[-1]] if root is not None else b)
         row = stop
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (label_a, label_b))
+    if distances:
+        return kept(a, b, np.concatenate(held_d) if held_d else np.zeros(0, np.int64))
     root = roots(n, a, b)
     a = np.flatnonzero(root != np.arange(n))
     return a, root[a]
