@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigspark.llm import exact_dedup, language_id, mixing, packing, shingle_dedup
+from sigspark.llm import exact_dedup, language_id, mixing, packing, wide_simhash
 from sigspark.llm.common import shared_dir, table
 from sigspark.llm.queries import held_out, tokenizer_file
 
@@ -27,8 +27,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of five-word Jaccard 0.8 or more: the one with the smallest id."""
-    return shingle_dedup.drop_near_duplicates(docs)
+    """Keeps one document of each component of five-word Jaccard 0.8 or more, found by wide SimHash: the smallest id."""
+    return wide_simhash.drop_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
