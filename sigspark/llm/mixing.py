@@ -2,8 +2,9 @@
 
 Slot t of the schedule is the point ``t * golden ratio modulo 1``; mapped through the cumulative target shares it names a
 source. Slots are ranked per source, and slot number k of a source takes block k of that source: its documents in md5
-order, laid end to end and repeated, cut into blocks of equally many words. Ranks and positions are sums over small
-buckets plus an order inside each, so no source is ever ordered in one task.
+order, laid end to end up to three times, cut into blocks of ``BLOCK_WORDS`` words, the same for every source. What a
+source gives is what its slots win. Ranks and positions are sums over small parts plus an order inside each, so no source
+is ever ordered in one task.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import cut_lineage, word_count
 
-BLOCK_WORDS = 2048
+BLOCK_WORDS = 64
 MOST_REPEATS = 3
 _RING = 1 << 31
 #: The golden ratio's fractional part as an odd multiple of 1 / _RING.
 _GOLDEN = 1327217885
-_SLOTS_PER_CHUNK = 4096
+#: Places that one window orders, and parts whose sums one window adds up.
+_FAN = 4096
 _DOCS_PER_BUCKET = 1024
 _LOOKUP_BITS = 8
 
@@ -43,6 +45,16 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return t.select("sid", "source", "source_size", "total", "target", F.floor(F.col("target") + 0.5).cast("long").alias("goal"))
 
 
+def _before(df: DataFrame, by: list[str], at: str, n: str) -> DataFrame:
+    """Adds ``before``: the sum of ``n`` over smaller ``at`` (distinct places from 0) of the same ``by``. No window holds
+    more than ``_FAN`` rows but the last, which has one row per ``_FAN``."""
+    part = F.floor(F.col(at) / _FAN).cast("long")
+    sums = df.groupBy(*by, part.alias("_part")).agg(F.sum(n).alias("_sum"))
+    sums = sums.withColumn("_lead", F.sum("_sum").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum"))
+    inside = F.sum(n).over(W.partitionBy(*by, "_part").orderBy(at).rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
+    return df.withColumn("_part", part).withColumn("_inside", inside).join(sums.drop("_sum"), [*by, "_part"]).withColumn("before", F.col("_lead") + F.col("_inside")).drop("_part", "_inside", "_lead")
+
+
 def _slots(targets: DataFrame, total: int, block_words: int) -> DataFrame:
     """slot, sid, rank: which source each slot takes from, and the how-manieth slot of that source it is."""
     spark = targets.sparkSession
@@ -54,9 +66,8 @@ def _slots(targets: DataFrame, total: int, block_words: int) -> DataFrame:
     edges = edges.select("sid", "low", "high", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))).alias("part"))
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", F.pmod(F.pmod(F.col("slot"), F.lit(_RING)) * _GOLDEN, F.lit(_RING)))
     slots = slots.withColumn("part", F.shiftright("point", shift)).join(edges, "part").filter("point >= low AND point < high")
-    slots = slots.select("slot", "sid", F.floor(F.col("slot") / _SLOTS_PER_CHUNK).cast("long").alias("chunk"))
-    before = slots.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+    slots = slots.select("slot", "sid", F.floor(F.col("slot") / _FAN).cast("long").alias("chunk"))
+    before = _before(slots.groupBy("sid", "chunk").agg(F.count("*").alias("n")), ["sid"], "chunk", "n")
     ranked = slots.withColumn("at", F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1).join(before.select("sid", "chunk", "before"), ["sid", "chunk"])
     ranked = ranked.select("slot", "sid", (F.col("before") + F.col("at")).alias("rank"))
     # A source too small to be hit by a point gets a slot after the last one.
@@ -65,46 +76,55 @@ def _slots(targets: DataFrame, total: int, block_words: int) -> DataFrame:
 
 
 def _laid_out(sized: DataFrame, n_docs: int) -> DataFrame:
-    """Adds ``at``: the words of the same source before this document, in md5 order."""
+    """Adds ``at``: the words of the same source before this document, in md5 order. Rows alike are one row with a count
+    until their places are known, so that many copies do not crowd a bucket."""
     buckets = max(1, n_docs // _DOCS_PER_BUCKET)
-    bucket = F.shiftright(F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * buckets, 24)
-    sized = sized.withColumn("bucket", bucket)
-    sums = sized.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    inside = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    return sized.withColumn("inside", inside).join(sums.select("sid", "bucket", "before"), ["sid", "bucket"]).withColumn("at", F.col("before") + F.col("inside")).drop("inside", "before", "bucket", "order")
+    alike = sized.groupBy(*sized.columns).agg(F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
+    alike = alike.withColumn("bucket", F.shiftright(F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * buckets, 24))
+    sums = _before(alike.groupBy("sid", "bucket").agg(F.sum("words").alias("n")), ["sid"], "bucket", "n")
+    inside = F.sum("words").over(W.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")
+    placed = alike.withColumn("inside", inside).join(sums.select("sid", "bucket", "before"), ["sid", "bucket"])
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.withColumn("at", F.col("before") + F.col("inside") + F.col("copy") * F.col("size")).select(*[c for c in sized.columns if c != "order"], "at")
 
 
 def schedule(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(laid, pieces). laid: a row per document with sid, doc_id, size, source_size, target, goal and its place ``at``.
     pieces: slot, sid, at, start, length: the words of the document at that place which a slot takes."""
-    sized = cut_lineage(docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("order")))
+    order = F.md5(F.coalesce(F.col(id_column).cast("string"), F.col(text), F.lit("")))
+    sized = cut_lineage(docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order.alias("order")))
     n_docs, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = cut_lineage(source_targets(sized))
     known = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "total")
     laid = cut_lineage(_laid_out(known, n_docs))
-    slots = _slots(targets, total, block_words)
-    lengths = slots.groupBy("sid").agg(F.count("*").alias("n")).join(targets.select("sid", "goal"), "sid").select("sid", F.ceil(F.col("goal") / F.col("n")).cast("long").alias("block"))
+    slots = cut_lineage(_slots(targets, total, block_words))
+    # A source gives its slots' words, but no document more than MOST_REPEATS times.
+    limits = slots.groupBy("sid").agg((F.count("*") * block_words).alias("won"))
     turn = F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)))
-    placed = laid.filter("size > 0").select("sid", "size", "source_size", "goal", "at", turn.alias("turn")).withColumn("low", F.col("at") + F.col("turn") * F.col("source_size"))
-    placed = placed.withColumn("high", F.least(F.col("low") + F.col("size"), F.col("goal"))).filter("low < high").join(lengths, "sid")
-    pieces = placed.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / F.col("block")), F.floor((F.col("high") - 1) / F.col("block"))))).join(slots, ["sid", "rank"])
-    begin = F.greatest("low", F.col("rank") * F.col("block"))
-    length = F.least("high", (F.col("rank") + 1) * F.col("block")) - begin
+    placed = laid.filter("size > 0").join(limits, "sid").select("sid", "size", "at", F.least("won", F.col("source_size") * MOST_REPEATS).alias("limit"), "source_size", turn.alias("turn"))
+    placed = placed.withColumn("low", F.col("at") + F.col("turn") * F.col("source_size"))
+    placed = placed.withColumn("high", F.least(F.col("low") + F.col("size"), F.col("limit"))).filter("low < high")
+    block = F.lit(block_words)
+    pieces = placed.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block)))).join(slots, ["sid", "rank"])
+    begin = F.greatest("low", F.col("rank") * block)
+    length = F.least("high", (F.col("rank") + 1) * block) - begin
     return laid, pieces.select("slot", "sid", "at", (begin - F.col("low")).alias("start"), length.alias("length"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per document.
+    """doc_id, source, size, source_size, target, taken, first_slot, n_slots: one row per document.
 
-    A null text has size 0 and takes nothing; a null source is a source of its own, the last; a null id is ordered like
-    an empty one. Rows that repeat an id and size stand next to each other and are taken in turn. An empty table gives no
-    rows. Other columns are not read. Reruns agree, for the order depends on ids and sizes only.
+    ``taken`` is the sum over the slots that take from the document, ``n_slots`` how often one does, ``first_slot`` the
+    first of them (null if none). A source's words differ from its target by the few blocks by which the schedule's points
+    do. A null text has size 0 and takes nothing; a null source is a source of its own, the last; documents without an id
+    are ordered by their text. Rows that repeat an id and size stand next to each other and are taken in turn. An empty
+    table gives no rows. Other columns are not read. Reruns agree, for the order depends on ids, texts and sizes only.
     """
     laid, pieces = schedule(docs, text, source, id_column, block_words)
-    taken = pieces.groupBy(F.col("sid").alias("_sid"), F.col("at").alias("_at")).agg(F.sum("length").alias("words"))
+    taken = pieces.groupBy(F.col("sid").alias("_sid"), F.col("at").alias("_at")).agg(F.sum("length").alias("words"), F.min("slot").alias("first_slot"), F.count("*").alias("n"))
     joined = laid.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    zero = F.lit(0)
+    return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", zero).cast("long").alias("taken"), "first_slot", F.coalesce("n", zero).cast("long").alias("n_slots"))
 
 
 def repeat_as_taken(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id") -> DataFrame:

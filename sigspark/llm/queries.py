@@ -115,17 +115,28 @@ FROM d LEFT JOIN t USING (r)""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    "op8_low_discrepancy_schedule": """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    "op8_low_discrepancy_schedule": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 w AS (SELECT *, (sid - 1) % 3 + 1 AS weight, 3 * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total FROM s),
 l AS (SELECT *, (sum(cap) OVER (ORDER BY cap / weight, sid ROWS UNBOUNDED PRECEDING))::BIGINT - cap AS before,
   (sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM w),
 c AS (SELECT *, (total - before) * weight > cap * rest AS capped FROM l),
-t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * (total - coalesce((sum(cap) FILTER (capped) OVER ())::BIGINT, 0)))::DOUBLE
+t AS (SELECT sid, total, source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * (total - coalesce((sum(cap) FILTER (capped) OVER ())::BIGINT, 0)))::DOUBLE
   / ((sum(weight) FILTER (NOT capped) OVER ())::BIGINT)::DOUBLE END AS target FROM c),
 g AS (SELECT *, floor(target + 0.5)::BIGINT AS goal FROM t),
-p AS (SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM d)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(upto, goal % source_size) - (upto - size)) END::BIGINT AS taken
-FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source""",
+e AS (SELECT sid, high, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low FROM
+  (SELECT sid, floor(sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / total * {mixing._RING} + 0.5)::BIGINT AS high FROM g)),
+n AS (SELECT (coalesce(max(total), 0) + {mixing.BLOCK_WORDS - 1}) // {mixing.BLOCK_WORDS} AS n FROM g),
+pts AS (SELECT range AS slot, (range % {mixing._RING}) * {mixing._GOLDEN} % {mixing._RING} AS point FROM range((SELECT n FROM n)::BIGINT)),
+hit AS (SELECT slot, sid FROM pts JOIN e ON point >= low AND point < high
+  UNION ALL SELECT n + sid, sid FROM g, n WHERE goal > 0 AND sid NOT IN (SELECT sid FROM pts JOIN e ON point >= low AND point < high)),
+r AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank, count(*) OVER (PARTITION BY sid) * {mixing.BLOCK_WORDS} AS won FROM hit),
+p AS (SELECT row_number() OVER () AS id, doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS place FROM d),
+q AS (SELECT id, doc_id, size, source_size, target, g.sid, place + k * source_size AS low, least(place + k * source_size + size, won, {mixing.MOST_REPEATS} * source_size) AS high
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source LEFT JOIN (SELECT DISTINCT sid, won FROM r) USING (sid), range({mixing.MOST_REPEATS}) AS turns(k)),
+u AS (SELECT id, doc_id, size, source_size, target, greatest(0, least(high, (rank + 1) * {mixing.BLOCK_WORDS}) - greatest(low, rank * {mixing.BLOCK_WORDS})) AS words, slot
+  FROM q LEFT JOIN r ON q.sid = r.sid AND size > 0 AND low < high AND rank BETWEEN low // {mixing.BLOCK_WORDS} AND (high - 1) // {mixing.BLOCK_WORDS})
+SELECT doc_id, size, source_size, target, coalesce(sum(words), 0)::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(slot)::BIGINT AS n_slots
+FROM u GROUP BY id, doc_id, size, source_size, target""",
 }

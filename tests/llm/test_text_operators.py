@@ -257,15 +257,39 @@ def test_mix_comes_near_its_targets(spark):
         by_source[r.source] += r.taken
         target[r.source] = r.target
         assert 0 <= r.taken <= 3 * r.size
-    for s, t in target.items():
-        assert abs(by_source[s] - t) <= 1, s
-    assert sorted(map(key, mixing.mix(docs.repartition(7), block_words=512).collect())) == sorted(map(key, rows))
+    for s, t in target.items():  # the points of a golden-ratio sequence in an interval are off by a few, here blocks of 64 words
+        assert abs(by_source[s] - t) <= 2 * 64, s
+    assert abs(sum(by_source.values()) - sum(target.values())) <= 4 * 64
+    assert sorted(map(key, mixing.mix(docs.repartition(7), block_words=64).collect())) == sorted(map(key, rows))
+    assert sum(r.n_slots for r in rows) == pieces.count() and all((r.first_slot is None) == (r.taken == 0) for r in rows)
     order = [r.sid for r in pieces.groupBy("slot").agg(F.max("sid").alias("sid")).orderBy("slot").collect()]
     share = Counter(order)
     half = Counter(order[: len(order) // 2])
     assert all(abs(half[s] - share[s] / 2) <= 8 for s in share)  # the schedule is even all along
 
 
+def test_the_schedule_decides_what_is_taken(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    golden = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "_GOLDEN", 1)  # all slots near point 0: the first source's alone
+    assert {r.doc_id: r.taken for r in mixing.mix(docs).collect()} != golden
+
+
+def test_places_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_FAN", 5)
+    rows = [(s, k, (7 * k + s) % 11) for s in range(3) for k in range(0, 40, s + 1)]
+    got = {(r.s, r.k): r.before for r in mixing._before(spark.createDataFrame(rows, "s int, k long, n long"), ["s"], "k", "n").collect()}
+    assert got == {(s, k): sum(n for t, j, n in rows if t == s and j < k) for s, k, _ in rows}
+
+
+def test_repeated_rows_are_taken_in_turn(table):
+    rows = [(7, "same words here", "en", "a")] * 9 + [(None, "no id", "en", "a")] * 5 + [(8, "w " * 30, "en", "b")]
+    got = mixing.mix(table(rows), block_words=4).collect()
+    assert len(got) == 15 and all(0 <= r.taken <= 3 * r.size for r in got)
+    target = {r.source: r.target for r in got}
+    assert all(abs(sum(r.taken for r in got if r.source == s) - t) <= 8 for s, t in target.items())
+
+
 def test_mix_of_one_large_and_small_sources(table):
     rows = [(i, "w " * 50, "en", "big") for i in range(60)] + [(100 + i, "w w", "en", f"s{i}") for i in range(4)] + [(200, None, "en", "none"), (201, "w", None, None)]
     got = mixing.mix(table(rows)).collect()
