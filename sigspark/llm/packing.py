@@ -1,32 +1,52 @@
 """Lexical retrieval packing: documents that share rare words fill a training window together.
 
-Documents are dealt by hash over shards of bounded size. Inside a shard an inverted index holds BM25 weights, with
-document frequencies and the mean length taken over the whole corpus. The first unused document seeds a window, its
-weightiest terms are looked up, and the best unused neighbours are appended, the last one cut to fit; what is left of it
-stays unused. Token ids are the terms, so the statistics are bounded by the vocabulary.
+Documents are routed by content: a weighted minhash of the BM25 weights of all terms of the whole document gives a few
+terms that documents share the likelier the more they have in common, and documents are sorted by them over the cluster.
+Runs of that order are the shards. Inside a shard an inverted index holds BM25 weights of whole documents, with document
+frequencies and the mean length taken over the whole corpus. The first unused document seeds a window, all its terms are
+looked up, and the best unused neighbours are appended, the last one cut to fit; what is left of it stays unused. Token
+ids are the terms, so the statistics are bounded by the vocabulary.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shared_dir
+from .common import mixed, shared_dir
 
 WINDOW = 2048
 END_ID = 1
 DOCS_PER_SHARD = 2048
-QUERY_TERMS = 16
+#: Shards that one task packs, one after the other, and the terms that route a document.
+_SHARDS_PER_TASK = 8
+_ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
 _CACHED = 400_000
 
 
+class _Cache(dict):
+    """Made on first use; beyond its size, every time."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(self) < _CACHED:
+            self[key] = found
+        return found
+
+
 class _Words:
     """Token ids of whole texts as bytes, from caches of words and of their pieces.
 
@@ -46,8 +66,8 @@ class _Words:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
         table = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(kept))}
         self.byte_text = [table[b] for b in range(256)]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.code = "H" if self.kind is np.uint16 else "I"
+        self.words, self.pieces = _Cache(self._word), _Cache(self._piece)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self._splits_words()
 
@@ -64,21 +84,14 @@ class _Words:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = "".join([self.byte_text[b] for b in piece.encode()])
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], self.kind).tobytes()
-            if len(self.pieces) < _CACHED:
-                self.pieces[piece] = found
-        return found
+        mapped = "".join([self.byte_text[b] for b in piece.encode()])
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = b"".join(map(self._piece, self._PIECES.findall(word.lower())))
-            if len(self.words) < _CACHED:
-                self.words[word] = found
-        return found
+        lower = word.lower()
+        if lower.isalpha():  # one piece, which is cached as a word
+            return self._piece(lower)
+        return b"".join([self.pieces[p] for p in self._PIECES.findall(lower)])
 
     def ids(self, text: str) -> np.ndarray:
         plain = True
@@ -89,33 +102,49 @@ class _Words:
                 plain = len(latin.translate(None, b"\x1c\x1d\x1e\x1f")) < len(latin) or any(t in lower for t in self.added)
             except UnicodeEncodeError:
                 pass
-        joined = self._plain(text) if plain else b"".join(map(self._word, text.split()))
+        joined = self._plain(text) if plain else b"".join(map(self.words.__getitem__, text.split()))
         return np.append(np.frombuffer(joined, self.kind), self.kind(END_ID))
 
 
+_TOKENS = "doc_id long, n long, crcs array<long>, rest binary, width int, terms binary, times binary"
+
+
 def _tokenized(path: str, window: int):
+    """A row per document: the checksums of its whole windows, the ids after them, and, where there are whole windows, the
+    distinct terms of all of it and how often each occurs (else the rest is all of it)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words.of(path)
+        width = np.dtype(words.kind).itemsize
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                n, crcs, rests = [], [], []
+                n, crcs, rests, terms, times = [], [], [], [], []
                 for text in part.column(1):
                     ids = words.ids(text.as_py() or "")
                     whole = len(ids) // window * window
                     n.append(len(ids))
                     crcs.append([zlib.crc32(ids[k : k + window].astype("<u4").tobytes()) for k in range(0, whole, window)])
-                    rests.append(ids[whole:].astype("<u4" if words.kind is np.uint32 else "<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array([np.dtype(words.kind).itemsize] * len(n), pa.int32())], ["doc_id", "n", "crcs", "rest", "width"])
+                    rests.append(ids[whole:].astype(f"<u{width}").tobytes())
+                    kinds, counts = np.unique(ids, return_counts=True) if whole else (None, None)
+                    terms.append(kinds.astype(f"<u{width}").tobytes() if whole else None)
+                    times.append(counts.astype("<u4").tobytes() if whole else None)
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array([width] * len(n), pa.int32()), pa.array(terms, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "crcs", "rest", "width", "terms", "times"])
 
     return run
 
 
+def _profiles(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each document's distinct terms and how often each occurs."""
+    for rest, width, terms, times in zip(*(table[c].to_pylist() for c in ("rest", "width", "terms", "times"))):
+        yield np.unique(np.frombuffer(rest, f"<u{width}"), return_counts=True) if terms is None else (np.frombuffer(terms, f"<u{width}"), np.frombuffer(times, "<u4"))
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for rest, width in zip(batch.column(0), batch.column(1).to_pylist()):
-            terms = np.unique(np.frombuffer(rest.as_py(), f"<u{width}"))
+        for terms, _ in _profiles(batch):
             if len(terms) and terms[-1] >= len(total):
                 total = np.append(total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64))
             total[terms] += 1
@@ -123,35 +152,59 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(total[terms])], ["term", "df"])
 
 
+def bm25(terms: np.ndarray, times: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The weight of each term of one document."""
+    return idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * times.sum() / mean))
+
+
+def route(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The first terms in the order of a weighted minhash: two documents agree on the first with a chance that is the
+    common part of their weights."""
+    u = (mixed(terms.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(float) / 2**53
+    order = np.argsort(-np.log(u + 2.0**-54) / np.maximum(weights, 1e-9), kind="stable")[:_ROUTE_TERMS]
+    return np.pad(terms[order].astype(np.int64), (0, _ROUTE_TERMS - len(order)), constant_values=-1)
+
+
+def _routed(statistics):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean = statistics.value
+        for batch in batches:
+            keys = [route(terms, bm25(terms, times, idf, mean)) for terms, times in _profiles(batch)]
+            out = batch
+            for k, column in enumerate(np.array(keys, np.int64).reshape(-1, _ROUTE_TERMS).T):
+                out = out.append_column(f"r{k}", pa.array(np.ascontiguousarray(column), pa.int32()))
+            yield out
+
+    return run
+
+
 class _Index:
     """BM25 weights of one shard, by document and by term."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        sizes = np.array([len(d) for d in docs])
-        keys, tf = np.unique((np.repeat(np.arange(len(docs), dtype=np.uint64), sizes) << np.uint64(32)) | np.concatenate(docs).astype(np.uint64), return_counts=True)
-        doc, term = (keys >> np.uint64(32)).astype(np.int32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)
-        self.first = np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.terms, self.weights, self.n = term, weight, len(docs)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.value = doc[order], weight[order]
-        self.posting = np.searchsorted(term[order], np.arange(len(idf) + 1))
+    def __init__(self, profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
+        sizes = np.array([len(t) for t, _ in profiles])
+        self.n = len(profiles)
+        self.terms = np.concatenate([t for t, _ in profiles]).astype(np.int32)
+        weight = np.concatenate([bm25(t, c, idf, mean) for t, c in profiles]).astype(np.float32)
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        order = np.argsort(self.terms, kind="stable")
+        self.doc, self.value = np.repeat(np.arange(self.n), sizes)[order], weight[order]
+        self.posting = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        a, b = self.first[seed], self.first[seed + 1]
-        top = self.terms[a:b]
-        if b - a > QUERY_TERMS:
-            top = top[np.argpartition(self.weights[a:b], b - a - QUERY_TERMS)[b - a - QUERY_TERMS :]]
-        where = [slice(self.posting[t], self.posting[t + 1]) for t in top]
-        return np.bincount(np.concatenate([self.doc[w] for w in where]), np.concatenate([self.value[w] for w in where]), self.n)
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        begin, size = self.posting[terms], self.posting[terms + 1] - self.posting[terms]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.doc[at], self.value[at], self.n)
 
 
-def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length) over the rests; all but the last ones are exactly full.
+def fill(rests: list[np.ndarray], profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (document, start, length) over the rests; all but the last ones are exactly full. ``profiles``: the terms
+    of the whole documents.
 
     What would be one short window at the end is cut into windows whose lengths are powers of two, which need no padding.
     """
-    index = _Index(rests, idf, mean)
+    index = _Index(profiles, idf, mean)
     left = np.array([len(r) for r in rests])
     start = np.zeros(len(rests), np.int64)
     made: list[list[tuple[int, int, int]]] = []
@@ -203,21 +256,21 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int) ->
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
-def _packed(statistics, window: int, with_ids: bool):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+def _packed(statistics, window: int, with_ids: bool, per_shard: int):
+    """Packs successive runs of ``per_shard`` rows of a partition, each as a shard."""
+
+    def shard(table: pa.Table, sequence: int) -> tuple[pa.RecordBatch, int]:
         idf, mean = statistics.value
-        n, crcs = table["n"].to_pylist(), table["crcs"].to_pylist()
-        rests = [np.frombuffer(r.as_py(), f"<u{w}") for r, w in zip(table["rest"], table["width"].to_pylist())]
+        ids_of, n, crcs = (table[c].to_pylist() for c in ("doc_id", "n", "crcs"))
+        rests = [np.frombuffer(r, f"<u{w}") for r, w in zip(table["rest"].to_pylist(), table["width"].to_pylist())]
         rows = []
-        sequence = key[0].as_py() << 32
-        ids_of = table["doc_id"].to_pylist()
-        order = sorted(range(len(n)), key=lambda i: (ids_of[i] is not None, ids_of[i] or 0, n[i], zlib.crc32(rests[i].tobytes())))
-        for i in order:
+        for i in range(len(n)):
             for k, crc in enumerate(crcs[i]):
                 rows.append((ids_of[i], k * window, window, crc, n[i], sequence, 0, None))
                 sequence += 1
-        some = [i for i in order if len(rests[i])]
-        for pieces in fill([rests[i] for i in some], idf, mean, window) if some else []:
+        some = [i for i in range(len(n)) if len(rests[i])]
+        profiles = list(_profiles(table)) if some else []
+        for pieces in fill([rests[i] for i in some], [profiles[i] for i in some], idf, mean, window) if some else []:
             offset = 0
             for d, s, length in pieces:
                 i = some[d]
@@ -227,30 +280,47 @@ def _packed(statistics, window: int, with_ids: bool):
             sequence += 1
         columns = list(zip(*rows)) if rows else [[]] * 8
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]), sequence
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = TaskContext.get().partitionId() << 36
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= per_shard:
+                table = pa.Table.from_batches(held)
+                out, sequence = shard(table.slice(0, per_shard), sequence)
+                yield out
+                held = table.slice(per_shard).to_batches()
+        if sum(b.num_rows for b in held):
+            yield shard(pa.Table.from_batches(held), sequence)[0]
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, with_ids: bool = False, per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids of packed pieces).
 
     A null or empty text is the end token alone, so every document has a piece. Documents of a window or more give whole
     windows first and their rest to the packing. Rows that repeat an id are documents of their own; a null id stays null.
-    An empty table gives no rows. Other columns are not read. ``tokenizer`` is a tokenizer file that executors have too.
+    Documents alike in content stand next to each other and fill as many shards as they need. Of equally good neighbours
+    the one earlier in the shard is taken. An empty table gives no rows. Other columns are not read. ``tokenizer`` is a
+    tokenizer file that executors have too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     at = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
-    rows.mapInArrow(_tokenized(tokenizer, window), "doc_id long, n long, crcs array<long>, rest binary, width int").write.option("compression", "zstd").parquet(at)
+    rows.mapInArrow(_tokenized(tokenizer, window), _TOKENS).write.option("compression", "zstd").parquet(at)
     tokens = spark.read.parquet(at)
-    n_docs, mean = tokens.agg(F.count("*"), F.avg(F.length("rest") / F.col("width"))).first()
-    frequencies = tokens.select("rest", "width").mapInArrow(_document_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # at most a row per vocabulary entry
+    n_docs, mean = tokens.agg(F.count("*"), F.avg("n")).first()
+    frequencies = tokens.select("rest", "width", "terms", "times").mapInArrow(_document_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # at most a row per vocabulary entry
     idf = np.zeros(int(frequencies["term"].max()) + 1 if len(frequencies) else 1)
     df = frequencies["df"].to_numpy(float)
     idf[frequencies["term"].to_numpy(int)] = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     statistics = spark.sparkContext.broadcast((idf, max(mean or 1.0, 1.0)))
-    shards = max(1, -(-n_docs // DOCS_PER_SHARD))
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", F.crc32("rest")), F.lit(shards)))
-    packed = dealt.groupBy("shard").applyInArrow(_packed(statistics, window, with_ids), _PIECE)
+    order = [f"r{k}" for k in range(_ROUTE_TERMS)]
+    routed = tokens.mapInArrow(_routed(statistics), ", ".join([_TOKENS, *(f"{r} int" for r in order)])).withColumn("last", F.xxhash64("doc_id", "n", F.crc32("rest")))
+    parts = max(1, -(-n_docs // (per_shard * _SHARDS_PER_TASK)))
+    dealt = routed.repartitionByRange(parts, *order, "last").sortWithinPartitions(*order, "last", "doc_id").drop(*order, "last")
+    packed = dealt.mapInArrow(_packed(statistics, window, with_ids, per_shard), _PIECE)
     return packed if with_ids else packed.drop("ids")
