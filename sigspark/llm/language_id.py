@@ -1,10 +1,10 @@
 """Language identification by language-bitmask n-gram filters.
 
 A Bloom filter whose slots hold one bit per language: the AND of an n-gram's slots is the set of languages that have it.
-Counts of n-grams cover every training document. An n-gram enters a language's filter where its share of that language's
-n-grams is at least ``MIN_RATE`` and not far below its largest share in any language, so a language has at most
-``1 / MIN_RATE`` of them and the filter has a fixed bound, however large the corpus. A document's bits are counted per
-language and corrected for each language's false positives; the largest count decides.
+Counts of n-grams cover every training document. An n-gram enters the filter of every language in which its share of the
+n-grams is at least ``MIN_RATE``, so a language has at most ``1 / MIN_RATE`` of them and the filter has a fixed bound,
+however large the corpus; rarer ones are misspellings and names that any language may hold. A document's bits are counted
+per language and corrected for each language's false positives; the largest count decides.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from .common import cut_lineage, mixed, per_document, steps
 
 NGRAM_BYTES = 4
 MIN_RATE = 2e-5
-#: An n-gram marks a language if its share there is at least this part of its largest share anywhere.
-LEAST_OF_BEST = 0.2
+#: A document is taken for text of a known language if that language has at least this share of its n-grams.
+LEAST_KNOWN = 0.2
 _SLOTS_PER_NGRAM = 8
 _PROBES = 3
 _FLUSH = 4_000_000
@@ -95,8 +95,9 @@ class Filter:
         h = mixed(grams + np.uint64(1))
         return [((h >> np.uint64(20 * k)) & np.uint64(self.slots - 1)).astype(np.int64) for k in range(_PROBES)]
 
-    def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Documents x languages: how many n-grams each language has, without the false positives to be expected."""
+    def scores(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents x languages: how many n-grams each language has, without the false positives to be expected; and how
+        many each document has."""
         grams, begins = ngrams(data, at)
         places = self._places(grams.astype(np.uint64))
         out = np.zeros((len(at) - 1, len(self.languages)))
@@ -107,7 +108,7 @@ class Filter:
             for i in range(64 * k, min(64 * k + 64, len(self.languages))):
                 hits = per_document((bits >> np.uint64(i % 64)) & np.uint64(1), begins)
                 out[:, i] = (hits - np.diff(begins) * self.false_rate[i]) / (1 - self.false_rate[i])
-        return np.maximum(out, 0)
+        return np.maximum(out, 0), np.diff(begins)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
@@ -122,42 +123,45 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
     sizes = {r[0]: r[1] for r in by_gram.select(F.inline("of")).groupBy("code").agg(F.sum("n")).collect()}
     sizes_of = [sizes.get(i, 0) for i in range(len(languages))]
     rate = F.create_map(*[F.lit(x) for i, n in enumerate(sizes_of) for x in (i, 1.0 / max(1, n))])
-    rates = by_gram.select("gram", F.transform("of", lambda x: F.struct(x["code"].alias("code"), (x["n"] * F.element_at(rate, x["code"])).alias("rate"))).alias("of"))
-    rates = rates.withColumn("best", F.array_max(F.transform("of", lambda x: x["rate"]))).filter(F.col("best") >= MIN_RATE)
-    chosen = rates.select("gram", "best", F.inline("of")).filter((F.col("rate") >= MIN_RATE) & (F.col("rate") >= LEAST_OF_BEST * F.col("best")))
+    chosen = by_gram.select("gram", F.inline("of")).filter(F.col("n") * F.element_at(rate, F.col("code")) >= MIN_RATE)
     rows = chosen.select("gram", "code").toPandas()  # at most 1 / MIN_RATE rows per language
     return Filter(languages, sizes_of, rows["gram"].to_numpy(np.int64), rows["code"].to_numpy(np.int64))
 
 
 def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1).
+    """``docs`` with lang_pred, score (0 to 1: the best language's part of the n-grams of the two best) and known (0 to 1:
+    the share of the text's n-grams that the best language has).
 
     ``und`` with score 0 where the text is null, has no letter, or nothing was learned. A text without any known n-gram
     gets the language with most training text, and score 0; ties go to the first language by code point. Repeated rows get
-    equal answers, an empty table gives no rows, and input columns named lang_pred or score are replaced.
+    equal answers, an empty table gives no rows, and input columns named lang_pred, score or known are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
+    @F.pandas_udf("struct<lang_pred string, score double, known double>")
     def predict(texts, letters):
         import pandas as pd
 
         model = shared.value
-        names, scores = [], []
+        names, scores, shares = [], [], []
         has = letters.to_numpy(bool)
         for first, end, data, at in steps(pa.array(texts, pa.string(), from_pandas=True), _STEP):
             if not model.languages:
                 names += ["und"] * (end - first)
                 scores += [0.0] * (end - first)
+                shares += [0.0] * (end - first)
                 continue
-            found = model.scores(data, at)
+            found, total = model.scores(data, at)
             best = np.where(found.max(1) > 0, found.argmax(1), model.prior)
             top = found.max(1)
             second = np.sort(found, 1)[:, -2] if found.shape[1] > 1 else np.zeros(len(found))
             share = np.divide(top, top + second, out=np.zeros(len(found)), where=top > 0)
             names += [model.languages[b] if ok else "und" for b, ok in zip(best, has[first:end])]
             scores += np.where(has[first:end], share, 0.0).tolist()
-        return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
+            shares += np.where(has[first:end], np.minimum(top / np.maximum(total, 1), 1.0), 0.0).tolist()
+        return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float), "known": pd.Series(shares, dtype=float)})
 
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.drop("lang_pred", "score").withColumn("_found", predict(t, t.rlike(r"\p{L}"))).select("*", "_found.lang_pred", "_found.score").drop("_found")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "known")]
+    rows = docs.select(F.struct(*others).alias("doc"), predict(t, t.rlike(r"\p{L}")).alias("found"))
+    return rows.select("doc.*", "found.*")
