@@ -15,10 +15,10 @@ from sigspark.llm.queries import held_out, tokenizer_file
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: no text, no letter, or no n-gram of any known language."""
+    """Drops documents in which no language can be told: no text, no letter, or too few n-grams of any known language."""
     model = language_id.train(docs.filter(~held_out("doc_id", 4, 2)))
     found = language_id.identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") > 0)).select("_row.*")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("known") >= language_id.LEAST_KNOWN)).select("_row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
