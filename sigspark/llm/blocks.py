@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import shared_dir, steps, word_bounds
 
 BLOCK_BYTES = 2_000_000
-_MOST_BUCKETS = 4096
 
 ASKED = "kind int, bucket int, block long, keys binary, more binary"
 ANSWERED = "block long, kind int, bucket int, answer binary"
@@ -77,14 +76,19 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of the sorted keys begins, and the end."""
-    borders = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, borders), [len(keys)]))
+def bucket_runs(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the runs of sorted keys that go to one bucket; a bucket is a range of the hash space."""
+    if not len(keys):
+        return []
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return list(zip(bucket[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)]))
 
 
 def bucket_count(blocks: int) -> int:
-    return max(1, min(_MOST_BUCKETS, blocks // 4))
+    """So many that a bucket holds about the keys of four blocks, however many blocks there are. A block then sends at most
+    a row per key."""
+    return max(1, blocks // 4)
 
 
 Question = tuple[int, np.ndarray, Callable[[int, int], bytes]]
@@ -103,10 +107,9 @@ def questions(of_block: Callable[[pa.RecordBatch, int], Iterable[Question]], buc
 
 
 def asked(block: int, kind: int, keys: np.ndarray, more: Callable[[int, int], bytes], buckets: int) -> pa.RecordBatch:
-    edges = bucket_edges(keys, buckets)
-    full = np.flatnonzero(np.diff(edges))
-    columns = [pa.array([kind] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64())]
-    columns += [pa.array([f(edges[k], edges[k + 1]) for k in full], pa.binary()) for f in (lambda a, b: packed(keys[a:b]), more)]
+    runs = bucket_runs(keys, buckets)
+    columns = [pa.array([kind] * len(runs), pa.int32()), pa.array([r[0] for r in runs], pa.int32()), pa.array([block] * len(runs), pa.int64())]
+    columns += [pa.array([f(a, b) for _, a, b in runs], pa.binary()) for f in (lambda a, b: packed(keys[a:b]), more)]
     return pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "block", "keys", "more"])
 
 

@@ -3,6 +3,9 @@
 Exploded n-grams are put, block by block, to count tables that are partitioned by hash; the counts come back to the
 block and are summed per document. The counts cover every document. A document is scored against all others: what its
 own text adds to a count is taken off again, for else every n-gram of the corpus would be known.
+
+Words and pairs are asked about at once, longer n-grams one length after the other: an n-gram that another document has
+was seen there with both its shorter parts, so only those are asked about whose parts others have.
 """
 
 from __future__ import annotations
@@ -11,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import ANSWERED, ASKED, answers, bucket_count, into_blocks, joined_answers, opened, questions, restored, squeezed, unpacked
+from .blocks import ANSWERED, ASKED, answers, asked, bucket_count, bucket_runs, into_blocks, joined_answers, opened, questions, restored, squeezed, unpacked
 from .common import Rolling, mixed, per_document, word_bounds
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 #: Larger blocks ask about fewer keys: a key is asked about once per block.
 BLOCK_BYTES = 4_000_000
@@ -46,49 +49,90 @@ def _untimed(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def _asked(order: int):
-    def of_block(batch: pa.RecordBatch, row: int):
-        for n, (_, hashes) in enumerate(_grams(*opened(batch, row), order)[0], 1):
-            keys, counts = np.unique(hashes, return_counts=True)
-            yield n, keys, lambda a, b, counts=counts: _times(counts[a:b])
-
-    return of_block
+def _asked(batch: pa.RecordBatch, row: int):
+    for n, (_, hashes) in enumerate(_grams(*opened(batch, row), 2)[0], 1):
+        keys, counts = np.unique(hashes, return_counts=True)
+        yield n, keys, lambda a, b, counts=counts: _times(counts[a:b])
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """One bucket of a count table: the total of every key that any block asked about."""
+    """One bucket of a count table. An answer has a bit for each key, whether other blocks have it too, and the totals of
+    those."""
     keys = [unpacked(k.as_py()) for k in table["keys"]]
     own = [_untimed(m.as_py(), len(k)) for k, m in zip(keys, table["more"])]
     _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, np.concatenate(own))[back].astype("<u8")
+    total = np.bincount(back, np.concatenate(own))[back].astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
-    return answers(table, [squeezed(total[e - len(k) : e].tobytes()) for k, e in zip(keys, ends)])
+    replies = []
+    for k, o, e in zip(keys, own, ends):
+        mine = total[e - len(k) : e]
+        more = mine > o
+        wide = "<u4" if not more.any() or mine.max() < 1 << 32 else "<u8"
+        replies.append((b"4" if wide == "<u4" else b"8") + np.packbits(more).tobytes() + squeezed(mine[more].astype(wide).tobytes()))
+    return answers(table, replies)
+
+
+class _Known:
+    """A block's n-grams and what the replies say of them: ``elsewhere[n]``, the count of the n-gram that ends at each word
+    in all other documents; level 0 holds the words of all other documents."""
+
+    def __init__(self, blocks: pa.Table, replies: pa.Table, corpus_words: int, order: int, buckets: int):
+        grams, self.first = _grams(*opened(blocks, 0), order)
+        self.n = np.diff(self.first)
+        self.document = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(len(self.document)) - np.repeat(self.first[:-1], self.n)
+        self.salt = mixed(self.document.astype(np.uint64) + np.uint64(1))
+        self.elsewhere = [np.repeat(corpus_words - self.n, self.n).astype(float)]
+        self.buckets = buckets
+        for k, (last, hashes) in enumerate(grams, 1):
+            if k > 2:
+                last, hashes = self.possible(k, last, hashes)
+            keys, back, own = np.unique(hashes, return_inverse=True, return_counts=True)
+            totals = own.astype(np.int64)
+            parts = joined_answers(replies, k)
+            if k > 2 and not parts:  # not asked yet
+                break
+            for (_, a, b), part in zip(bucket_runs(keys, buckets), parts, strict=True):
+                bits = 1 + (b - a + 7) // 8
+                more = np.flatnonzero(np.unpackbits(np.frombuffer(part, np.uint8, bits - 1, 1))[: b - a])
+                totals[a + more] = np.frombuffer(restored(part[bits:]), f"<u{chr(part[0])}")
+            _, mine, times = np.unique(mixed(hashes ^ self.salt[last]), return_inverse=True, return_counts=True)
+            counts = np.zeros(len(self.document))
+            if len(hashes):
+                counts[last] = totals[back] - times[mine]
+            self.elsewhere.append(counts)
+        self.left = grams[len(self.elsewhere) - 1] if len(self.elsewhere) <= order else None
 
+    def possible(self, k: int, last: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those n-grams of length k of which other documents have both parts, words 1 to k - 1 and 2 to k."""
+        shorter = self.elsewhere[k - 1] > 0
+        both = shorter[last] & shorter[last - 1]
+        return last[both], hashes[both]
+
+
+def _asked_next(order: int, corpus_words: int, buckets: int):
+    """Asks about the n-grams of length ``order`` of which other documents have both parts."""
 
-def _scored(order: int, corpus_words: int):
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        data, at = opened(blocks, 0)
-        grams, first = _grams(data, at, order)
-        n = np.diff(first)
-        document = np.repeat(np.arange(len(n)), n)
-        salt = mixed(document.astype(np.uint64) + np.uint64(1))
-        elsewhere = [np.repeat(corpus_words - n, n).astype(float)]  # level 0: the words of all other documents
-        for k, (last, hashes) in enumerate(grams, 1):
-            _, back = np.unique(hashes, return_inverse=True)
-            totals = np.frombuffer(b"".join(map(restored, joined_answers(replies, k))), "<u8")
-            _, own, times = np.unique(mixed(hashes ^ salt[last]), return_inverse=True, return_counts=True)
-            counts = np.zeros(len(document))
-            if len(hashes):
-                counts[last] = totals[back].astype(float) - times[own]
-            elsewhere.append(counts)
+        known = _Known(blocks, replies, corpus_words, order, buckets)
+        keys, counts = np.unique(known.possible(order, *known.left)[1], return_counts=True)
+        return pa.Table.from_batches([asked(blocks["block"][0].as_py(), order, keys, lambda a, b: _times(counts[a:b]), buckets)])
+
+    return run
+
+
+def _scored(order: int, corpus_words: int, buckets: int):
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        known = _Known(blocks, replies, corpus_words, order, buckets)
+        n, first, document, elsewhere = known.n, known.first, known.document, known.elsewhere
         log = -np.log10(np.maximum(elsewhere[0], 0) + 1)  # an unseen word: one in all other words and one
         level = np.zeros(len(document), np.int64)
-        for k in range(1, order + 1):
+        for k in range(1, len(elsewhere)):
             context = elsewhere[0] if k == 1 else np.r_[0.0, elsewhere[k - 1][:-1]]
-            known = elsewhere[k] > 0
-            log[known] = np.log10(elsewhere[k][known] / context[known])
-            level[known] = k
-        possible = np.minimum(np.arange(len(document)) - np.repeat(first[:-1], n) + 1, order)
+            found = elsewhere[k] > 0
+            log[found] = np.log10(elsewhere[k][found] / context[found])
+            level[found] = k
+        possible = np.minimum(known.place + 1, order)
         log += np.log10(BACKOFF) * (possible - np.maximum(level, 1))
         total = np.bincount(document, log, len(n)).astype(float)
         return pa.table(
@@ -109,7 +153,11 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", order:
     """
     blocks = into_blocks(docs, text, id_column, BLOCK_BYTES)
     n_blocks, words = blocks.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    ask = blocks.select("block", "sizes", "data").mapInArrow(questions(_asked(order), bucket_count(n_blocks)), ASKED)
-    replies = ask.groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED)
+    buckets = bucket_count(n_blocks)
+    whole, body = blocks.select("block", "ids", "sizes", "data"), blocks.select("block", "sizes", "data")
+    replies = body.mapInArrow(questions(_asked, buckets), ASKED).groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED)
+    for n in range(3, order + 1):
+        more = whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_asked_next(n, words, buckets), ASKED)
+        replies = replies.unionByName(more.groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED))
     schema = "doc_id long, n_words long, n_backed_off long, log10_score double, mean_log10 double"
-    return blocks.select("block", "ids", "sizes", "data").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(order, words), schema)
+    return whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(order, words, buckets), schema)

@@ -102,12 +102,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     "op3_stupid_backoff": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
-b AS (SELECT r, i, n, word, lag(word) OVER (PARTITION BY r ORDER BY i) AS prev, (count(*) OVER ())::DOUBLE AS total FROM w),
+b AS (SELECT r, i, n, word, lag(word) OVER p AS prev, lag(word, 2) OVER p AS prev2, (count(*) OVER ())::DOUBLE AS total FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
 c AS (SELECT r, i, n, total, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY r, word) AS c1,
-  CASE WHEN prev IS NOT NULL THEN count(*) OVER (PARTITION BY prev, word) - count(*) OVER (PARTITION BY r, prev, word) END AS c2 FROM b),
-e AS (SELECT r, i, total - n AS others, c1, c2, lag(c1) OVER (PARTITION BY r ORDER BY i) AS before FROM c),
-s AS (SELECT r, i, CASE WHEN c2 > 0 THEN log10(c2 / before) WHEN c1 > 0 THEN log10(c1 / others) ELSE -log10(others + 1) END
-  + CASE WHEN i > 1 AND NOT coalesce(c2 > 0, false) THEN log10(0.4) ELSE 0 END AS s, CASE WHEN i > 1 THEN NOT coalesce(c2 > 0, false) ELSE c1 <= 0 END AS back FROM e),
+  CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY prev, word) - count(*) OVER (PARTITION BY r, prev, word) ELSE 0 END AS c2,
+  CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY prev2, prev, word) - count(*) OVER (PARTITION BY r, prev2, prev, word) ELSE 0 END AS c3 FROM b),
+e AS (SELECT r, i, total - n AS others, c1, c2, c3, lag(c1) OVER p AS before1, lag(c2) OVER p AS before2 FROM c WINDOW p AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT *, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS level, least(i, 3) AS possible FROM e),
+s AS (SELECT r, CASE level WHEN 3 THEN log10(c3 / before2) WHEN 2 THEN log10(c2 / before1) WHEN 1 THEN log10(c1 / others) ELSE -log10(others + 1) END
+  + log10(0.4) * (possible - greatest(level, 1)) AS s, level < possible AS back FROM f),
 t AS (SELECT r, count(*) AS n, count(*) FILTER (back) AS backed, sum(s) AS total FROM s GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(backed, 0)::BIGINT AS n_backed_off, round(coalesce(total, 0), 6) + 0e0 AS log10_score, round(coalesce(total / n, 0), 6) + 0e0 AS mean_log10
 FROM d LEFT JOIN t USING (r)""",

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import ANSWERED, ASKED, answers, asked, bucket_count, bucket_edges, into_blocks, joined_answers, opened, questions, restored, squeezed, unpacked
+from .blocks import ANSWERED, ASKED, answers, asked, bucket_count, bucket_runs, into_blocks, joined_answers, opened, questions, restored, squeezed, unpacked
 from .common import Rolling, per_document
 
 LENGTH = 200
@@ -319,15 +319,13 @@ def _removed(buckets: int, with_text: bool):
         np.add.at(change, runs.start[same] + runs.n[same] + LENGTH - 1, -1)
         one, _, order, which = runs.chosen(verdict, _MIXED)
         if len(one):
-            edges = bucket_edges(runs.key[one], buckets)
             lead = np.concatenate(([0], np.cumsum(runs.n[one])))
-            flags = _flags(replies, _TEXTS, [int(lead[b] - lead[a]) for a, b in zip(edges[:-1], edges[1:]) if b > a])
+            flags = _flags(replies, _TEXTS, [int(lead[b] - lead[a]) for _, a, b in bucket_runs(runs.key[one], buckets)])
             repeats(_ranges(runs.start[order], runs.n[order])[flags[_ranges(lead[which], runs.n[order])]])
         _, _, order, _ = runs.chosen(verdict, _CROWDED)
         if len(order):
             windows, keys, back = _names(runs, order)
-            edges = bucket_edges(keys, buckets)
-            repeats(windows[_flags(replies, _NAMES, [int(c) for c in np.diff(edges) if c])[back]])
+            repeats(windows[_flags(replies, _NAMES, [b - a for _, a, b in bucket_runs(keys, buckets)])[back]])
         gone = np.cumsum(change[: len(data)]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
