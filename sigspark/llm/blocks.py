@@ -25,8 +25,8 @@ ASKED = "kind int, bucket int, block long, keys binary, more binary"
 ANSWERED = "block long, kind int, bucket int, answer binary"
 
 
-def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=5).compress(data)
+def squeezed(data: bytes, level: int = 5) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def restored(data: bytes) -> bytes:
@@ -39,7 +39,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Itera
             ids = batch.column(0).slice(first, end - first)
             words = len(word_bounds(data, at)[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at).tolist()], pa.list_(pa.int64())), pa.array([words], pa.int64()), pa.array([squeezed(data.tobytes())], pa.binary())],
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at).tolist()], pa.list_(pa.int64())), pa.array([words], pa.int64()), pa.array([squeezed(data.tobytes(), 9)], pa.binary())],
                 ["block", "ids", "sizes", "words", "data"],
             )
 

@@ -20,7 +20,7 @@ from .common import Rolling, mixed, per_document, word_bounds
 ORDER = 3
 BACKOFF = 0.4
 #: Larger blocks ask about fewer keys: a key is asked about once per block.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
 
 
 def _grams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
