@@ -30,7 +30,7 @@ DOCS_PER_SHARD = 2048
 _SHARDS_PER_TASK = 8
 _ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
-_CACHED = 400_000
+_CACHED = 1_000_000
 
 
 class _Cache(dict):
@@ -110,8 +110,8 @@ _TOKENS = "doc_id long, n long, crcs array<long>, rest binary, width int, terms
 
 
 def _tokenized(path: str, window: int):
-    """A row per document: the checksums of its whole windows, the ids after them, and, where there are whole windows, the
-    distinct terms of all of it and how often each occurs (else the rest is all of it)."""
+    """A row per document: the checksums of its whole windows, the ids after them, and the distinct terms of all of it with
+    how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words.of(path)
@@ -126,9 +126,9 @@ def _tokenized(path: str, window: int):
                     n.append(len(ids))
                     crcs.append([zlib.crc32(ids[k : k + window].astype("<u4").tobytes()) for k in range(0, whole, window)])
                     rests.append(ids[whole:].astype(f"<u{width}").tobytes())
-                    kinds, counts = np.unique(ids, return_counts=True) if whole else (None, None)
-                    terms.append(kinds.astype(f"<u{width}").tobytes() if whole else None)
-                    times.append(counts.astype("<u4").tobytes() if whole else None)
+                    kinds, counts = np.unique(ids, return_counts=True)
+                    terms.append(kinds.astype(f"<u{width}").tobytes())
+                    times.append(counts.astype("<u4").tobytes() if counts.max() > 255 else counts.astype(np.uint8).tobytes())
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array([width] * len(n), pa.int32()), pa.array(terms, pa.binary()), pa.array(times, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "crcs", "rest", "width", "terms", "times"])
 
@@ -137,17 +137,19 @@ def _tokenized(path: str, window: int):
 
 def _profiles(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each document's distinct terms and how often each occurs."""
-    for rest, width, terms, times in zip(*(table[c].to_pylist() for c in ("rest", "width", "terms", "times"))):
-        yield np.unique(np.frombuffer(rest, f"<u{width}"), return_counts=True) if terms is None else (np.frombuffer(terms, f"<u{width}"), np.frombuffer(times, "<u4"))
+    for width, terms, times in zip(*(table[c].to_pylist() for c in ("width", "terms", "times"))):
+        kinds = np.frombuffer(terms, f"<u{width}")
+        yield kinds, np.frombuffer(times, np.uint8 if len(times) == len(kinds) else "<u4").astype(np.int64)
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for terms, _ in _profiles(batch):
-            if len(terms) and terms[-1] >= len(total):
-                total = np.append(total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64))
-            total[terms] += 1
+        terms = np.concatenate([t for t, _ in _profiles(batch)]) if batch.num_rows else np.zeros(0, np.int64)
+        found = np.bincount(terms)
+        if len(found) > len(total):
+            total = np.append(total, np.zeros(len(found) - len(total), np.int64))
+        total[: len(found)] += found
     terms = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(total[terms])], ["term", "df"])
 
@@ -179,23 +181,34 @@ def _routed(statistics):
 
 
 class _Index:
-    """BM25 weights of one shard, by document and by term."""
+    """BM25 weights of one shard: postings of the rarer terms, and a matrix for those that very many documents have."""
 
     def __init__(self, profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
         sizes = np.array([len(t) for t, _ in profiles])
         self.n = len(profiles)
-        self.terms = np.concatenate([t for t, _ in profiles]).astype(np.int32)
+        terms = np.concatenate([t for t, _ in profiles]).astype(np.int64)
         weight = np.concatenate([bm25(t, c, idf, mean) for t, c in profiles]).astype(np.float32)
-        self.first = np.concatenate(([0], np.cumsum(sizes)))
-        order = np.argsort(self.terms, kind="stable")
-        self.doc, self.value = np.repeat(np.arange(self.n), sizes)[order], weight[order]
-        self.posting = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
+        doc = np.repeat(np.arange(self.n), sizes)
+        often = np.bincount(terms, minlength=len(idf))
+        column = np.full(len(idf), -1)
+        full = np.flatnonzero(often > max(8, self.n // 32))
+        column[full] = np.arange(len(full))
+        in_matrix = column[terms] >= 0
+        self.matrix = np.zeros((self.n, len(full)), np.float32)
+        self.matrix[doc[in_matrix], column[terms[in_matrix]]] = weight[in_matrix]
+        self.in_query = self.matrix > 0
+        terms, weight, doc = terms[~in_matrix], weight[~in_matrix], doc[~in_matrix]
+        self.first = np.searchsorted(doc, np.arange(self.n + 1))
+        self.terms = terms
+        order = np.argsort(terms, kind="stable")
+        self.doc, self.value = doc[order], weight[order]
+        self.posting = np.searchsorted(terms[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.terms[self.first[seed] : self.first[seed + 1]]
         begin, size = self.posting[terms], self.posting[terms + 1] - self.posting[terms]
         at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.value[at], self.n)
+        return np.bincount(self.doc[at], self.value[at], self.n) + self.matrix @ self.in_query[seed].astype(np.float32)
 
 
 def fill(rests: list[np.ndarray], profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
@@ -313,13 +326,16 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_column: str = "
     rows.mapInArrow(_tokenized(tokenizer, window), _TOKENS).write.option("compression", "zstd").parquet(at)
     tokens = spark.read.parquet(at)
     n_docs, mean = tokens.agg(F.count("*"), F.avg("n")).first()
-    frequencies = tokens.select("rest", "width", "terms", "times").mapInArrow(_document_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # at most a row per vocabulary entry
+    frequencies = tokens.select("width", "terms", "times").mapInArrow(_document_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # at most a row per vocabulary entry
     idf = np.zeros(int(frequencies["term"].max()) + 1 if len(frequencies) else 1)
     df = frequencies["df"].to_numpy(float)
     idf[frequencies["term"].to_numpy(int)] = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     statistics = spark.sparkContext.broadcast((idf, max(mean or 1.0, 1.0)))
     order = [f"r{k}" for k in range(_ROUTE_TERMS)]
     routed = tokens.mapInArrow(_routed(statistics), ", ".join([_TOKENS, *(f"{r} int" for r in order)])).withColumn("last", F.xxhash64("doc_id", "n", F.crc32("rest")))
+    # Written, so that finding the borders of the ranges reads the keys alone.
+    routed.write.option("compression", "zstd").parquet(f"{at}-routed")
+    routed = spark.read.parquet(f"{at}-routed")
     parts = max(1, -(-n_docs // (per_shard * _SHARDS_PER_TASK)))
     dealt = routed.repartitionByRange(parts, *order, "last").sortWithinPartitions(*order, "last", "doc_id").drop(*order, "last")
     packed = dealt.mapInArrow(_packed(statistics, window, with_ids, per_shard), _PIECE)
