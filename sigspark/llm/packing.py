@@ -84,7 +84,7 @@ class _Words:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join([self.byte_text[b] for b in piece.encode()])
+        mapped = piece if piece.isascii() and piece.isalpha() else "".join([self.byte_text[b] for b in piece.encode()])
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
