@@ -30,7 +30,7 @@ DOCS_PER_SHARD = 2048
 _SHARDS_PER_TASK = 8
 _ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
-_CACHED = 1_000_000
+_CACHED = 200_000
 
 
 class _Cache(dict):

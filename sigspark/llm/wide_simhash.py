@@ -36,6 +36,7 @@ CHUNK = 1 << 20
 MISSED = 0.001
 #: Standard deviations of the distance that the radius allows for.
 SPARE = 3.0
+_STEP = 1 << 20
 
 _WORDS = BITS // 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -106,7 +107,7 @@ def _prints(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in steps(batch.column("text")):
+            for low, high, data, at in steps(batch.column("text"), _STEP):
                 document, hashes = shingles(data, at, words)
                 size = np.bincount(document, minlength=high - low)
                 out = batch.slice(low, high - low).drop_columns("text").append_column("print", pa.array(_set_hash(hashes, size)))
@@ -128,7 +129,7 @@ def _set_hash(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in steps(batch.column(0)):
+            for low, high, data, at in steps(batch.column(0), _STEP):
                 document, hashes = shingles(data, at, words)
                 size = np.bincount(document, minlength=high - low)
                 offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
