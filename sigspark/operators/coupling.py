@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio
 from .features import dfa
-from .series import exploded_windows, ordered, ranked, whole
+from .series import equal_frequency_bins, exploded_windows, ordered, ranked, whole
 
 PAIR = ["pair_id"]
 
@@ -61,27 +61,33 @@ def spearman(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
 
 
 def binned(pairs: DataFrame, bins: int, keys: list[str] = PAIR, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """Each column as one of ``bins`` equally full bins, from 1."""
-    return pairs.withColumns({c: F.ntile(bins).over(W.partitionBy(*keys).orderBy(c, "idx")).cast("long") for c in columns})
+    """Each column as one of at most ``bins`` codes from 0: by percentile edges, or the values themselves where there are few.
+    Equal values have equal codes, nulls none."""
+    for c in columns:
+        pairs = equal_frequency_bins(pairs, bins, keys, c, c)
+    return pairs
 
 
 def mutual_information(cells: DataFrame, keys: list[str] = PAIR) -> DataFrame:
-    """mi_nats of discrete x and y."""
-    n = cells.groupBy(*keys, "x", "y").agg(F.count("*").alias("_n"))
+    """mi_nats of discrete x and y over the rows that have both."""
+    n = cells.filter("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys, "x", "y").agg(F.count("*").alias("_n"))
     n = n.withColumns({"_x": F.sum("_n").over(whole([*keys, "x"])), "_y": F.sum("_n").over(whole([*keys, "y"])), "_all": F.sum("_n").over(whole(keys))})
     return n.groupBy(*keys).agg((F.sum(F.col("_n") / F.col("_all") * F.ln(F.col("_n") * F.col("_all") / (F.col("_x") * F.col("_y"))))).alias("mi_nats"))
 
 
 def lagged_mutual_information(pairs: DataFrame, bins: int, max_lag: int, keys: list[str] = PAIR) -> DataFrame:
-    """mi_nats at each lag; positive: x comes later."""
-    rows = _lag_rows(binned(pairs, bins, keys), max_lag, keys, "idx").select(*keys, "lag", F.inline("both"))
+    """mi_nats at each lag; positive: y comes later (other than in cross-correlation, where x does)."""
+    rows = _lag_rows(binned(pairs, bins, keys), max_lag, keys, "idx").select(*keys, (-F.col("lag")).alias("lag"), F.inline("both"))
     return mutual_information(rows, [*keys, "lag"])
 
 
-def transfer_entropy(pairs: DataFrame, bins: int, keys: list[str] = PAIR, source: str = "x", target: str = "y") -> DataFrame:
-    """Bits that the source's past adds to the target's own past about its next value; history of one."""
+def transfer_entropy(pairs: DataFrame, bins: int, keys: list[str] = PAIR, source: str = "x", target: str = "y", history: int = 1) -> DataFrame:
+    """Bits that the source's last value adds to the target's last ``history`` values about its next one. Steps with a
+    missing value are left out."""
     b = binned(pairs, bins, keys)
-    t = b.select(*keys, F.lead(target).over(ordered(keys)).alias("_f"), F.col(target).alias("_h"), F.col(source).alias("_s")).filter("_f IS NOT NULL")
+    past = [F.lag(target, k).over(ordered(keys)) if k else F.col(target) for k in range(history)]
+    t = b.select(*keys, F.lead(target).over(ordered(keys)).alias("_f"), F.array(*past).alias("_h"), F.col(source).alias("_s"))
+    t = t.filter(F.col("_f").isNotNull() & F.col("_s").isNotNull() & ~F.exists("_h", lambda v: v.isNull()))
     n = t.groupBy(*keys, "_f", "_h", "_s").agg(F.count("*").alias("_n"))
     n = n.withColumns({"_hs": F.sum("_n").over(whole([*keys, "_h", "_s"])), "_fh": F.sum("_n").over(whole([*keys, "_f", "_h"])), "_hh": F.sum("_n").over(whole([*keys, "_h"])), "_all": F.sum("_n").over(whole(keys))})
     return n.groupBy(*keys).agg((F.sum(F.col("_n") / F.col("_all") * F.log2(F.col("_n") * F.col("_hh") / (F.col("_hs") * F.col("_fh")))) + 0.0).alias("te_bits"))

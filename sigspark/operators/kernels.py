@@ -28,7 +28,7 @@ def per_group(df: DataFrame, keys: list[str], columns: list[str], kernel, schema
 
 def lempel_ziv(x: np.ndarray) -> dict:
     """Number of phrases of the median-split series, times log2 n / n."""
-    s, n = "".join("1" if v > np.median(x) else "0" for v in x), len(x)
+    s, n = "".join(np.where(x > np.median(x), "1", "0")) if len(x) else "", len(x)
     phrases = at = 0
     while at < n:
         size = 1

@@ -52,13 +52,15 @@ def log_minmax(df: DataFrame, keys: list[str] = KEYS, x: str = "x", out: str = "
 
 
 def equal_frequency_bins(df: DataFrame, bins: int, keys: list[str] = KEYS, x: str = "x", out: str = "bin") -> DataFrame:
-    """0 to bins - 1 by percentile edges; a series with few distinct values keeps them as its bins."""
+    """0 to bins - 1 by percentile edges; a series with few distinct values keeps them as its bins. Equal values share a bin;
+    nulls have none."""
     cuts = F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)]))
     edges = df.groupBy(*keys).agg(cuts.alias("_cuts"), F.count_distinct(x).alias("_kinds"))
     joined = df.join(edges, keys)
     counted = F.size(F.filter("_cuts", lambda c: c <= F.col(x))).cast("long")
-    dense = (F.dense_rank().over(ordered(keys, x)) - 1).cast("long")
-    return joined.withColumn(out, F.when(F.col("_kinds") <= bins, dense).otherwise(counted)).drop("_cuts", "_kinds")
+    dense = (F.dense_rank().over(W.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())) - 1).cast("long")
+    binned = F.when(F.col("_kinds") <= bins, dense).otherwise(counted)
+    return joined.withColumn("_bin", F.when(F.col(x).isNotNull(), binned)).drop("_cuts", "_kinds").withColumn(out, F.col("_bin")).drop("_bin")
 
 
 def trace(df: DataFrame, series: Column, fs: float, name: str, modality: str, t0: float, units: str, x: str = "x", idx: str = "idx") -> DataFrame:
@@ -72,22 +74,27 @@ def crop(df: DataFrame, t0: float, t1: float, fs: float, origin: float = 0.0) ->
     return df.filter(F.col("idx").between(low, high)).withColumn("idx", F.col("idx") - low)
 
 
+def _window_rows(df: DataFrame, width: int, step: int, idx: str) -> DataFrame:
+    """Every row once per window that may hold it. Windows are found by integer arithmetic, not by a range join."""
+    i = F.col(idx)
+    first = F.greatest(F.lit(0), F.ceil((i - (width - 1)) / step).cast("long"))
+    last = F.floor(i / step).cast("long")
+    out = df.withColumn("w", F.explode(F.when(last >= first, F.sequence(first, last))))
+    return out.withColumn("pos", i - F.col("w") * step)
+
+
 def exploded_windows(df: DataFrame, width: int, step: int, keys: list[str] = KEYS, idx: str = "idx") -> DataFrame:
     """Every row once per window that holds it, with the window's number ``w`` and the place ``pos`` in it.
 
-    Windows are found by integer arithmetic, not by a range join. Only complete windows are given: the last partial one
-    is left out, as are windows with missing rows.
+    Only complete windows are given: the last partial one is left out, as are windows with missing rows. Rows are counted
+    per window, so nothing is ordered or counted over a whole series.
     """
-    i, n = F.col(idx), F.max(idx).over(whole(keys)) + 1
-    first = F.greatest(F.lit(0), F.ceil((i - (width - 1)) / step).cast("long"))
-    last = F.least(F.floor(i / step), F.floor((F.col("_n") - width) / step)).cast("long")
-    out = df.withColumn("_n", n).withColumn("w", F.when(last >= first, F.sequence(first, last))).withColumn("w", F.explode("w"))
-    return out.withColumn("pos", i - F.col("w") * step).drop("_n")
+    return _window_rows(df, width, step, idx).withColumn("_n", F.count("*").over(whole([*keys, "w"]))).filter(F.col("_n") == width).drop("_n")
 
 
 def windowed(df: DataFrame, width: int, step: int, aggregates: list[Column], keys: list[str] = KEYS, fs: float = 1.0) -> DataFrame:
     """Aggregates per window, with its start, end and centre in seconds: the built-in surface for window features."""
-    out = exploded_windows(df, width, step, keys).groupBy(*keys, "w").agg(F.count("*").alias("_n"), *aggregates).filter(F.col("_n") == width).drop("_n")
+    out = _window_rows(df, width, step, "idx").groupBy(*keys, "w").agg(F.count("*").alias("_n"), *aggregates).filter(F.col("_n") == width).drop("_n")
     return out.withColumns({"time_start": F.col("w") * step / fs, "time_end": (F.col("w") * step + width) / fs, "time_centre": (F.col("w") * step + width / 2) / fs})
 
 

@@ -97,13 +97,14 @@ def slopes(df: DataFrame, keys: list[str], t: str, value: str, least: int = 4) -
 
 
 def effect_size(df: DataFrame, keys: list[str], group: str, first: str, second: str, value: str = "value") -> DataFrame:
-    """Cohen's d with the pooled deviation, the raw and the relative difference, second against first."""
+    """Cohen's d with the deviation pooled by degrees of freedom, the raw and the relative difference, second against first."""
     def of(g: str, f) -> Column:
         return f(F.when(F.col(group) == g, F.col(value)))
 
-    g = df.groupBy(*keys).agg(of(first, F.avg).alias("_a"), of(second, F.avg).alias("_b"), of(first, F.var_samp).alias("_va"), of(second, F.var_samp).alias("_vb"))
+    g = df.groupBy(*keys).agg(of(first, F.avg).alias("_a"), of(second, F.avg).alias("_b"), of(first, F.var_samp).alias("_va"), of(second, F.var_samp).alias("_vb"), of(first, F.count).alias("_na"), of(second, F.count).alias("_nb"))
+    pooled = ((F.col("_na") - 1) * F.col("_va") + (F.col("_nb") - 1) * F.col("_vb")) / F.nullif(F.col("_na") + F.col("_nb") - 2, F.lit(0))
     raw = F.col("_b") - F.col("_a")
-    return g.select(*keys, raw.alias("raw"), ratio(raw, F.sqrt((F.col("_va") + F.col("_vb")) / 2)).alias("cohens_d"), ratio(100 * raw, F.abs("_a")).alias("percent"))
+    return g.select(*keys, raw.alias("raw"), ratio(raw, F.sqrt(pooled)).alias("cohens_d"), ratio(100 * raw, F.abs("_a")).alias("percent"))
 
 
 def direction(df: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:

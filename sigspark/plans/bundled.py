@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align as A, bundles as bd, coupling as cp, frames as fr, models as md, series as op, spectral as sp, statistics as st
 from ..sources.recordings import one_per_time, union_all
+from .coupled import _MI, bins_sql
 from .registry import cells, frame_emb, pair_emb, query, rounded, sig_emb, sig_events, sig_hourly
 
 P = ["pair_id"]
@@ -156,7 +157,7 @@ def cpl_pac_windowed(spark, d):
     return _all(sp.phase_amplitude(pa, keys))
 
 
-@query(", b AS (SELECT pair_id, w.w, idx, ntile(3) OVER (PARTITION BY pair_id, w.w ORDER BY x, idx) AS x, ntile(3) OVER (PARTITION BY pair_id, w.w ORDER BY y, idx) AS y FROM pair_emb, (SELECT range AS w FROM range(3)) w WHERE idx >= w.w * 16 AND idx < w.w * 16 + 32), n AS (SELECT pair_id, w, x, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), t AS (SELECT pair_id, w, n, sum(n) OVER (PARTITION BY pair_id, w, x) AS nx, sum(n) OVER (PARTITION BY pair_id, w, y) AS ny, sum(n) OVER (PARTITION BY pair_id, w) AS total FROM n) SELECT pair_id, w, round(sum(n / total * ln(n * total / (nx * ny))), 6) + 0e0 AS mi_nats FROM t GROUP BY pair_id, w", "pair_emb")
+@query(", pw AS (SELECT pair_id, w.w, idx, x, y FROM pair_emb, (SELECT range AS w FROM range(3)) w WHERE idx >= w.w * 16 AND idx < w.w * 16 + 32)" + bins_sql("b", "pw", "pair_id, w", 3) + " " + _MI.format("pair_id, w", "b"), "pair_emb")
 def cpl_mi_windowed(spark, d):
     w = op.exploded_windows(pair_emb(spark, d), 32, 16, P)
     return rounded(cp.mutual_information(cp.binned(w, 3, ["pair_id", "w"]), ["pair_id", "w"]), "mi_nats")

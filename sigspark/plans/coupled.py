@@ -72,8 +72,21 @@ def cpl_phase_amplitude(spark, d):
     return rounded(sp.phase_amplitude(pa, P), "mi", "mvl", "mvl_norm").withColumn("preferred_phase", F.round("preferred_phase", 4) + 0.0)
 
 
-_BIN = ", bins AS (SELECT pair_id, idx, ntile(4) OVER (PARTITION BY pair_id ORDER BY x, idx) AS x, ntile(4) OVER (PARTITION BY pair_id ORDER BY y, idx) AS y FROM pair_emb)"
-_MI = "SELECT {0}, round(sum(n / total * ln(n * total / (nx * ny))), 6) + 0e0 AS mi_nats FROM (SELECT {0}, n::DOUBLE AS n, sum(n) OVER (PARTITION BY {0}, x) AS nx, sum(n) OVER (PARTITION BY {0}, y) AS ny, sum(n) OVER (PARTITION BY {0}) AS total FROM (SELECT {0}, x, y, count(*) AS n FROM {1} GROUP BY ALL)) GROUP BY {0}"
+
+
+def bins_sql(name: str, source: str, keys: str, n: int, columns: str = "idx") -> str:
+    """Tables that replace x and y of ``source`` by codes: quantile edges, or the values themselves where there are few."""
+    cuts = [k / n for k in range(1, n)]
+    on = " AND ".join(f"s.{k} = e.{k}" for k in keys.split(", "))
+    by = ", ".join(f"s.{k}" for k in keys.split(", "))
+    code = ", ".join(f"CASE WHEN s.{v} IS NULL THEN NULL WHEN k{v} <= {n} THEN dense_rank() OVER (PARTITION BY {by} ORDER BY s.{v} NULLS LAST) - 1 ELSE len(list_filter(q{v}, lambda c: c <= s.{v})) END AS {v}" for v in "xy")
+    return f", {name}_edges AS (SELECT {keys}, " + ", ".join(f"count(DISTINCT {v}) AS k{v}, quantile_cont({v}, {cuts}) AS q{v}" for v in "xy") + f" FROM {source} GROUP BY {keys}), {name} AS (SELECT {by}, s.{columns}, {code} FROM {source} s JOIN {name}_edges e ON {on})"
+
+
+_BIN = bins_sql("bins", "pair_emb", "pair_id", 4)
+#: The same pairs with few values: ties everywhere in y, three values in x, and some missing.
+_TIED = ", tied AS (SELECT pair_id, idx, CASE WHEN idx % 11 <> 5 THEN sign(round(x * 4)) END AS x, round(y * 12) AS y FROM pair_emb)"
+_MI = "SELECT {0}, round(sum(n / total * ln(n * total / (nx * ny))), 6) + 0e0 AS mi_nats FROM (SELECT {0}, n::DOUBLE AS n, sum(n) OVER (PARTITION BY {0}, x) AS nx, sum(n) OVER (PARTITION BY {0}, y) AS ny, sum(n) OVER (PARTITION BY {0}) AS total FROM (SELECT {0}, x, y, count(*) AS n FROM {1} WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)) GROUP BY {0}"
 
 
 @query(_BIN + " " + _MI.format("pair_id", "bins"), "pair_emb")
@@ -81,16 +94,37 @@ def cpl_mi_binned(spark, d):
     return rounded(cp.mutual_information(cp.binned(pair_emb(spark, d), 4)), "mi_nats")
 
 
-@query(_BIN + ", l AS (SELECT a.pair_id, l.range AS lag, a.x, b.y FROM bins a, range(-3, 4) l, bins b WHERE a.pair_id = b.pair_id AND b.idx = a.idx - l.range) " + _MI.format("pair_id, lag", "l"), "pair_emb")
+@query(_BIN + ", l AS (SELECT a.pair_id, l.range AS lag, a.x, b.y FROM bins a, range(-3, 4) l, bins b WHERE a.pair_id = b.pair_id AND b.idx = a.idx + l.range) " + _MI.format("pair_id, lag", "l"), "pair_emb")
 def cpl_mi_lagged(spark, d):
     return rounded(cp.lagged_mutual_information(pair_emb(spark, d), 4, 3), "mi_nats")
 
 
-@query(_BIN + ", t AS (SELECT pair_id, lead(y) OVER (PARTITION BY pair_id ORDER BY idx) AS f, y AS h, x AS s FROM bins), n AS (SELECT pair_id, f, h, s, count(*)::DOUBLE AS n FROM t WHERE f IS NOT NULL GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY pair_id, h, s) AS hs, sum(n) OVER (PARTITION BY pair_id, f, h) AS fh, sum(n) OVER (PARTITION BY pair_id, h) AS hh, sum(n) OVER (PARTITION BY pair_id) AS total FROM n) SELECT pair_id, round(sum(n / total * log2(n * hh / (hs * fh))), 6) + 0e0 AS te_bits FROM c GROUP BY pair_id", "pair_emb")
+_TE = ", t AS (SELECT pair_id, lead(y) OVER o AS f, {0} AS h, x AS s FROM {1} WINDOW o AS (PARTITION BY pair_id ORDER BY idx)), n AS (SELECT pair_id, f, h, s, count(*)::DOUBLE AS n FROM t WHERE f IS NOT NULL AND h IS NOT NULL AND s IS NOT NULL GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY pair_id, h, s) AS hs, sum(n) OVER (PARTITION BY pair_id, f, h) AS fh, sum(n) OVER (PARTITION BY pair_id, h) AS hh, sum(n) OVER (PARTITION BY pair_id) AS total FROM n) SELECT pair_id, round(sum(n / total * log2(n * hh / (hs * fh))), 6) + 0e0 AS te_bits FROM c GROUP BY pair_id"
+
+
+@query(_BIN + _TE.format("y", "bins"), "pair_emb")
 def cpl_te_binned(spark, d):
     return rounded(cp.transfer_entropy(pair_emb(spark, d), 4), "te_bits")
 
 
+def _tied(spark, d):
+    few = F.when(F.col("idx") % 11 != 5, F.signum(F.round(F.col("x") * 4)))
+    return pair_emb(spark, d).select("pair_id", "idx", few.alias("x"), F.round(F.col("y") * 12).alias("y"))
+
+
+@query(_TIED + bins_sql("bins", "tied", "pair_id", 4) + " " + _MI.format("pair_id", "bins"), "pair_emb")
+def cpl_mi_tied(spark, d):
+    """Mutual information where values tie or are missing."""
+    return rounded(cp.mutual_information(cp.binned(_tied(spark, d), 4)), "mi_nats")
+
+
+@query(_TIED + bins_sql("bins", "tied", "pair_id", 4) + _TE.format("y || '/' || lag(y) OVER o", "bins"), "pair_emb")
+def cpl_te_history(spark, d):
+    """Transfer entropy with two past values of the target, where values tie or are missing."""
+    return rounded(cp.transfer_entropy(_tied(spark, d), 4, history=2), "te_bits")
+
+
+
 _PID = ", t AS (SELECT pair_id, (x > 0)::INT AS x1, (y > 0)::INT AS x2, (lead(y) OVER (PARTITION BY pair_id ORDER BY idx) > 0)::INT AS y FROM pair_emb), n AS (SELECT pair_id, x1, x2, y, count(*)::DOUBLE AS n FROM t WHERE y IS NOT NULL GROUP BY ALL), a AS (SELECT pair_id, x1, y, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY pair_id, x1) AS nx, sum(sum(n)) OVER (PARTITION BY pair_id, y) AS ny, sum(sum(n)) OVER (PARTITION BY pair_id) AS total FROM n GROUP BY pair_id, x1, y), b AS (SELECT pair_id, x2, y, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY pair_id, x2) AS nx, sum(sum(n)) OVER (PARTITION BY pair_id, y) AS ny, sum(sum(n)) OVER (PARTITION BY pair_id) AS total FROM n GROUP BY pair_id, x2, y), c AS (SELECT pair_id, x1, x2, y, n, sum(n) OVER (PARTITION BY pair_id, x1, x2) AS nx, sum(n) OVER (PARTITION BY pair_id, y) AS ny, sum(n) OVER (PARTITION BY pair_id) AS total FROM n), sa AS (SELECT pair_id, y, sum(n / ny * log2(n * total / (nx * ny))) AS i, max(ny / total) AS p FROM a GROUP BY ALL), sb AS (SELECT pair_id, y, sum(n / ny * log2(n * total / (nx * ny))) AS i FROM b GROUP BY ALL), r AS (SELECT sa.pair_id, sum(p * least(sa.i, sb.i)) AS r FROM sa JOIN sb ON sa.pair_id = sb.pair_id AND sa.y = sb.y GROUP BY sa.pair_id), m1 AS (SELECT pair_id, sum(n / total * log2(n * total / (nx * ny))) AS m FROM a GROUP BY ALL), m2 AS (SELECT pair_id, sum(n / total * log2(n * total / (nx * ny))) AS m FROM b GROUP BY ALL), m AS (SELECT pair_id, sum(n / total * log2(n * total / (nx * ny))) AS m FROM c GROUP BY ALL)"
 
 
@@ -163,7 +197,7 @@ def surr_test(spark, d):
     return rounded(su.surrogate_test(v, P), "observed", "null_mean", "null_std", "p2_5", "p95", "p97_5", "p").withColumn("z", F.round("z", 4) + 0.0)
 
 
-@query(None)
+@query(_BIN + ", sh AS (SELECT pair_id, i.range AS surrogate, CASE WHEN i.range = 0 THEN 0 ELSE 3 + " + _U.format("pair_id, i.range") + " % 59 END AS shift FROM (SELECT DISTINCT pair_id FROM pair_emb), range(0, 20) i), moved AS (SELECT a.pair_id, surrogate, a.x, b.y FROM bins a JOIN sh ON a.pair_id = sh.pair_id JOIN bins b ON b.pair_id = a.pair_id AND b.idx = (a.idx - shift + 64) % 64), n AS (SELECT pair_id, surrogate, x, y, count(*)::DOUBLE AS n FROM moved GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY pair_id, surrogate, x) AS nx, sum(n) OVER (PARTITION BY pair_id, surrogate, y) AS ny, sum(n) OVER (PARTITION BY pair_id, surrogate) AS total FROM n), v AS (SELECT pair_id, surrogate, round(sum(n / total * ln(n * total / (nx * ny))), 9) AS v FROM m GROUP BY ALL), o AS (SELECT *, max(v) FILTER (surrogate = 0) OVER (PARTITION BY pair_id) AS o FROM v) SELECT pair_id, round(max(o), 6) + 0e0 AS mi_nats, round(max(o) - avg(v) FILTER (surrogate > 0), 6) + 0e0 AS effective_mi, (count(*) FILTER (surrogate > 0 AND v >= o) + 1) / (count(*) FILTER (surrogate > 0) + 1e0) AS p FROM o GROUP BY pair_id", "pair_emb")
 def surr_effective_mi(spark, d):
     """Binned mutual information less its mean over shifted surrogates."""
     v = cp.mutual_information(su.time_shifted(cp.binned(pair_emb(spark, d), 4), 19, P), ["pair_id", "surrogate"])

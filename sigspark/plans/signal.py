@@ -277,3 +277,13 @@ def sig_crop(spark, d):
 def sig_paired(spark, d):
     p = A.paired(cells(spark, d), "subject", "condition", "1-URGENT", "2-HIGH")
     return p.select("subject", *[(F.round(c, 4) + 0.0).alias(c) for c in ("first", "second", "diff")])
+
+
+_GAPS = ", g AS (SELECT * FROM sig_emb WHERE (idx + series_id) % 29 <> 7), gw AS (SELECT series_id, w.w, idx - w.w * 8 AS pos, x, count(*) OVER (PARTITION BY series_id, w.w) AS n FROM g, (SELECT range AS w FROM range(6)) w WHERE idx >= w.w * 8 AND idx < w.w * 8 + 16)"
+
+
+@query(_GAPS + " SELECT series_id, w, pos, x FROM gw WHERE n = 16", "sig_emb")
+def sig_windows_gaps(spark, d):
+    """Windows of series with missing rows: only complete ones."""
+    s = sig_emb(spark, d).filter((F.col("idx") + F.col("series_id")) % 29 != 7)
+    return op.exploded_windows(s, 16, 8).select("series_id", "w", "pos", "x").filter("w < 6")

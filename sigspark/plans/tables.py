@@ -77,7 +77,7 @@ def stat_wilcoxon_slopes(spark, d):
     return st.signed_rank(s, ["grp"], "slope", with_p=False).select("grp", "n", "w_plus", "w")
 
 
-@query(", e AS (SELECT channel, avg(x) FILTER (series_id % 2 = 0) AS a, avg(x) FILTER (series_id % 2 = 1) AS b, var_samp(x) FILTER (series_id % 2 = 0) AS va, var_samp(x) FILTER (series_id % 2 = 1) AS vb FROM sig_events GROUP BY channel) SELECT channel, round(b - a, 6) + 0e0 AS raw, round((b - a) / sqrt((va + vb) / 2), 6) + 0e0 AS cohens_d, round(100 * (b - a) / abs(a), 6) + 0e0 AS percent FROM e", "sig_events")
+@query(", e AS (SELECT channel, avg(x) FILTER (series_id % 2 = 0) AS a, avg(x) FILTER (series_id % 2 = 1) AS b, var_samp(x) FILTER (series_id % 2 = 0) AS va, var_samp(x) FILTER (series_id % 2 = 1) AS vb, count(x) FILTER (series_id % 2 = 0) AS na, count(x) FILTER (series_id % 2 = 1) AS nb FROM sig_events GROUP BY channel) SELECT channel, round(b - a, 6) + 0e0 AS raw, round((b - a) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) + 0e0 AS cohens_d, round(100 * (b - a) / abs(a), 6) + 0e0 AS percent FROM e", "sig_events")
 def stat_effect_size(spark, d):
     e = sig_events(spark, d).withColumn("side", F.when(F.col("series_id") % 2 == 0, "even").otherwise("odd"))
     return rounded(st.effect_size(e, ["channel"], "side", "even", "odd", "x"), "raw", "cohens_d", "percent")
