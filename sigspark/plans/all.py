@@ -1,6 +1,7 @@
 """Every registered query."""
 
 from . import bundled, coupled, kernels, signal, spectrum, tables  # noqa: F401
+from . import composed_sql  # noqa: F401, E402  (after the parts)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

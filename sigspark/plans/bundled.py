@@ -77,14 +77,19 @@ def feat_windowed_complexity(spark, d):
     return _all(bd.windowed_complexity(sig_emb(spark, d), 32, 32, 64.0, [4, 8, 16], ["series_id"]))
 
 
+def _shaped(df):
+    """Slopes and angles of small spectra are good to fewer decimals."""
+    return _all(df, "slope", "orientation").withColumns({"slope": F.round("slope", 5) + 0.0, "orientation": F.round("orientation", 4) + 0.0})
+
+
 @query(None)
 def vid_spatial_complexity(spark, d):
-    return _all(bd.spatial_complexity(frame_emb(spark, d), 8, -0.5, 0.5))
+    return _shaped(bd.spatial_complexity(frame_emb(spark, d), 8, -0.5, 0.5))
 
 
 @query(None)
 def vid_quantified(spark, d):
-    return _all(bd.quantified_clip(frame_emb(spark, d), 8, -0.5, 0.5))
+    return _shaped(bd.quantified_clip(frame_emb(spark, d), 8, -0.5, 0.5))
 
 
 @query(None)
