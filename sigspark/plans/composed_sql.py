@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from .coupled import _BIN, _CX, _XC
+from .coupled import _BIN, _XC
 from .registry import ORACLE, VIEW_SQL
+from .signal import _FILL
+from .spectrum import _PSD
 
 _PAIRS = f"pair_emb AS ({VIEW_SQL['pair_emb']})"
 _SERIES = f"sig_emb AS ({VIEW_SQL['sig_emb']})"
@@ -141,3 +143,55 @@ ORACLE["sig_common_grid"] = f"WITH sig_events AS ({VIEW_SQL['sig_events']}){_ON_
 _SPATIAL = [part("vid_edges", "*"), part("vid_radial_slope", "*"), part("vid_fft_shape", "*"), part("vid_box_counting", "*"), f"(SELECT clip, frame, lacunarity FROM ({ORACLE['vid_lacunarity'].replace('round(avg(ln(l)), 7)', 'round(avg(ln(l)), 6)').replace('v + 1)', 'v + 0.5e0)')}))", part("vid_patch_entropy", "clip, frame, mean AS patch_mean, sd AS patch_sd, p95 AS patch_p95, spread AS patch_spread"), part("vid_glcm", "clip, frame, contrast AS glcm_contrast, homogeneity AS glcm_homogeneity")]
 ORACLE["vid_spatial_complexity"] = side_by_side("clip, frame", _SPATIAL)
 ORACLE["vid_quantified"] = side_by_side("clip, frame", [part("vid_global", "*"), *_SPATIAL])
+
+
+def t_p(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom, by its finite series in the cosine of atan(t / sqrt(df))."""
+    c2, s = f"({df} / ({df} + ({t}) ** 2))", f"(abs({t}) / sqrt({df} + ({t}) ** 2))"
+    even = f"{s} * list_sum(list_transform(range(0, ({df} / 2)::BIGINT), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * {c2} ** k))"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({df})) + {s} * sqrt({c2}) * coalesce(list_sum(list_transform(range(0, (({df} - 1) / 2)::BIGINT), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * {c2} ** k)), 0))"
+    return f"greatest(0, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def fdr(source: str, by: str = "") -> str:
+    """``source`` with p_fdr, Benjamini-Hochberg over p."""
+    part_by = f"PARTITION BY {by} " if by else ""
+    return f"SELECT *, least(1, min(p * m / k) OVER ({part_by}ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr FROM (SELECT *, row_number() OVER ({part_by}ORDER BY p) AS k, count(*) OVER ({part_by.strip()}) AS m FROM {source})"
+
+
+def _unrounded(name: str, *expressions: str) -> str:
+    sql = ORACLE[name]
+    for e in expressions:
+        digits = sql[sql.index(f"round({e}, ") + len(f"round({e}, ") :].split(")")[0]
+        sql = sql.replace(f"round({e}, {digits})", f"({e})")
+    return sql
+
+
+_T = "avg(z) / (stddev_samp(z) / sqrt(count(z)))"
+ORACLE["cpl_peak_significance"] = f"WITH t AS ({_unrounded('cpl_peak_statistic', _T, 'avg(z)')}), p AS (SELECT *, {t_p('t', 'df')} AS p FROM t) SELECT channel, n, round(mean, 6) + 0e0 AS mean_z, round(t, 6) + 0e0 AS t, round(p, 6) + 0e0 AS p, round(p_fdr, 6) + 0e0 AS p_fdr FROM ({fdr('p')})"
+_T = "avg(diff) / (stddev_samp(diff) / sqrt(count(diff)))"
+ORACLE["stat_paired_t_p"] = f"WITH t AS ({_unrounded('stat_paired_t', _T, 'avg(diff)')}), p AS (SELECT *, {t_p('t', 'df')} AS p FROM t) SELECT other, n, df, {rounded('mean, t, p, p_fdr')} FROM ({fdr('p')})"
+ORACLE["cpl_corr_p"] = f"WITH {_PAIRS}, c AS (SELECT pair_id, corr(x, y) AS r, count(*)::BIGINT AS n FROM pair_emb GROUP BY pair_id), t AS (SELECT *, r * sqrt((n - 2) / (1 - r ** 2)) AS t FROM c), p AS (SELECT *, {t_p('t', '(n - 2)')} AS p FROM t) SELECT pair_id, n, {rounded('r, t, p, p_fdr')} FROM ({fdr('p')})"
+# Five conditions leave four degrees of freedom.
+_CHI2 = "(12e0 / (n * 30) * ss - 18e0 * n) / (1 - ties / (n * 120e0))"
+ORACLE["stat_friedman_p"] = f"SELECT n, round(chi2, 6) AS chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p FROM ({_unrounded('stat_friedman', _CHI2).replace('round(value, -2) AS value', 'value')})"
+ORACLE["stat_window_blocks"] = f"""WITH sig_hourly AS ({VIEW_SQL['sig_hourly']}){_FILL}, w AS (SELECT series_id, channel, w.w, avg(x) AS value FROM filled, (SELECT range AS w FROM range(29)) w WHERE idx >= w.w * 24 AND idx < w.w * 24 + 48 GROUP BY ALL),
+bl AS (SELECT series_id, avg(value) FILTER (channel IN ('click', 'view')) AS first, avg(value) FILTER (channel NOT IN ('click', 'view')) AS second FROM w GROUP BY series_id), d AS (SELECT second - first AS diff FROM bl WHERE first IS NOT NULL AND second IS NOT NULL),
+t AS (SELECT count(diff)::BIGINT AS n, avg(diff) AS mean, {_T} AS t, (count(diff) - 1)::DOUBLE AS df FROM d) SELECT n, df, {rounded('mean, t, p')} FROM (SELECT *, {t_p('t', 'df')} AS p FROM t)"""
+
+_SHAPE = _PSD.lstrip(" ,")
+ORACLE["feat_complexity_summary"] = side_by_side(
+    "series_id",
+    [
+        part("ent_all", "*"), part("frac_all", "*"), part("feat_hjorth", "*"),
+        f"(WITH {_SERIES}, {_SHAPE} SELECT series_id, round(sum(p), 6) AS power, round(sum(f * p) / sum(p), 6) AS centroid, round(sqrt(sum(f * f * p) / sum(p) - (sum(f * p) / sum(p)) ** 2), 6) AS bandwidth, round(regr_slope(CASE WHEN k > 0 THEN ln(p) END, CASE WHEN k > 0 THEN ln(f) END), 6) + 0e0 AS psd_slope FROM psd GROUP BY series_id)",
+        f"(SELECT series_id, round(sum(sampen), 6) + 0e0 AS mse_area FROM ({ORACLE['ent_multiscale'].replace('round(-ln(n_long / n_short), 6) + 0e0', '-ln(n_long / n_short)')}) GROUP BY series_id)",
+    ],
+)
+
+_RATE = f"WITH sig_events AS ({VIEW_SQL['sig_events']}), g AS (SELECT series_id, t_s, lead(t_s) OVER (PARTITION BY series_id ORDER BY t_s) - t_s AS gap FROM sig_events), rate AS (SELECT series_id, t_s + gap / 2 AS t, 60 / nullif(gap, 0) AS x FROM g WHERE gap IS NOT NULL AND gap <> 0)"
+ORACLE["feat_rate_on_grid"] = _RATE + """, spans AS (SELECT series_id, min(t) AS a, max(t) AS b FROM rate GROUP BY series_id HAVING count(*) >= 3),
+grid AS (SELECT series_id, k.range AS idx, k.range / (1 / 3600e0) AS t FROM spans, range(0, 2000) k WHERE k.range BETWEEN ceil(a * (1 / 3600e0)) AND greatest(ceil(a * (1 / 3600e0)), floor(b * (1 / 3600e0)))),
+before AS (SELECT g.*, r.t AS i, r.x AS a FROM grid g ASOF LEFT JOIN rate r ON g.series_id = r.series_id AND g.t >= r.t),
+around AS (SELECT b.*, r.t AS j, r.x AS b FROM before b ASOF LEFT JOIN rate r ON b.series_id = r.series_id AND b.t < r.t)
+SELECT series_id, idx, t, round(coalesce(CASE WHEN i = t THEN a ELSE a + (b - a) * ((t - i) / (j - i)) END, a, b), 6) + 0e0 AS x FROM around"""
