@@ -151,3 +151,22 @@ def complexity_coupling(pairs: DataFrame, width: int, step: int, scales: list[in
     """Correlation of the two windowed scaling exponents."""
     return curve_matching(windowed_dfa(sides(pairs, keys), width, step, scales, [*keys, "side"]), "w", F.col("alpha"), keys)
 
+
+def complexity_information(pairs: DataFrame, width: int, step: int, scales: list[int], bins: int, keys: list[str] = PAIR) -> DataFrame:
+    """Mutual information of the two windowed scaling exponents."""
+    a = windowed_dfa(sides(pairs, keys), width, step, scales, [*keys, "side"])
+    both = a.groupBy(*keys, F.col("w").alias("idx")).agg(*[F.max(F.when(F.col("side") == v, F.col("alpha"))).alias(v) for v in "xy"])
+    return mutual_information(binned(both, bins, keys), keys)
+
+
+def exponent_correlation(exponents: DataFrame, value: str, cells: list[str], keys: list[str] | None = None) -> DataFrame:
+    """r, n and t of paired exponents over the cells of each ``keys``: does one side's scaling follow the other's? Null with
+    fewer than three cells."""
+    keys = keys or []
+    g = exponents.groupBy(*keys, *cells).agg(F.max(F.when(F.col("side") == "x", F.col(value))).alias("x"), F.max(F.when(F.col("side") == "y", F.col(value))).alias("y"))
+    return correlation(g, keys).withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in ("r", "t")})
+
+
+def dcca_exponent(curve: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """lambda_xy: the slope of ln sqrt |f2_xy| over ln s."""
+    return curve.groupBy(*keys).agg(F.regr_slope(F.ln(F.sqrt(F.abs(F.nullif("f2_xy", F.lit(0.0))))), F.ln("s")).alias("lambda_xy"))

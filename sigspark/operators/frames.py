@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio
-from .series import whole
+from . import features as ft, spectral as sp
+from .series import passes_quality, whole
 from .spectral import dft
 
 FRAME = ["clip", "frame"]
+PIXEL = ["clip", "y", "px"]
 #: Four neighbour directions of the co-occurrence matrix: 0, 45, 90 and 135 degrees.
 OFFSETS = ((0, 1), (-1, 1), (-1, 0), (-1, -1))
 
@@ -169,8 +172,42 @@ def block_motion(frames: DataFrame, block: int, reach: int, stride: int = 1) ->
     return best.select("clip", "idx", "by", "bx", F.col("_b.dy").alias("dy"), F.col("_b.dx").alias("dx"))
 
 
-def motion_summary(motion: DataFrame) -> DataFrame:
-    """Size (mean, 95th percentile), mean direction, divergence and curl of the displacement field of every frame."""
-    across, down = W.partitionBy("clip", "idx", "by").orderBy("bx"), W.partitionBy("clip", "idx", "bx").orderBy("by")
+def motion_summary(motion: DataFrame, keys: tuple[str, ...] = ("clip", "idx"), directions: int = 8) -> DataFrame:
+    """Size (mean, 95th percentile), mean direction, divergence and curl of the displacement field of every frame, and the
+    entropy of the directions of the blocks that move, 0 to 1."""
+    across, down = W.partitionBy(*keys, "by").orderBy("bx"), W.partitionBy(*keys, "bx").orderBy("by")
     m = motion.withColumns({"_m": F.hypot(F.col("dx").cast("double"), F.col("dy").cast("double")), "_ux": F.lead("dx").over(across) - F.col("dx"), "_vx": F.lead("dy").over(across) - F.col("dy"), "_uy": F.lead("dx").over(down) - F.col("dx"), "_vy": F.lead("dy").over(down) - F.col("dy")})
-    return m.groupBy("clip", "idx").agg(F.avg("_m").alias("mean"), F.percentile("_m", 0.95).alias("p95"), F.avg("dx").alias("u"), F.avg("dy").alias("v"), F.avg(F.coalesce("_ux", F.lit(0)) + F.coalesce("_vy", F.lit(0))).alias("divergence"), F.avg(F.coalesce("_vx", F.lit(0)) - F.coalesce("_uy", F.lit(0))).alias("curl"))
+    moving = motion.filter("dx <> 0 OR dy <> 0").withColumn("_d", F.pmod(F.floor(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")) / (2 * math.pi / directions) + 0.5), F.lit(directions)))
+    share = moving.groupBy(*keys, "_d").agg(F.count("*").alias("_n")).withColumn("_q", F.col("_n") / F.sum("_n").over(W.partitionBy(*keys)))
+    entropy = share.groupBy(*keys).agg((-F.sum(F.col("_q") * F.log2("_q")) / math.log2(directions) + 0.0).alias("direction_entropy"))
+    g = m.groupBy(*keys).agg(F.avg("_m").alias("mean"), F.percentile("_m", 0.95).alias("p95"), F.avg("dx").alias("u"), F.avg("dy").alias("v"), F.avg(F.coalesce("_ux", F.lit(0)) + F.coalesce("_vy", F.lit(0))).alias("divergence"), F.avg(F.coalesce("_vx", F.lit(0)) - F.coalesce("_uy", F.lit(0))).alias("curl"))
+    return g.join(entropy, list(keys), "left").withColumn("direction_entropy", F.coalesce("direction_entropy", F.lit(0.0)))
+
+
+def motion_at_strides(frames: DataFrame, block: int, reach: int, strides: tuple[int, ...] = (1, 3, 9)) -> DataFrame:
+    """The summary at several strides, and the shares of blocks that move at all and that move by at least ``reach``."""
+    parts = [block_motion(frames, block, reach, s).withColumn("stride", F.lit(s).cast("long")) for s in strides]
+    motion = reduce(DataFrame.unionByName, parts)
+    keys = ("clip", "stride", "idx")
+    size = F.greatest(F.abs("dx"), F.abs("dy"))
+    split = motion.groupBy(*keys).agg(F.avg(((size > 0) & (size < reach)).cast("int")).alias("small"), F.avg((size >= reach).cast("int")).alias("large"))
+    return motion_summary(motion, keys).join(split, list(keys))
+
+
+def pixel_complexity(frames: DataFrame, scales: list[int], least: int = 32, eps: float = 1e-9) -> DataFrame:
+    """clip, y, px and six measures of every pixel's series: three fractal dimensions, permutation and sample entropy, DFA."""
+    s = passes_quality(pixel_series(frames), PIXEL, least, eps)
+    parts = [
+        ft.katz(s, PIXEL).withColumnRenamed("fd", "katz"), ft.petrosian(s, PIXEL).withColumnRenamed("fd", "petrosian"), ft.higuchi(s, keys=PIXEL).withColumnRenamed("fd", "higuchi"), ft.dfa(s, scales, PIXEL).withColumnRenamed("alpha", "dfa"),
+        ft.permutation_entropy(s, keys=PIXEL).withColumnRenamed("entropy", "perm_entropy"), ft.sample_entropy(s, keys=PIXEL).select(*PIXEL, F.col("sampen").alias("sample_entropy")),
+    ]
+    return reduce(lambda a, b: a.join(b, PIXEL, "full_outer"), parts)
+
+
+def pixel_spectra(frames: DataFrame, n: int, step: int, fs: float, low: float, high: float) -> DataFrame:
+    """clip, y, px: peak frequency, spectral entropy and the band's share of every pixel's mean spectrum over all its
+    windows of ``n`` frames; without the constant part."""
+    psd = sp.welch(pixel_series(frames), n, step, fs, PIXEL).filter("k > 0")
+    q = psd.withColumn("_q", ratio("p", F.sum("p").over(W.partitionBy(*PIXEL))))
+    entropy = -F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.log2("_q")).otherwise(0.0)) / math.log2(n // 2)
+    return q.groupBy(*PIXEL).agg(F.max_by("f", F.struct(F.round("p", 9), -F.col("k"))).alias("peak_f"), entropy.alias("entropy"), F.sum(F.when(F.col("f").between(low, high), F.col("_q")).otherwise(0.0)).alias("band"))

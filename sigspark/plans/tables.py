@@ -215,20 +215,20 @@ def vid_glcm(spark, d):
     return rounded(fr.glcm(frame_emb(spark, d), 8, -0.5, 0.5), "contrast", "homogeneity")
 
 
-_PX = ", ps AS (SELECT clip, y, px, dense_rank() OVER (PARTITION BY clip ORDER BY frame) - 1 AS idx, v AS x FROM frame_emb), p32 AS (SELECT * FROM ps WHERE idx < 32), dt AS (SELECT clip, y, px, idx, x - (regr_slope(x, idx) OVER w * idx + regr_intercept(x, idx) OVER w) AS x FROM p32 WINDOW w AS (PARTITION BY clip, y, px)), sp AS (SELECT clip, y, px, k.range AS k, sum(x * (0.5 - 0.5 * cos(idx * 2 * pi() / 32)) * cos(k.range * idx * 2 * pi() / 32)) ** 2 + sum(x * (0.5 - 0.5 * cos(idx * 2 * pi() / 32)) * sin(k.range * idx * 2 * pi() / 32)) ** 2 AS p FROM dt, range(1, 17) k GROUP BY ALL), pk AS (SELECT clip, y, px, arg_max(k, (round(p, 9), -k)) AS k FROM sp GROUP BY ALL)"
+_PX = (
+    ", ps AS (SELECT clip, y, px, dense_rank() OVER (PARTITION BY clip ORDER BY frame) - 1 AS idx, v AS x FROM frame_emb), sg AS (SELECT clip, y, px, w.w, idx - w.w * 16 AS pos, x, count(*) OVER (PARTITION BY clip, y, px, w.w) AS n FROM ps, (SELECT unnest(range((SELECT max(idx) // 16 + 1 FROM ps))) AS w) w WHERE idx >= w.w * 16 AND idx < w.w * 16 + 32), "
+    "ht AS (SELECT clip, y, px, w, pos, (x - avg(x) OVER (PARTITION BY clip, y, px, w)) * (0.5e0 - 0.5e0 * cos(pos * 2 * pi() / 32)) AS x FROM sg WHERE n = 32), ff AS (SELECT clip, y, px, w, k.range AS k, sum(x * cos(k.range * pos * 2 * pi() / 32)) AS re, sum(x * sin(k.range * pos * 2 * pi() / 32)) AS im FROM ht, range(1, 17) k GROUP BY ALL), "
+    "pw AS (SELECT clip, y, px, k, avg(CASE WHEN k = 16 THEN 1e0 ELSE 2e0 END * (re * re + im * im)) AS p FROM ff GROUP BY ALL), pq AS (SELECT *, p / sum(p) OVER (PARTITION BY clip, y, px) AS q FROM pw), pk AS (SELECT clip, y, px, arg_max(k, (round(p / (32 * 12e0), 9), -k))::DOUBLE AS f, -sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) / 4 AS e, sum(CASE WHEN k BETWEEN 2 AND 8 THEN q ELSE 0 END) AS b FROM pq GROUP BY ALL)"
+)
 
 
-@query(_PX + ", g AS (SELECT clip, avg(k) AS m, stddev_pop(k) AS s FROM pk GROUP BY clip) SELECT clip, round(m, 6) AS mean_f, round(s, 6) AS sd_f, round(1 / (1 + s / m), 6) AS sync FROM g", "frame_emb")
+@query(_PX + " SELECT clip, round(avg(f), 6) AS mean_f, round(stddev_pop(f), 6) AS sd_f, round(1 / (1 + stddev_pop(f) / avg(f)), 6) AS sync, round(avg(e), 6) AS entropy, round(avg(b), 6) AS band FROM pk GROUP BY clip", "frame_emb")
 def vid_pixel_spectrum(spark, d):
-    """Each pixel's peak frequency over the first 32 frames, a window length, and how far the pixels agree."""
-    keys = ["clip", "y", "px"]
-    s = op.detrended(fr.pixel_series(frame_emb(spark, d)).filter("idx < 32"), keys, out="x")
-    import math
-
-    s = s.withColumn("x", F.col("x") * (0.5 - 0.5 * F.cos(F.col("idx") * (2 * math.pi / 32))))
-    p = sp.dft(s, 32, range(1, 17), keys).withColumn("p", F.col("re_x") ** 2 + F.col("im_x") ** 2)
-    top = p.groupBy(*keys).agg(F.max_by("k", F.struct(F.round("p", 9), -F.col("k"))).alias("k"))
-    return rounded(fr.synchrony(top, ["clip"], "k"), "mean_f", "sd_f", "sync")
+    """Each pixel's mean spectrum over every window of the clip: how far the peak frequencies agree, and the pixels' mean
+    spectral entropy and share of a band."""
+    s = fr.pixel_spectra(frame_emb(spark, d), 32, 16, 32.0, 2.0, 8.0)
+    means = s.groupBy("clip").agg(F.avg("entropy").alias("entropy"), F.avg("band").alias("band"))
+    return rounded(fr.synchrony(s, ["clip"], "peak_f").join(means, "clip"), "mean_f", "sd_f", "sync", "entropy", "band")
 
 
 @query(", ps AS (SELECT clip, y, px, dense_rank() OVER (PARTITION BY clip ORDER BY frame) - 1 AS idx, v AS x FROM frame_emb), s AS (SELECT clip, y, px, abs(x - lag(x) OVER w) AS d, abs(x - first_value(x) OVER w) AS far FROM ps WINDOW w AS (PARTITION BY clip, y, px ORDER BY idx)), g AS (SELECT clip, y, px, sum(d) AS l, avg(d) AS a, max(far) AS m FROM s GROUP BY ALL) SELECT clip, y, px, round(log10(l / a) / (log10(l / a) + log10(m / l)), 6) AS fd FROM g", "frame_emb")
@@ -248,7 +248,7 @@ def vid_snapshot_gram(spark, d):
 
 @query(None)
 def vid_motion(spark, d):
-    return rounded(fr.motion_summary(fr.block_motion(frame_emb(spark, d), 4, 2)), "mean", "p95", "u", "v", "divergence", "curl")
+    return rounded(fr.motion_summary(fr.block_motion(frame_emb(spark, d), 4, 2)), "mean", "p95", "u", "v", "divergence", "curl", "direction_entropy")
 
 
 @query("SELECT doc_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY text) = doc_id AS first FROM documents")
