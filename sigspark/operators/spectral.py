@@ -1,20 +1,73 @@
-"""Spectra as sums of products with sines and cosines: Fourier bins are a column, so all of it is aggregation."""
+"""Spectra: samples of a bounded window are gathered once and transformed in Arrow batches; the rest is aggregation."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio
 from .series import KEYS, exploded_windows, ordered, whole
 
+#: Numbers in one transform step.
+_STEP = 1 << 18
+
+
+def _gathered(df: DataFrame, keys: list[str], pos: str, values: tuple[str, ...]) -> DataFrame:
+    """A row per group (a bounded window of samples): its places and values as one array."""
+    columns = [F.col(pos).cast("long").alias("_p"), *[F.col(v).cast("double").alias(f"_{i}") for i, v in enumerate(values)]]
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_v"))
+
+
+def _matrices(batch: pa.RecordBatch, n: int, values: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Row number and place of every sample; per value a matrix of rows by places modulo n, and which rows have a value."""
+    lists = batch.column("_v")
+    flat = lists.flatten()
+    rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    place = flat.field(0).to_numpy(zero_copy_only=False)
+    matrices, filled = [], []
+    for i in range(values):
+        x = flat.field(i + 1).to_numpy(zero_copy_only=False)
+        some = ~np.isnan(x)
+        at = rows[some] * n + place[some] % n
+        matrices.append(np.bincount(at, x[some], batch.num_rows * n).reshape(batch.num_rows, n))
+        filled.append(np.bincount(rows[some], minlength=batch.num_rows) > 0)
+    return rows, place, matrices, filled
+
+
+def _by_group(df: DataFrame, n: int, keys: list[str], pos: str, values: tuple[str, ...], new: list[str], of: Callable) -> DataFrame:
+    """Runs ``of`` over Arrow batches of gathered groups: it gives, for a batch, row numbers and the columns ``new``. What is
+    shuffled are the samples, whatever the number of bins."""
+    wanted = [f"`{k}` {dict(df.dtypes)[k]}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, max(1, _STEP // n)):
+                part = batch.slice(first, max(1, _STEP // n))
+                rows, columns = of(part, *_matrices(part, n, len(values)))
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in keys), *columns], [*keys, *(c.split()[0].strip("`") for c in new)])
+
+    return _gathered(df, keys, pos, values).mapInArrow(run, ", ".join([*wanted, *new]))
+
 
 def dft(df: DataFrame, n: int, bins: range, keys: list[str], pos: str = "idx", values: tuple[str, ...] = ("x",)) -> DataFrame:
-    """keys, k and re_<v>, im_<v> for each value column."""
-    angle = F.col("k") * F.col(pos) * (2 * math.pi / n)
-    out = df.withColumn("k", F.explode(F.sequence(F.lit(bins.start).cast("long"), F.lit(bins.stop - 1).cast("long")))).withColumns({"_cos": F.cos(angle), "_sin": F.sin(angle)})
-    return out.groupBy(*keys, "k").agg(*[f for v in values for f in (F.sum(F.col(v) * F.col("_cos")).alias(f"re_{v}"), (-F.sum(F.col(v) * F.col("_sin"))).alias(f"im_{v}"))])
+    """keys, k and re_<v>, im_<v> for each value column, by a fast transform per group. Null samples count as zero; a group
+    without any value has null sums."""
+
+    def transformed(part: pa.RecordBatch, rows: np.ndarray, place: np.ndarray, matrices: list[np.ndarray], filled: list[np.ndarray]):
+        k = np.array(bins)
+        out = [pa.array(np.tile(k, part.num_rows))]
+        for m, some in zip(matrices, filled):
+            f = np.fft.fft(m, axis=1)[:, k % n]
+            missing = np.repeat(~some, len(k))
+            out += [pa.array(np.ascontiguousarray(x).ravel(), mask=missing) for x in (f.real, f.imag)]
+        return np.repeat(np.arange(part.num_rows), len(k)), out
+
+    return _by_group(df, n, keys, pos, values, ["k long", *[f"`{c}_{v}` double" for v in values for c in ("re", "im")]], transformed)
 
 
 def tapered(df: DataFrame, n: int, step: int, keys: list[str], values: tuple[str, ...]) -> DataFrame:
@@ -111,15 +164,19 @@ def segment_length(samples: int, fs: float, low: float, high: float, least_bins:
 
 
 def analytic(df: DataFrame, n: int, bins: range, keys: list[str], values: tuple[str, ...] = ("x",), pos: str = "idx") -> DataFrame:
-    """Adds a_<v>, b_<v>: the analytic signal of the band, by inverse transform of its positive bins alone."""
-    spectrum = dft(df, n, bins, keys, pos, values)
-    both = df.select(*keys, pos, *values).join(spectrum, keys)
-    angle = F.col("k") * F.col(pos) * (2 * math.pi / n)
-    sums: list[Column] = []
-    for v in values:
-        sums.append((F.sum(F.col(f"re_{v}") * F.cos(angle) - F.col(f"im_{v}") * F.sin(angle)) * (2.0 / n)).alias(f"a_{v}"))
-        sums.append((F.sum(F.col(f"re_{v}") * F.sin(angle) + F.col(f"im_{v}") * F.cos(angle)) * (2.0 / n)).alias(f"b_{v}"))
-    return both.groupBy(*keys, pos).agg(*sums)
+    """keys, pos and a_<v>, b_<v>: the analytic signal of the band, by inverse transform of its positive bins alone."""
+
+    def inverted(part: pa.RecordBatch, rows: np.ndarray, place: np.ndarray, matrices: list[np.ndarray], filled: list[np.ndarray]):
+        out = [pa.array(place)]
+        k = np.array(bins) % n
+        for m, some in zip(matrices, filled):
+            band = np.zeros(m.shape, complex)
+            band[:, k] = np.fft.fft(m, axis=1)[:, k]
+            z = 2 * np.fft.ifft(band, axis=1)[rows, place % n]
+            out += [pa.array(np.ascontiguousarray(x), mask=~some[rows]) for x in (z.real, z.imag)]
+        return rows, out
+
+    return _by_group(df, n, keys, pos, values, [f"`{pos}` long", *[f"`{c}_{v}` double" for v in values for c in ("a", "b")]], inverted)
 
 
 def phase_coupling(signal: DataFrame, keys: list[str]) -> DataFrame:
