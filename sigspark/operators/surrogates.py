@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio, uniform
@@ -56,26 +60,67 @@ def permutations(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
 
 
+def _permuted_sums(values: DataFrame, weights: str, n: int, keys: list[str], fixed: dict[str, Column], of: dict[str, Column]) -> DataFrame:
+    """keys, idx, perm, the sums ``fixed``, and for each name in ``of`` the sum of its column times the permutation's entry in
+    the array ``weights``. Rows are never copied: every Arrow batch adds up its own rows, and those sums are shuffled."""
+    by = [*keys, "idx"]
+    kinds = dict(values.dtypes)
+    rows = values.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in by)).select(*by, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{name}") for name, c in {**fixed, **of}.items()], weights)
+
+    plain, weighted = list(fixed), list(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, max(1, (1 << 20) // (n + 1))):
+                part = batch.slice(first, max(1, (1 << 20) // (n + 1)))
+                code = part.select(by).to_pandas().groupby(by, sort=False).ngroup().to_numpy()
+                order = np.argsort(code, kind="stable")
+                begin = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+                w = part.column(weights).flatten().to_numpy().reshape(part.num_rows, n + 1)[order]
+                out = [part.column(k).take(pa.array(order[begin])) for k in by]
+                out += [pa.array(np.add.reduceat(part.column(f"_{name}").to_numpy()[order], begin)) for name in plain]
+                for name in weighted:
+                    sums = np.add.reduceat(part.column(f"_{name}").to_numpy()[order][:, None] * w, begin, axis=0)
+                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, n + 1, dtype=np.int32)), pa.array(sums.ravel())))
+                yield pa.RecordBatch.from_arrays(out, [*by, *plain, *weighted])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), *(f"{name} double" for name in fixed), *(f"{name} array<double>" for name in of)])
+    first = next(iter(of))
+    parts = rows.mapInArrow(run, schema)
+    each = parts.select(*by, *fixed, *of, F.posexplode(first).alias("perm", "_v"))
+    each = each.select(*by, F.col("perm").cast("long").alias("perm"), *fixed, *[F.get(F.col(name), F.col("perm")).alias(name) for name in of])
+    return each.groupBy(*by, "perm").agg(*[F.sum(name).alias(name) for name in (*fixed, *of)])
+
+
 def cluster_test_paired(diffs: DataFrame, n: int, threshold: float, keys: list[str] | None = None) -> DataFrame:
-    """Clusters of a paired difference over time (subject, idx, diff): sign flips per subject, largest cluster mass."""
+    """Clusters of a paired difference over time (subject, idx, diff): sign flips per subject, largest cluster mass. Signs are
+    drawn once per subject; squares do not change under them, so sums of signed differences give every t."""
     keys = keys or []
-    flip = F.when((F.col("perm") > 0) & (uniform("subject", "perm") >= (1 << 31)), -1.0).otherwise(1.0)
-    g = permutations(diffs, n).withColumn("_d", F.col("diff") * flip).groupBy(*keys, "perm", "idx").agg(F.avg("_d").alias("_m"), F.stddev_samp("_d").alias("_s"), F.count("_d").alias("_n"))
-    return _tested(g.withColumn("t", ratio("_m", F.col("_s") / F.sqrt("_n"))), n, keys, threshold)
+    sign = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")), lambda p: F.when((p > 0) & (uniform("subject", p) >= (1 << 31)), -1.0).otherwise(1.0))
+    signed = diffs.join(diffs.select("subject").distinct().withColumn("_sign", sign), "subject")
+    d = F.col("diff")
+    g = _permuted_sums(signed, "_sign", n, keys, {"n": F.when(d.isNotNull(), 1.0), "q": d * d}, {"m": d})
+    mean = ratio("m", "n")
+    deviation = F.sqrt(F.greatest(F.lit(0.0), ratio(F.col("q") - F.col("m") * mean, F.col("n") - 1)))
+    return _tested(g.withColumn("t", ratio(mean, deviation / F.sqrt("n"))), n, keys, threshold)
 
 
 def cluster_test_two_sample(values: DataFrame, n: int, threshold: float, keys: list[str] | None = None) -> DataFrame:
-    """Clusters of the difference of two groups (subject, grp 0 or 1, idx, x): labels shuffled over subjects, Welch's t."""
+    """Clusters of the difference of two groups (subject, grp 0 or 1, idx, x): labels shuffled over subjects, Welch's t. Only
+    subjects are copied per permutation; rows meet the array of their subject's labels."""
     keys = keys or []
     people = permutations(values.select(*keys, "subject", "grp").distinct(), n)
     order = F.row_number().over(W.partitionBy(*keys, "perm").orderBy(uniform("subject", "perm"), "subject"))
     size = F.count_if(F.col("grp") == 0).over(W.partitionBy(*keys, "perm"))
     people = people.withColumn("_g", F.when(F.col("perm") == 0, F.col("grp")).otherwise((order > size).cast("int")))
-    v = values.drop("grp").join(people, [*keys, "subject"])
-
-    def of(k: int, f) -> Column:
-        return f(F.when(F.col("_g") == k, F.col("x")))
+    labels = people.groupBy(*keys, "subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "_g"))), lambda p: p["_g"].cast("double")).alias("_labels"))
+    x = F.col("x").cast("double")
+    one = F.when(x.isNotNull(), 1.0)
+    g = _permuted_sums(values.drop("grp").join(labels, [*keys, "subject"]), "_labels", n, keys, {"n": one, "s": x, "q": x * x}, {"s1": x, "q1": x * x, "n1": one})
+    g = g.withColumns({"n0": F.col("n") - F.col("n1"), "s0": F.col("s") - F.col("s1"), "q0": F.col("q") - F.col("q1")})
 
-    g = v.groupBy(*keys, "perm", "idx").agg(of(0, F.avg).alias("_a"), of(1, F.avg).alias("_b"), (of(0, F.var_samp) / of(0, F.count)).alias("_va"), (of(1, F.var_samp) / of(1, F.count)).alias("_vb"))
-    return _tested(g.withColumn("t", ratio(F.col("_a") - F.col("_b"), F.sqrt(F.col("_va") + F.col("_vb")))), n, keys, threshold)
+    def spread(k: int) -> Column:
+        n_k, s, q = F.col(f"n{k}"), F.col(f"s{k}"), F.col(f"q{k}")
+        return ratio(F.greatest(F.lit(0.0), ratio(q - ratio(s * s, n_k), n_k - 1)), n_k)
 
+    return _tested(g.withColumn("t", ratio(ratio("s0", "n0") - ratio("s1", "n1"), F.sqrt(spread(0) + spread(1)))), n, keys, threshold)
