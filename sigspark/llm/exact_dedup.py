@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_hot
+from .common import cut_lineage, join_hot
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 28
@@ -98,6 +98,8 @@ def mark_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     bits = min(max_bits, 1 << max(18, (BITS_PER_ROW * docs.count() - 1).bit_length()))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(id_column).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"), (F.xxhash64(*told_apart) if told_apart else F.lit(0).cast("long")).alias("_rest"))
     rows = rows.withColumn("_hash", F.xxhash64("text_sha256"))
+    if text not in columns:  # what is left is small: the texts are hashed once
+        rows = cut_lineage(rows)
     rows = rows.withColumn("_again", _probe(rows.select("_hash"), bits)("_hash"))
     single = rows.filter(~F.col("_again")).select("_doc.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     alike = rows.filter("_again").groupBy("text_sha256", "_id", "_rest").agg(F.first("_doc").alias("_doc"), F.count("*").alias("_n"))
