@@ -23,7 +23,8 @@ NONZERO = 2
 #: The network learns from at most about this many labelled rows, chosen by hash.
 TRAINING_ROWS = 20_000
 HIDDEN = 32
-EPOCHS = 150
+#: Updates of the network, each on 256 rows, however many rows there are.
+UPDATES = 9000
 THRESHOLD = 0.3
 _STEP = 1 << 19
 _SLICES = 64
@@ -129,17 +130,19 @@ class Network:
         self.middle, self.spread = x[seen].mean(0), x[seen].std(0) + 1e-6
         w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(())]
         m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-        z, t = self._standard(x), 0
-        for _ in range(EPOCHS if len(seen) > 2000 else EPOCHS * 3):
-            rng.shuffle(seen)
-            for k in range(0, len(seen), 256):
-                some, t = seen[k : k + 256], t + 1
-                h = np.tanh(z[some] @ w[0] + w[1])
-                error = (1 / (1 + np.exp(-(h @ w[2] + w[3]))) - y[some]) / len(some)
-                back = np.outer(error, w[2]) * (1 - h * h)
-                for i, g in enumerate((z[some].T @ back + 1e-4 * w[0], back.sum(0), h.T @ error + 1e-4 * w[2], error.sum())):
-                    m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                    w[i] = w[i] - 3e-3 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+        z = self._standard(x)
+        at = len(seen)
+        for t in range(1, UPDATES + 1):
+            if at >= len(seen):
+                rng.shuffle(seen)
+                at = 0
+            some, at = seen[at : at + 256], at + 256
+            h = np.tanh(z[some] @ w[0] + w[1])
+            error = (1 / (1 + np.exp(-(h @ w[2] + w[3]))) - y[some]) / len(some)
+            back = np.outer(error, w[2]) * (1 - h * h)
+            for i, g in enumerate((z[some].T @ back + 1e-4 * w[0], back.sum(0), h.T @ error + 1e-4 * w[2], error.sum())):
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                w[i] = w[i] - 3e-3 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
         self.weights, self.temperature = w, 1.0
         if len(np.unique(y[unseen])) == 2:
             logit = self.logit(x[unseen])
