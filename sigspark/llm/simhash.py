@@ -132,13 +132,15 @@ def near(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, distances:
     label_a, label_b = [], []
     held, held_d = 0, []
     row = 0
+    # A step may find 64 pairs for each of its rows; with distances all of them are held for a moment.
+    in_step = _ROWS_PER_STEP // 16 if distances else _ROWS_PER_STEP
 
     def kept(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
         best = spanning(n, a, b, d)
         return a[best], b[best], d[best]
 
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + _ROWS_PER_STEP, "right")))
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + in_step, "right")))
         rows = np.repeat(np.arange(row, stop), todo[row:stop])
         block = own[rows] + np.arange(len(rows)) - np.repeat(ends[row:stop] - todo[row:stop] - (ends[row - 1] if row else 0), todo[row:stop])
         dead = empty[block] | np.where(block == own[rows], (one << lane[rows].astype(np.uint64) << one) - one, np.uint64(0))
