@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
+from . import byte_bpe, exact_dedup, filter_audit, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
 from .common import table
 
 
@@ -65,7 +65,19 @@ def op10_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_repetition_coverage, op3_stupid_backoff, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash)}
+def op12_perfect_hash_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return byte_bpe.decode(tokens, ranks, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_failing_id_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_repetition_coverage, op3_stupid_backoff, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash, op12_perfect_hash_bpe, op13_failing_id_relations)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +153,21 @@ u AS (SELECT id, doc_id, size, source_size, target, greatest(0, least(high, (ran
   FROM q LEFT JOIN r ON q.sid = r.sid AND size > 0 AND low < high AND rank BETWEEN low // {mixing.BLOCK_WORDS} AND (high - 1) // {mixing.BLOCK_WORDS})
 SELECT doc_id, size, source_size, target, coalesce(sum(words), 0)::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(slot)::BIGINT AS n_slots
 FROM u GROUP BY id, doc_id, size, source_size, target""",
+    "op13_failing_id_relations": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS sig FROM d JOIN w USING (r)),
+s AS (SELECT part, sig, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY part, sig),
+l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits FROM l v, l w, l x, l y, l z WHERE v.b + w.b + x.b + y.b + z.b = 31
+  AND v.b <> w.b AND v.b <> x.b AND v.b <> y.b AND v.b <> z.b AND w.b <> x.b AND w.b <> y.b AND w.b <> z.b AND x.b <> y.b AND x.b <> z.b AND y.b <> z.b),
+k AS (SELECT filter_order, step::INT AS step, bits[step] AS own, list_sum(bits[1:step]) - bits[step] AS before FROM o, (SELECT range AS step FROM range(1, 6)) q),
+a AS (SELECT part, filter_order, step, own, sum(CASE WHEN sig & (own + before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN sig & own <> 0 AND sig & before = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN sig & own <> 0 AND sig & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN sig = own THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN sig & own <> 0 AND sig & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN sig & own <> 0 AND sig & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM s, k GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a""",
 }
