@@ -130,9 +130,6 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> bytes:
         """The second tier: ids of a piece as little-endian 32-bit numbers. Of equal ranks the leftmost merges first."""
-        found = self.cache.get(piece)
-        if found is not None:
-            return found
         n, ranks, longest = len(piece), self.ranks, self.longest
         after, before = list(range(1, n + 1)), list(range(-1, n))  # a part is named by its first byte
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -176,7 +173,8 @@ class Vocabulary:
         starts = np.concatenate(([0], ends))[:-1]
         ids = self.whole(Words(data), starts, ends - starts)
         missed = np.flatnonzero(ids < 0)
-        merged = [self.merged(data[a:b]) for a, b in zip(starts[missed].tolist(), ends[missed].tolist())]
+        known, merge = self.cache.get, self.merged
+        merged = [known(p := data[a:b]) or merge(p) for a, b in zip(starts[missed].tolist(), ends[missed].tolist())]
         size = np.ones(len(ids) + 1, np.int64)
         size[missed] = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
         at = np.concatenate(([0], np.cumsum(size[:-1])))
@@ -193,7 +191,8 @@ class Vocabulary:
         return self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _texts(column: pa.Array) -> list[str]:
+def text_list(column: pa.Array) -> list[str]:
+    """Null counts as empty, and bytes that are no UTF-8 as U+FFFD."""
     data, at = utf8(column)
     raw = data.tobytes()
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -217,7 +216,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         known = Vocabulary.of(ranks_path, pattern)
         for batch in batches:
             for first, end, _, _ in steps(batch.column(1), _STEP):
-                ids, at = known.encode(_texts(batch.column(1).slice(first, end - first)))
+                ids, at = known.encode(text_list(batch.column(1).slice(first, end - first)))
                 blobs = blob_array(ids.astype("<u4", copy=False), 4 * at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(at), pa.int64()), blobs], ["doc_id", "n_tokens", "ids"])
 

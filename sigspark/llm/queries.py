@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, filter_audit, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup
+from . import byte_bpe, exact_dedup, filter_audit, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_alignment
 from .common import table
 
 
@@ -65,6 +65,12 @@ def op10_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spill_counted_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as known
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), known.path("byte_bpe_50k.json"), known.path("piece_bpe_32k.model"), known.PATTERN, digest=True)
+
+
 def op12_perfect_hash_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +83,7 @@ def op13_failing_id_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_repetition_coverage, op3_stupid_backoff, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash, op12_perfect_hash_bpe, op13_failing_id_relations)}
+QUERIES = {f.__name__: f for f in (op1_difference_cover, op2_repetition_coverage, op3_stupid_backoff, op4_anchor_expansion, op5_two_pass_bloom, op6_lexical_packing, op7_language_bitmask_filters, op8_low_discrepancy_schedule, op9_random_indexing, op10_bit_sliced_simhash, op11_spill_counted_alignment, op12_perfect_hash_bpe, op13_failing_id_relations)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
