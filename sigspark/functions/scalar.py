@@ -16,6 +16,14 @@ def ratio(a: ColumnLike, b: ColumnLike) -> Column:
     return _c(a) / F.nullif(_c(b), F.lit(0.0))
 
 
+def corr(x: ColumnLike, y: ColumnLike) -> Column:
+    """Pearson's r over the rows that have both; null where one side does not vary. An aggregate."""
+    both = _c(x).isNotNull() & _c(y).isNotNull()
+    a, b = F.when(both, _c(x).cast("double")), F.when(both, _c(y).cast("double"))
+    r = F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def clean(x: ColumnLike) -> Column:
     """NaN counts as missing."""
     return F.when(~F.isnan(_c(x)), _c(x))

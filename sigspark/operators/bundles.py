@@ -39,7 +39,7 @@ def with_envelopes(signal: DataFrame, envelopes: DataFrame, keys: list[str]) ->
 
 def band_matched(signals: DataFrame, envelopes: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
     """Each channel with the envelope that its band names. ``bands``: band, envelope, a dimension of a few rows."""
-    s = signals.join(F.broadcast(bands), "band")
+    s = signals.join(bands, "band")
     e = envelopes.select(*keys, "idx", F.col("channel").alias("envelope"), F.col("x").alias("y"))
     return s.join(e, [*keys, "idx", "envelope"])
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import ratio
+from ..functions.shared import cut_lineage
 from . import bundles as bd, coupling as cp, series as op, spectral as sp
 
 
@@ -14,8 +15,7 @@ def rate_spectrum(peaks: DataFrame, fs: float, n: int, step: int, bands: list[tu
     """keys, w, the power of each band (low <= f < high) of the gridded rate in windows of ``n`` samples, and the ratio of
     the first two bands. Only complete windows count."""
     w = op.exploded_windows(bd.rate_on_grid(peaks, fs, keys, t).select(*keys, "idx", "x"), n, step, keys)
-    one = w.select(*keys, F.col("w").alias("_window"), F.col("pos").alias("idx"), "x")
-    psd = sp.welch(one, n, n, fs, [*keys, "_window"]).withColumnRenamed("_window", "w")
+    psd = sp.welch(w.select(*keys, "w", F.col("pos").alias("idx"), "x"), n, n, fs, [*keys, "w"])
     sums = [F.sum(F.when((F.round(F.col("f") / fs * n) * (fs / n) >= low) & (F.col("f") < high), F.col("p"))) * (fs / n) for _, low, high in bands]
     out = psd.groupBy(*keys, "w").agg(*[s.alias(name) for s, (name, _, _) in zip(sums, bands)])
     first, second = bands[0][0], bands[1][0]
@@ -43,3 +43,36 @@ def two_path_coupling(peaks: DataFrame, envelope: DataFrame, fs: float, width: i
     g = spectrum.groupBy(*keys).agg(F.avg("c").alias("coherence"), F.max("c").alias("peak_coherence"))
     fast = [g.select(*keys, F.lit("fast").alias("path"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("coherence", "peak_coherence")]
     return reduce(DataFrame.unionByName, [slow, *fast])
+
+
+def gridded_feature(windows: DataFrame, value: str, fs: float, keys: list[str], valid_ratio: float = 0.5, clip_margin: float = 0.5) -> DataFrame:
+    """keys, idx, t, x: a feature of windows (time_start, time_end) linearly on a regular grid from the first to the last window
+    that has it. Values stay within the feature's range and ``clip_margin`` of it to either side. Series with fewer than two
+    values, or with a share of values below ``valid_ratio``, are left out."""
+    v = F.when(~F.isnan(value), F.col(value).cast("double"))
+    rows = windows.select(*keys, ((F.col("time_start") + F.col("time_end")) / 2).cast("double").alias("t"), v.alias("x"))
+    spans = rows.groupBy(*keys).agg(F.count("x").alias("_n"), F.count("*").alias("_all"), F.min(F.when(F.col("x").isNotNull(), F.col("t"))).alias("_a"), F.max(F.when(F.col("x").isNotNull(), F.col("t"))).alias("_b"), F.min("x").alias("_low"), F.max("x").alias("_high"))
+    spans = spans.filter((F.col("_n") >= 2) & (F.col("_n") >= valid_ratio * F.col("_all")) & (F.col("_b") > F.col("_a")))
+    steps = F.sequence(F.lit(0).cast("long"), F.ceil((F.col("_b") - F.col("_a")) * fs - 1e-9).cast("long") - 1)
+    grid = spans.select(*keys, "_a", F.explode(steps).alias("idx")).select(*keys, "idx", (F.col("_a") + F.col("idx") / fs).alias("t"))
+    known = rows.filter("x IS NOT NULL").join(spans.select(*keys), keys, "left_semi")
+    on = op.interpolated(known, grid.select(*keys, "t"), keys)
+    margin = (F.col("_high") - F.col("_low")) * clip_margin
+    held = F.greatest(F.least(F.col("x"), F.col("_high") + margin), F.col("_low") - margin)
+    return on.join(spans, keys).select(*keys, F.round((F.col("t") - F.col("_a")) * fs).cast("long").alias("idx"), "t", held.alias("x"))
+
+
+def two_path_measures(pairs: DataFrame, fs: float, width: int, step: int, max_lag: int, bins: int, segment: int, keys: list[str], band_width: float, search: tuple[float, float]) -> DataFrame:
+    """keys, path, metric, value for pairs that ``matched_to_rate`` has guarded. Slow, on windowed means, from three windows on:
+    the largest correlation over lags, its lag in windows, and binned mutual information. Fast, on the samples, around the
+    envelope's strongest frequency between those of ``search``: that frequency, PLV, its preferred lag, and wPLI."""
+    pairs = cut_lineage(pairs)  # seven measures read it
+    means = op.windowed(pairs, width, step, [F.avg("x").alias("x"), F.avg("y").alias("y")], keys).withColumn("idx", F.col("w"))
+    enough = means.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n >= 3").select(*keys)
+    means = cut_lineage(means.join(enough, keys, "left_semi"))
+    top = cp.peaks(cp.lagged_correlation(means, max_lag, keys), keys)
+    mi = cp.mutual_information(cp.binned(means, bins, keys), keys)
+    bands = sp.dominant_band(pairs, segment, fs, keys, band_width, search)
+    fast = cut_lineage(sp.phase_sync(pairs, fs, keys, bands))
+    rows = [(top, "slow", "xcorr_peak", "peak_r"), (top, "slow", "xcorr_lag", "peak_lag"), (mi, "slow", "mi", "mi_nats"), (fast, "fast", "frequency", "f0"), (fast, "fast", "plv", "plv"), (fast, "fast", "preferred_lag_s", "preferred_lag_s"), (fast, "fast", "wpli", "wpli")]
+    return reduce(DataFrame.unionByName, [t.select(*keys, F.lit(path).alias("path"), F.lit(metric).alias("metric"), F.col(c).cast("double").alias("value")) for t, path, metric, c in rows])

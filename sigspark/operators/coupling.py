@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalar import ratio
-from .features import dfa
+from ..functions.scalar import corr, ratio
+from .features import dfa, higuchi, hurst
 from .series import equal_frequency_bins, exploded_windows, ordered, ranked, whole
 
 PAIR = ["pair_id"]
@@ -13,7 +15,7 @@ PAIR = ["pair_id"]
 
 def correlation(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     """r, n and the t statistic with its degrees of freedom."""
-    g = pairs.groupBy(*keys).agg(F.corr("x", "y").alias("r"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"))
+    g = pairs.groupBy(*keys).agg(corr("x", "y").alias("r"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"))
     return g.withColumn("t", F.col("r") * F.sqrt(ratio(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
@@ -47,17 +49,17 @@ def peaks(lags: DataFrame, keys: list[str], by_size: bool = False) -> DataFrame:
 def lagged_correlation(pairs: DataFrame, max_lag: int, keys: list[str] = PAIR) -> DataFrame:
     """Pearson correlation of what overlaps at each lag."""
     rows = _lag_rows(pairs, max_lag, keys, "idx").select(*keys, "lag", F.inline("both"))
-    return rows.groupBy(*keys, "lag").agg(F.corr("x", "y").alias("r"))
+    return rows.groupBy(*keys, "lag").agg(corr("x", "y").alias("r"))
 
 
 def window_mean_correlation(pairs: DataFrame, width: int, step: int, keys: list[str] = PAIR) -> DataFrame:
-    w = exploded_windows(pairs, width, step, keys).groupBy(*keys, "w").agg(F.corr("x", "y").alias("_r"))
+    w = exploded_windows(pairs, width, step, keys).groupBy(*keys, "w").agg(corr("x", "y").alias("_r"))
     return w.groupBy(*keys).agg(F.avg(F.abs("_r")).alias("mean_abs_r"), F.count("_r").alias("n_windows"))
 
 
 def spearman(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     r = ranked(ranked(pairs, "x", keys, "_a"), "y", keys, "_b")
-    return r.groupBy(*keys).agg(F.corr("_a", "_b").alias("rho"))
+    return r.groupBy(*keys).agg(corr("_a", "_b").alias("rho"))
 
 
 def binned(pairs: DataFrame, bins: int, keys: list[str] = PAIR, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -139,7 +141,7 @@ def exponent_matching(exponents: DataFrame, value: str, keys: list[str] = PAIR,
 def curve_matching(curves: DataFrame, at: str, value: Column, keys: list[str] = PAIR) -> DataFrame:
     """Correlation of two curves over their common places."""
     c = curves.withColumn("_v", value).groupBy(*keys, at).agg(F.max(F.when(F.col("side") == "x", F.col("_v"))).alias("_a"), F.max(F.when(F.col("side") == "y", F.col("_v"))).alias("_b"))
-    return c.groupBy(*keys).agg(F.corr("_a", "_b").alias("match"))
+    return c.groupBy(*keys).agg(corr("_a", "_b").alias("match"))
 
 
 def windowed_dfa(df: DataFrame, width: int, step: int, scales: list[int], keys: list[str]) -> DataFrame:
@@ -170,3 +172,17 @@ def exponent_correlation(exponents: DataFrame, value: str, cells: list[str], key
 def dcca_exponent(curve: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     """lambda_xy: the slope of ln sqrt |f2_xy| over ln s."""
     return curve.groupBy(*keys).agg(F.regr_slope(F.ln(F.sqrt(F.abs(F.nullif("f2_xy", F.lit(0.0))))), F.ln("s")).alias("lambda_xy"))
+
+
+#: Scaling exponents by name: (series, scales, keys) to keys and ``exponent``. Callers may add their own.
+EXPONENTS: dict[str, Callable[[DataFrame, list[int], list[str]], DataFrame]] = {
+    "dfa": lambda df, scales, keys: dfa(df, scales, keys).withColumnRenamed("alpha", "exponent"),
+    "hurst": lambda df, scales, keys: hurst(df, scales, keys).withColumnRenamed("hurst", "exponent"),
+    "higuchi": lambda df, scales, keys: higuchi(df, max(scales), keys).withColumnRenamed("fd", "exponent"),
+}
+
+
+def matched_exponents(pairs: DataFrame, exponent: str | Callable, scales: list[int], keys: list[str] = PAIR, largest: float = 1.0) -> DataFrame:
+    """keys, match: 1 - |difference of the sides' exponents| / largest, for an exponent by name or as a function."""
+    of = EXPONENTS[exponent] if isinstance(exponent, str) else exponent
+    return exponent_matching(of(sides(pairs, keys), scales, [*keys, "side"]), "exponent", keys, largest)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalar import ratio
+from ..functions.scalar import corr, ratio
 from .series import KEYS, coarse_grained, ordered, whole
 
 
@@ -187,7 +187,7 @@ def correlation_matrix(df: DataFrame, ids: list[str], group: list[str] | None =
     """feature_a, feature_b, r over all rows (or per group) of the other columns of ``df``."""
     group = group or []
     names = [c for c in df.columns if c not in ids and c not in group]
-    cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("r")) for i, a in enumerate(names) for b in names[i:]]
+    cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), corr(a, b).alias("r")) for i, a in enumerate(names) for b in names[i:]]
     return df.groupBy(*group).agg(F.array(*cells).alias("_m")).select(*group, F.inline("_m"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio
 from . import features as ft, spectral as sp
-from .series import passes_quality, whole
+from .series import detrended, interpolated, passes_quality, whole
 from .spectral import dft
 
 FRAME = ["clip", "frame"]
@@ -211,3 +211,84 @@ def pixel_spectra(frames: DataFrame, n: int, step: int, fs: float, low: float, h
     q = psd.withColumn("_q", ratio("p", F.sum("p").over(W.partitionBy(*PIXEL))))
     entropy = -F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.log2("_q")).otherwise(0.0)) / math.log2(n // 2)
     return q.groupBy(*PIXEL).agg(F.max_by("f", F.struct(F.round("p", 9), -F.col("k"))).alias("peak_f"), entropy.alias("entropy"), F.sum(F.when(F.col("f").between(low, high), F.col("_q")).otherwise(0.0)).alias("band"))
+
+
+def pixel_power(series: DataFrame, n: int, fs: float, keys: list[str], pos: str = "idx", linear: bool = True) -> DataFrame:
+    """keys, k, f, p, ux, uy: power at every frequency but 0 of each pixel's ``n`` samples, detrended and under a Hann window
+    that ends in zeros, and the unit vector of its phase (zero where there is no power)."""
+    flat = detrended(series, keys, "x", pos, "x", linear)
+    hann = 0.5 - 0.5 * F.cos(F.col(pos) * (2 * math.pi / (n - 1)))
+    d = dft(flat.withColumn("x", F.col("x") * hann), n, range(1, n // 2 + 1), keys, pos)
+    size = F.hypot("re_x", "im_x")
+    unit = {u: F.coalesce(ratio(c, size), F.lit(0.0)) for u, c in (("ux", "re_x"), ("uy", "im_x"))}
+    return d.select(*keys, "k", (F.col("k") * (fs / n)).alias("f"), (size * size).alias("p"), *[c.alias(u) for u, c in unit.items()])
+
+
+def spectral_indices(power: DataFrame, n: int, fs: float, by: list[str], pixel: list[str], bands: list[tuple[str, float, float]] = ()) -> DataFrame:
+    """by, sync (1 less the entropy of the mean spectrum, 0 to 1), coherence (1 less the spread of the pixels' peak frequencies
+    over the range), peak_median, entropy (mean over pixels), phase_coherence and a power per band (log10 of 1 and the sum).
+
+    phase_coherence is the mean over all pairs of pixels of the cosine of their phase difference, weighted by the mean spectrum: the
+    squared length of the summed unit vectors gives all pairs at once, so the work is linear in pixels. One pixel has none.
+    """
+    mean = power.groupBy(*by, "k").agg(F.avg("p").alias("_m"), F.count("*").cast("double").alias("_n"), F.sum("ux").alias("_x"), F.sum("uy").alias("_y"), F.sum(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy")).alias("_own"))
+    pairs = ratio(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") - F.col("_own"), F.col("_n") * (F.col("_n") - 1))
+    share = mean.withColumns({"_q": ratio("_m", F.sum("_m").over(whole(by))), "_pairs": pairs})
+    whole_spectrum = share.groupBy(*by).agg((1 + F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.log2("_q")).otherwise(0.0)) / math.log2(max(n // 2, 2))).alias("sync"), F.sum(F.col("_q") * F.col("_pairs")).alias("phase_coherence"))
+    q = power.withColumn("_q", ratio("p", F.sum("p").over(whole([*by, *pixel]))))
+    each = q.groupBy(*by, *pixel).agg(F.max_by("f", F.struct(F.round("p", 9), -F.col("k"))).alias("_f"), (-F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.log2("_q")).otherwise(0.0)) / math.log2(max(n // 2, 2))).alias("_h"))
+    span = max(fs / n * (n // 2) - fs / n, 1e-9) if n // 2 > 1 else 1.0
+    spread = F.when(F.count("_f") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.stddev_pop("_f") / span)))
+    over = each.groupBy(*by).agg(spread.alias("coherence"), F.percentile("_f", 0.5).alias("peak_median"), F.avg("_h").alias("entropy"))
+    out = whole_spectrum.join(over, by)
+    if bands:
+        sums = [F.log10(1 + F.sum(F.when((F.col("f") >= low) & (F.col("f") < high), F.col("p")).otherwise(0.0))).alias(name) for name, low, high in bands]
+        out = out.join(power.groupBy(*by).agg(*sums), by)
+    return out
+
+
+def pixel_vectors(frames: DataFrame) -> DataFrame:
+    """clip, idx, channel, x: pixels as channels numbered row by row, for ``components``."""
+    s = pixel_series(frames)
+    return s.select("clip", "idx", (F.col("y") * 65536 + F.col("px")).alias("channel"), "x")
+
+
+def frame_curve(values: DataFrame, frames: DataFrame, columns: list[str], centre: Column) -> DataFrame:
+    """clip, idx and ``columns`` on every frame of a clip, between the centres of the windows of ``values``; held at the ends."""
+    grid = frames.select("clip", "idx").distinct().select("clip", F.col("idx").cast("double").alias("t"))
+    at = values.withColumn("t", centre.cast("double"))
+    parts = [interpolated(at.select("clip", "t", F.col(c).cast("double").alias(c)), grid, ["clip"], "t", c) for c in columns]
+    return reduce(lambda a, b: a.join(b, ["clip", "t"]), parts).select("clip", F.col("t").cast("long").alias("idx"), *columns)
+
+
+def column_waves(frames: DataFrame, column: int, n: int, step: int, fs: float) -> DataFrame:
+    """clip, w, centre, frequency, power: the dominant frequency of one pixel column's mean in sliding windows."""
+    from .series import exploded_windows
+
+    w = exploded_windows(column_signal(frames, column), n, step, ["clip"]).select("clip", "w", F.col("pos").alias("idx"), "x")
+    top = sp.peak_frequency(sp.welch(w, n, n, fs, ["clip", "w"]).filter("k > 0"), 0.0, fs, ["clip", "w"])
+    return top.select("clip", "w", (F.col("w") * step + n / 2).alias("centre"), F.col("peak_f").alias("frequency"), F.col("peak_p").alias("power"))
+
+
+#: Measures of a patch of a frame.
+PATCH_MEASURES = ("mean", "sd", "entropy", "gradient", "edges", "dimension", "lacunarity")
+
+
+def patch_measures(frames: DataFrame, size: int, bins: int, low: float, high: float) -> DataFrame:
+    """clip, frame, gy, gx and seven measures of every patch of ``size`` x ``size`` pixels: mean, deviation, entropy of grey
+    values, mean gradient, share of steep pixels (above twice the frame's mean gradient), box-counting dimension of the pixels
+    above the middle of the range, and lacunarity. A patch with no pixel above has no dimension, one whose sums are all 0 no lacunarity."""
+    patch = {"gy": F.floor(F.col("y") / size).cast("long"), "gx": F.floor(F.col("px") / size).cast("long")}
+    by = [*FRAME, "gy", "gx"]
+    f = frames.withColumns(patch)
+    g = gradient(frames).withColumn("_m", F.avg("g").over(W.partitionBy(*FRAME))).withColumns(patch)
+    steep = g.groupBy(*by).agg(F.avg("g").alias("gradient"), F.avg((F.col("g") > 2 * F.col("_m")).cast("double")).alias("edges"))
+    boxes = [s for s in (1, 2, 4, 8) if s <= size]
+    sized = f.withColumn("s", F.explode(F.array(*[F.lit(s).cast("long") for s in boxes]))).withColumns({"_y": F.floor(F.col("y") / F.col("s")), "_x": F.floor(F.col("px") / F.col("s"))})
+    full = sized.filter(F.col("v") > (low + high) / 2).select(*by, "s", "_y", "_x").distinct().groupBy(*by, "s").agg(F.count("*").alias("_n"))
+    dimension = full.groupBy(*by).agg((-F.regr_slope(F.ln("_n"), F.ln("s"))).alias("dimension"))
+    sums = sized.filter("s > 1").groupBy(*by, "s", "_y", "_x").agg(F.sum(F.col("v") - low).alias("_v")).groupBy(*by, "s").agg((1 + ratio(F.var_pop("_v"), F.avg("_v") * F.avg("_v"))).alias("_l"))
+    gaps = sums.groupBy(*by).agg(F.avg(F.ln("_l")).alias("lacunarity"))
+    base = f.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    parts = [base, histogram_entropy(f, by, F.col("v"), bins, low, high), steep, dimension, gaps]
+    return reduce(lambda a, b: a.join(b, by, "left"), parts).select(*by, *PATCH_MEASURES)

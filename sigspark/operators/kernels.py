@@ -13,7 +13,8 @@ from ..functions import special
 
 
 def per_group(df: DataFrame, keys: list[str], columns: list[str], kernel, schema: str, by: str = "idx") -> DataFrame:
-    """Applies ``kernel(*arrays) -> dict or None`` to each group's columns in order of ``by``; None gives no row."""
+    """Applies ``kernel(*arrays) -> dict or None`` to each group's columns in order of ``by``; None gives no row. A null is a
+    NaN in the arrays: every kernel says what it does with one."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(by)
@@ -26,27 +27,67 @@ def per_group(df: DataFrame, keys: list[str], columns: list[str], kernel, schema
     return df.select(*dict.fromkeys([*keys, by, *columns])).groupBy(*keys).applyInPandas(run, full)
 
 
+def phrases(bits: np.ndarray) -> int:
+    """Lempel and Ziv's count of phrases (1976): each the shortest string that does not begin earlier, overlaps allowed.
+
+    A suffix automaton of what stands before the phrase's last sign is walked along with it, so the time is linear.
+    """
+    follow, link, length = [[-1, -1]], [-1], [0]
+    last = 0
+
+    def extend(c: int) -> None:
+        nonlocal last
+        now = len(length)
+        follow.append([-1, -1])
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and follow[p][c] < 0:
+            follow[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if length[p] + 1 == length[q]:
+                link[now] = q
+            else:
+                copy = len(length)
+                follow.append(follow[q][:])
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and follow[p][c] == q:
+                    follow[p][c] = copy
+                    p = link[p]
+                link[q] = link[now] = copy
+        last = now
+
+    count, state, size = 0, 0, 0
+    for c in bits.tolist():
+        state, size = follow[state][c], size + 1  # does the phrase so far, with this sign, begin earlier?
+        extend(c)
+        if state < 0:
+            count, state, size = count + 1, 0, 0
+        while length[link[state]] >= size > 0:  # its shorter strings have a state of their own now
+            state = link[state]
+    return count + (size > 0)
+
+
 def lempel_ziv(x: np.ndarray) -> dict:
-    """Number of phrases of the median-split series, times log2 n / n."""
-    s, n = "".join(np.where(x > np.median(x), "1", "0")) if len(x) else "", len(x)
-    phrases = at = 0
-    while at < n:
-        size = 1
-        while at + size <= n and s[at : at + size] in s[: at + size - 1]:
-            size += 1
-        phrases, at = phrases + 1, at + size
-    return {"lzc": phrases * math.log2(n) / n if n > 1 else None}
+    """Number of phrases of the median-split series, times log2 n / n. Missing values are left out."""
+    (x,) = complete(x)
+    n = len(x)
+    return {"lzc": phrases((x > np.median(x)).astype(int)) * math.log2(n) / n if n > 1 else None}
 
 
 def svd_entropy(gram: DataFrame, keys: list[str]) -> DataFrame:
-    """From the six sums of a delay embedding's Gram matrix: entropy of its singular values, 0 to 1."""
+    """From the six sums of a delay embedding's Gram matrix: entropy of its singular values, 0 to 1; null where one is missing."""
 
     @F.pandas_udf("double")
     def entropy(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
         m = np.array([[a, b, c], [b, d, e], [c, e, f]], float).transpose(2, 0, 1)
-        s = np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0))
+        some = np.isfinite(m).all((1, 2))
+        s = np.sqrt(np.maximum(np.linalg.eigvalsh(np.where(some[:, None, None], m, 0.0)), 0))
         q = s / np.maximum(s.sum(1, keepdims=True), 1e-300)
-        return pd.Series(-(q * np.log2(np.maximum(q, 1e-300))).sum(1) / math.log2(3))
+        return pd.Series(-(q * np.log2(np.maximum(q, 1e-300))).sum(1) / math.log2(3)).where(some, None)
 
     return gram.select(*keys, entropy("g00", "g01", "g02", "g11", "g12", "g22").alias("entropy"))
 
@@ -60,68 +101,27 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
 
 
-def _distances(*columns: np.ndarray) -> np.ndarray:
-    d = np.max([np.abs(c[:, None] - c[None, :]) for c in columns], axis=0)
-    np.fill_diagonal(d, np.inf)
-    return d
-
+def complete(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The places at which every column has a finite value."""
+    some = np.logical_and.reduce([np.isfinite(c) for c in columns])
+    return tuple(c[some] for c in columns)
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    return (x - x.mean()) / (x.std() + 1e-12)
 
+def gaps_filled(x: np.ndarray) -> np.ndarray:
+    """Linear over inner gaps, the nearest value at the edges; nothing where no value is finite."""
+    some = np.isfinite(x)
+    if some.all():
+        return x
+    return np.interp(np.arange(len(x)), np.flatnonzero(some), x[some]) if some.any() else x[:0]
 
-def knn_mi(x: np.ndarray, y: np.ndarray, k: int = 3) -> dict:
-    """Kraskov's first estimator, nats, not below 0."""
-    if len(x) <= k + 1:
-        return {"mi_knn": None}
-    x, y = _scaled(x), _scaled(y)
-    radius = np.partition(_distances(x, y), k - 1, axis=1)[:, k - 1 : k]
-    nx, ny = ((_distances(v) < radius).sum(1) for v in (x, y))
-    value = digamma(np.array([k]))[0] + digamma(np.array([len(x)]))[0] - (digamma(nx + 1) + digamma(ny + 1)).mean()
-    return {"mi_knn": max(0.0, float(value))}
 
-
-def knn_te(x: np.ndarray, y: np.ndarray, lag: int = 1, k: int = 3) -> dict:
-    """Transfer entropy x to y on ranks: what x's past adds about y's next value given y's past, nats, by neighbours."""
-    if len(x) <= lag + k + 1:
-        return {"te_knn": None}
-    r = [np.argsort(np.argsort(v, kind="stable"), kind="stable") / len(v) for v in (x, y)]
-    future, past, source = r[1][lag:], r[1][:-lag], r[0][:-lag]
-    radius = np.partition(_distances(future, past, source), k - 1, axis=1)[:, k - 1 : k]
-    n_z, n_fz, n_sz = ((_distances(*c) < radius).sum(1) for c in ((past,), (future, past), (source, past)))
-    value = digamma(np.array([k]))[0] + (digamma(n_z + 1) - digamma(n_fz + 1) - digamma(n_sz + 1)).mean()
-    return {"te_knn": float(value)}
-
-
-def granger(x: np.ndarray, y: np.ndarray, max_order: int = 4) -> dict | None:
-    """F tests both ways at the order with the least Bayesian criterion, and the directionality score."""
-    n = len(x)
-    best = None
-    for p in range(1, max_order + 1):
-        rows = n - p
-        if rows <= 2 * p + 2:
-            break
-        past = np.column_stack([v[p - j - 1 : n - j - 1] for v in (x, y) for j in range(p)])
-        a = np.column_stack([np.ones(rows), past])
-        rss = []
-        for target, own in ((y, slice(p, 2 * p)), (x, slice(0, p))):
-            t = target[p:]
-            for design in (a, np.column_stack([np.ones(rows), past[:, own]])):
-                fit = design @ np.linalg.lstsq(design, t, rcond=None)[0]
-                rss.append(max(float(((t - fit) ** 2).sum()), 1e-300))
-        score = rows * (math.log(rss[0] / rows) + math.log(rss[2] / rows)) + math.log(rows) * 2 * (2 * p + 1)
-        if best is None or score < best[0]:
-            free = rows - 2 * p - 1
-            f = [((rss[i + 1] - rss[i]) / p) / (rss[i] / free) for i in (0, 2)]
-            best = (score, p, *f, *(special.f_upper(v, p, free) for v in f))
-    if best is None:
-        return None
-    _, p, f1, f2, p1, p2 = best
-    return {"order": p, "f_xy": f1, "f_yx": f2, "p_xy": p1, "p_yx": p2, "direction": math.log10(max(p2, 1e-300)) - math.log10(max(p1, 1e-300))}
+def scaled(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean()) / (x.std() + 1e-12)
 
 
 def phi_id(covariances: DataFrame, keys: list[str]) -> DataFrame:
-    """Sixteen atoms of integrated information decomposition of a Gaussian pair, by least mutual information.
+    """Sixteen atoms of integrated information decomposition of a Gaussian pair, by least mutual information, and their sums:
+    transfer (what lands on one side from all that holds the other), storage (what stays what it is), synergy and the total.
 
     Input: covariances of a, b (now) and c, d (later). Names: what the past holds, ``_to_``, what the future holds; r
     redundant, x and y unique, s synergistic.
@@ -129,7 +129,10 @@ def phi_id(covariances: DataFrame, keys: list[str]) -> DataFrame:
     names = [f"{p}_to_{q}" for p in "rxys" for q in "rxys"]
     step = np.array([[1, 0, 0, 0], [-1, 1, 0, 0], [-1, 0, 1, 0], [1, -1, -1, 1]], float)  # inverse of r <= x, y <= s
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    sums = {f"transfer_{p}_to_{q}": [f"{v}_to_{q}" for v in ("r", p, "s")] for p, q in ("xy", "yx")}
+    sums |= {"storage": [f"{v}_to_{v}" for v in "rxys"], "synergy": ["s_to_s"], "total": names}
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in [*names, *sums]))
     def atoms(frame: pd.DataFrame) -> pd.DataFrame:
         c = np.empty((len(frame), 4, 4))
         for (i, p), (j, q) in ((a, b) for a in enumerate("abcd") for b in enumerate("abcd") if b[0] >= a[0]):
@@ -144,7 +147,8 @@ def phi_id(covariances: DataFrame, keys: list[str]) -> DataFrame:
         for i, past in enumerate(((0, 1), (0,), (1,), (2,))):
             for j, future in enumerate(((0, 1), (0,), (1,), (2,))):
                 table[:, i, j] = np.min([own[p, q] for p in past for q in future], axis=0)
-        return pd.DataFrame((step @ table @ step.T).reshape(len(c), 16), columns=names)
+        out = pd.DataFrame((step @ table @ step.T).reshape(len(c), 16), columns=names)
+        return out.assign(**{name: out[parts].sum(axis=1) for name, parts in sums.items()})
 
     inputs = F.struct(*[f"c_{p}{q}" for i, p in enumerate("abcd") for q in "abcd"[i:]])
     return covariances.select(*keys, atoms(inputs).alias("_a")).select(*keys, "_a.*")
@@ -156,8 +160,11 @@ def seeded(*parts) -> np.random.Generator:
 
 
 def phase_shuffled(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Random phases at every frequency but zero and Nyquist; the power spectrum stays."""
-    s = np.fft.rfft(x)
+    """Random phases at every frequency but zero and Nyquist; the power spectrum stays. Gaps are filled first; a series without
+    a value stays as it is."""
+    if not len(filled := gaps_filled(x)):
+        return x
+    s = np.fft.rfft(filled)
     inner = slice(1, -1 if len(x) % 2 == 0 else None)
     s[inner] = np.abs(s[inner]) * np.exp(1j * rng.uniform(0, 2 * math.pi, len(s[inner])))
     return np.fft.irfft(s, len(x))

@@ -74,22 +74,22 @@ def crop(df: DataFrame, t0: float, t1: float, fs: float, origin: float = 0.0) ->
     return df.filter(F.col("idx").between(low, high)).withColumn("idx", F.col("idx") - low)
 
 
-def _window_rows(df: DataFrame, width: int, step: int, idx: str) -> DataFrame:
+def _window_rows(df: DataFrame, width: int, step: int, idx: str, name: str = "w") -> DataFrame:
     """Every row once per window that may hold it. Windows are found by integer arithmetic, not by a range join."""
     i = F.col(idx)
     first = F.greatest(F.lit(0), F.ceil((i - (width - 1)) / step).cast("long"))
     last = F.floor(i / step).cast("long")
-    out = df.withColumn("w", F.explode(F.when(last >= first, F.sequence(first, last))))
-    return out.withColumn("pos", i - F.col("w") * step)
+    out = df.withColumn(name, F.explode(F.when(last >= first, F.sequence(first, last))))
+    return out.withColumn("pos", i - F.col(name) * step)
 
 
-def exploded_windows(df: DataFrame, width: int, step: int, keys: list[str] = KEYS, idx: str = "idx") -> DataFrame:
-    """Every row once per window that holds it, with the window's number ``w`` and the place ``pos`` in it.
+def exploded_windows(df: DataFrame, width: int, step: int, keys: list[str] = KEYS, idx: str = "idx", name: str = "w") -> DataFrame:
+    """Every row once per window that holds it, with the window's number ``name`` and the place ``pos`` in it.
 
     Only complete windows are given: the last partial one is left out, as are windows with missing rows. Rows are counted
     per window, so nothing is ordered or counted over a whole series.
     """
-    return _window_rows(df, width, step, idx).withColumn("_n", F.count("*").over(whole([*keys, "w"]))).filter(F.col("_n") == width).drop("_n")
+    return _window_rows(df, width, step, idx, name).withColumn("_n", F.count("*").over(whole([*keys, name]))).filter(F.col("_n") == width).drop("_n")
 
 
 def windowed(df: DataFrame, width: int, step: int, aggregates: list[Column], keys: list[str] = KEYS, fs: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio
 from .series import KEYS, exploded_windows, ordered, whole
@@ -71,15 +71,16 @@ def dft(df: DataFrame, n: int, bins: range, keys: list[str], pos: str = "idx", v
 
 
 def tapered(df: DataFrame, n: int, step: int, keys: list[str], values: tuple[str, ...]) -> DataFrame:
-    """Overlapping segments without their mean, times a periodic Hann window."""
-    w = exploded_windows(df, n, step, keys)
+    """Overlapping segments without their mean, times a periodic Hann window. A segment's number is ``_segment``: ``keys``
+    may hold windows of the caller's own."""
+    w = exploded_windows(df, n, step, keys, name="_segment")
     hann = 0.5 - 0.5 * F.cos(F.col("pos") * (2 * math.pi / n))
-    return w.withColumns({v: (F.col(v) - F.avg(v).over(whole([*keys, "w"]))) * hann for v in values})
+    return w.withColumns({v: (F.col(v) - F.avg(v).over(whole([*keys, "_segment"]))) * hann for v in values})
 
 
 def welch(df: DataFrame, n: int, step: int, fs: float, keys: list[str] = KEYS) -> DataFrame:
     """keys, k, f, p: the one-sided power density."""
-    bins = dft(tapered(df, n, step, keys, ("x",)), n, range(0, n // 2 + 1), [*keys, "w"], "pos")
+    bins = dft(tapered(df, n, step, keys, ("x",)), n, range(0, n // 2 + 1), [*keys, "_segment"], "pos")
     twice = F.when((F.col("k") == 0) | (F.col("k") * 2 == n), 1.0).otherwise(2.0)
     p = twice * (F.col("re_x") * F.col("re_x") + F.col("im_x") * F.col("im_x")) / (fs * n * 3 / 8)
     return bins.withColumn("p", p).groupBy(*keys, "k").agg(F.avg("p").alias("p")).withColumn("f", F.col("k") * (fs / n))
@@ -91,7 +92,7 @@ def band_powers(spectrum: DataFrame, bands: DataFrame, keys: list[str] = KEYS) -
     area = (F.lead("f").over(w) - F.col("f")) * (F.lead("p").over(w) + F.col("p")) / 2
     steps = spectrum.withColumns({"_area": area, "_next": F.lead("f").over(w)})
     totals = steps.withColumn("_total", F.sum("_area").over(whole(keys)))
-    inside = totals.join(F.broadcast(bands), (F.col("f") >= F.col("low")) & (F.col("_next") <= F.col("high")))
+    inside = totals.join(bands, (F.col("f") >= F.col("low")) & (F.col("_next") <= F.col("high")))
     return inside.groupBy(*keys, "band").agg(F.sum("_area").alias("power"), F.max("_total").alias("_t")).withColumn("relative", ratio("power", "_t")).drop("_t")
 
 
@@ -140,7 +141,7 @@ def top_frequencies(spectrum: DataFrame, n: int, group: list[str]) -> DataFrame:
 
 def coherence(pairs: DataFrame, n: int, step: int, fs: float, keys: list[str]) -> DataFrame:
     """keys, k, f, c: magnitude-squared coherence of x and y over the segments."""
-    b = dft(tapered(pairs, n, step, keys, ("x", "y")), n, range(0, n // 2 + 1), [*keys, "w"], "pos", ("x", "y"))
+    b = dft(tapered(pairs, n, step, keys, ("x", "y")), n, range(0, n // 2 + 1), [*keys, "_segment"], "pos", ("x", "y"))
     re = F.col("re_x") * F.col("re_y") + F.col("im_x") * F.col("im_y")
     im = F.col("im_x") * F.col("re_y") - F.col("re_x") * F.col("im_y")
     s = b.groupBy(*keys, "k").agg(F.avg(re).alias("_re"), F.avg(im).alias("_im"), F.avg(F.col("re_x") ** 2 + F.col("im_x") ** 2).alias("_xx"), F.avg(F.col("re_y") ** 2 + F.col("im_y") ** 2).alias("_yy"))
@@ -196,3 +197,35 @@ def phase_amplitude(phases: DataFrame, keys: list[str], bins: int = 18) -> DataF
     tort = share.groupBy(*keys).agg((1.0 + F.sum(F.when(F.col("_q") > 0, F.col("_q") * F.ln("_q")).otherwise(0.0)) / math.log(bins)).alias("mi"))
     c = p.groupBy(*keys).agg(F.avg(F.col("amp") * F.cos("phase")).alias("_c"), F.avg(F.col("amp") * F.sin("phase")).alias("_s"), F.avg("amp").alias("_a"))
     return tort.join(c, keys).select(*keys, "mi", F.hypot("_c", "_s").alias("mvl"), ratio(F.hypot("_c", "_s"), "_a").alias("mvl_norm"), F.atan2("_s", "_c").alias("preferred_phase"))
+
+
+def dominant_band(pairs: DataFrame, n: int, fs: float, keys: list[str], width: float = 0.12, search: tuple[float, float] = (0.05, 0.5), pos: str = "idx") -> DataFrame:
+    """keys, f0, low, high: the strongest frequency of y between the two of ``search``, and a band of ``width`` around it. The
+    spectrum has segments of ``n`` samples; where no frequency of them lies in the range f0 is its middle."""
+    rows = pairs.select(*keys, F.col(pos).alias("idx"), F.col("y").alias("x"))
+    top = peak_frequency(welch(rows, n, max(1, n // 2), fs, keys), *search, keys)
+    f0 = F.coalesce("peak_f", F.lit(sum(search) / 2))
+    return rows.select(*keys).distinct().join(top, keys, "left").select(*keys, f0.alias("f0"), F.greatest(F.lit(1e-3), f0 - width / 2).alias("low"), F.greatest(f0 + width / 2, f0 + 1e-3).alias("high"))
+
+
+def phase_sync(pairs: DataFrame, fs: float, keys: list[str], bands: DataFrame, order: int = 4, pos: str = "idx") -> DataFrame:
+    """keys, f0, plv, mean_phase, preferred_lag_s, pli_sin, wpli of x and y, each pair in its own band: ``bands`` has keys, f0,
+    low, high (``dominant_band``, or any table). One plan filters all pairs, whatever their bands. Gaps are filled first; a pair
+    without a band, or with a constant side, gives nulls."""
+    from .filters import enveloped, filtered_by
+    from .models import on_keys
+
+    own = [f"_key{i}" for i in range(len(keys))]  # keys may be named like a column of a step
+    named = bands.select(*[F.col(k).alias(n) for k, n in zip(keys, own)], "f0", "low", "high")
+    samples = pairs.select(*[F.col(k).alias(n) for k, n in zip(keys, own)], F.col(pos).alias("idx"), "x", "y")
+    both = [samples.select(*own, "idx", F.lit(v).alias("side"), F.col(v).cast("double").alias("x")) for v in ("x", "y")]
+    rows = on_keys(both[0].unionByName(both[1]), named, own)
+    by = [*own, "side"]
+    signal = enveloped(filtered_by(rows, fs, F.col("low"), F.col("high"), order, by), by)
+
+    def of(side: str, part) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col("envelope") * part("phase")))
+
+    z = signal.groupBy(*own, "idx").agg(*[of(v, part).alias(f"{name}_{v}") for v in ("x", "y") for name, part in (("a", F.cos), ("b", F.sin))])
+    out = on_keys(phase_coupling(z, own), named.select(*own, "f0"), own)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, own)], "f0", "plv", "mean_phase", (F.col("mean_phase") / (2 * math.pi * F.col("f0"))).alias("preferred_lag_s"), "pli_sin", "wpli")

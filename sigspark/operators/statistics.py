@@ -6,12 +6,69 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import special
 from ..functions.scalar import ratio
+from ..functions.shared import cut_lineage
+from .models import on_keys
 from .series import ranked, whole
 
 
-def bh_fdr(df: DataFrame, p: str = "p", keys: list[str] | None = None, out: str = "p_fdr") -> DataFrame:
-    """Benjamini-Hochberg within each family; null and NaN p stay out and get null."""
+def order_bucket(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises: sign, binary exponent and ten bits of the mantissa. It depends on the
+    value alone, so rows are put in order in parts without looking at other rows."""
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    inside = F.least(F.greatest(F.floor((size / F.pow(F.lit(2.0), power) - 1) * 1024), F.lit(0)), F.lit(1023))
+    return F.coalesce((F.signum(v) * ((power + 1100) * 1024 + inside)).cast("long"), F.lit(0).cast("long"))
+
+
+def running(df: DataFrame, keys: list[str], by: str, x: Column, kind: str, out: str, descending: bool = False) -> DataFrame:
+    """Adds ``out``: the sum, min or max of ``x`` over the rows of the same ``keys`` up to this one in order of ``by`` (a
+    number, different in every row). No window spans a family: parts of the order are summed by themselves, in two steps, and
+    the few thousand totals of the upper step travel as one array per family."""
+    f, both = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}[kind]
+    rows = df.withColumns({"_x": x, "_b": order_bucket(F.col(by))}).withColumn("_c", F.floor(F.col("_b") / 1024).cast("long"))
+
+    def towards(c: str) -> Column:
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    part = rows.groupBy(*keys, "_c", "_b").agg(f("_x").alias("_t"))
+    tops = part.groupBy(*keys, "_c").agg(f("_t").alias("_t")).groupBy(*keys).agg(F.collect_list(F.struct("_c", "_t")).alias("_tops"))
+    part = part.withColumn("_before", f("_t").over(W.partitionBy(*keys, "_c").orderBy(towards("_b")).rowsBetween(W.unboundedPreceding, -1))).drop("_t")
+    inside = rows.withColumn("_in", f("_x").over(W.partitionBy(*keys, "_c", "_b").orderBy(towards(by)).rowsBetween(W.unboundedPreceding, 0)))
+    met = on_keys(on_keys(inside, part, [*keys, "_c", "_b"]), tops, keys)
+    upper = F.filter("_tops", lambda t: t["_c"] > F.col("_c") if descending else t["_c"] < F.col("_c"))
+    above = F.aggregate(upper, F.lit(None).cast(dict(rows.dtypes)["_x"]), lambda a, t: F.coalesce(both(a, t["_t"]), t["_t"]))
+    total = F.col("_in")
+    for more in (F.col("_before"), above):
+        total = F.coalesce(both(total, more), total)
+    return met.withColumn(out, total).drop("_x", "_b", "_c", "_before", "_in", "_tops")
+
+
+def _family(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
+    """keys, _p, _n, _k, _m: every distinct p once, with its rows, the rows up to it and the rows of the family."""
+    counted = df.filter(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys, F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n"))
+    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_m"))
+    return on_keys(running(counted, keys, "_p", F.col("_n"), "sum", "_k"), sizes, keys)
+
+
+def _corrected(df: DataFrame, p: str, keys: list[str], out: str, found: DataFrame) -> DataFrame:
+    """``df`` with ``out`` of the row with its p; null where there is none."""
+    table = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p"), F.col("_q"))
+    met = F.col(p).cast("double") == F.col("_p")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rest = df.drop(out)
+    return rest.join(table, met, "left").select(*[F.col(f"`{c}`") for c in rest.columns], F.col("_q").alias(out))
+
+
+def bh_fdr(df: DataFrame, p: str = "p", keys: list[str] | None = None, out: str = "p_fdr", spread: bool | None = None) -> DataFrame:
+    """Benjamini-Hochberg within each family; null and NaN p stay out and get null. ``spread``: a family is ranked by many
+    tasks (by default where there are no keys, so that one family is the whole table); else a family is one window."""
     keys = keys or []
+    if spread or spread is None and not keys:
+        df = cut_lineage(df)  # p is read twice and must be the same number both times
+        found = _family(df, p, keys).withColumn("_each", F.col("_p") * F.col("_m") / F.col("_k"))
+        found = running(found, keys, "_p", F.col("_each"), "min", "_low", descending=True)
+        return _corrected(df, p, keys, out, found.withColumn("_q", F.least(F.lit(1.0), "_low")))
     valid = F.when(~F.isnan(p), F.col(p))
     w = W.partitionBy(*keys).orderBy(F.col("_p").asc_nulls_last())
     d = df.withColumn("_p", valid).withColumns({"_m": F.count("_p").over(whole(keys)), "_k": F.row_number().over(w)})
@@ -19,8 +76,14 @@ def bh_fdr(df: DataFrame, p: str = "p", keys: list[str] | None = None, out: str
     return d.withColumn(out, F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), q))).drop("_p", "_m", "_k")
 
 
-def holm(df: DataFrame, p: str = "p", keys: list[str] | None = None, out: str = "p_holm") -> DataFrame:
+def holm(df: DataFrame, p: str = "p", keys: list[str] | None = None, out: str = "p_holm", spread: bool | None = None) -> DataFrame:
+    """Holm's step-down within each family; null and NaN p stay out and get null. ``spread`` as in ``bh_fdr``."""
     keys = keys or []
+    if spread or spread is None and not keys:
+        df = cut_lineage(df)  # p is read twice and must be the same number both times
+        found = _family(df, p, keys).withColumn("_each", F.col("_p") * (F.col("_m") - F.col("_k") + F.col("_n")))
+        found = running(found, keys, "_p", F.col("_each"), "max", "_high")
+        return _corrected(df, p, keys, out, found.withColumn("_q", F.least(F.lit(1.0), "_high")))
     valid = F.when(~F.isnan(p), F.col(p))
     w = W.partitionBy(*keys).orderBy(F.col("_p").asc_nulls_last())
     d = df.withColumn("_p", valid).withColumns({"_m": F.count("_p").over(whole(keys)), "_k": F.row_number().over(w)})
@@ -117,10 +180,18 @@ def trajectory(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Area under the curve by rank sum, ties shared."""
-    r = ranked(df, score, keys, "_r")
-    g = r.groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("_s"), F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
-    return g.select(*keys, ratio(F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2, (F.col("_p") * F.col("_q")).cast("double")).alias("auc"))
+    """keys, auc: area under the curve by rank sum of a 0/1 label, ties shared. Distinct scores are counted and ranked in
+    parts, so no family is sorted by one task; rows with a null stay out; one label only gives null."""
+    yes, no = F.sum(F.col(label).cast("long")), F.sum(1 - F.col(label).cast("long"))
+    counted = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(yes.alias("_yes"), no.alias("_no"))
+    r = running(counted, keys, "_s", F.col("_no"), "sum", "_below")
+    wins = F.sum(F.col("_yes") * (F.col("_below") - F.col("_no") / 2.0))
+    return r.groupBy(*keys).agg(ratio(wins, (F.sum("_yes") * F.sum("_no")).cast("double")).alias("auc"))
+
+
+def accuracy(df: DataFrame, keys: list[str], label: str, predicted: Column) -> DataFrame:
+    """keys, accuracy: the share of rows with both a label and a prediction where they agree."""
+    return df.groupBy(*keys).agg(F.avg((predicted == (F.col(label) == 1)).cast("double")).alias("accuracy"))
 
 
 def balanced_components(df: DataFrame, subject: str, channel: str, value: str = "value", keys: list[str] | None = None) -> DataFrame:

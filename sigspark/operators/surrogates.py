@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,3 +124,17 @@ def cluster_test_two_sample(values: DataFrame, n: int, threshold: float, keys: l
         return ratio(F.greatest(F.lit(0.0), ratio(q - ratio(s * s, n_k), n_k - 1)), n_k)
 
     return _tested(g.withColumn("t", ratio(ratio("s0", "n0") - ratio("s1", "n1"), F.sqrt(spread(0) + spread(1)))), n, keys, threshold)
+
+
+def tested_metric(pairs: DataFrame, metric_fn: Callable[[DataFrame, list[str]], DataFrame], n: int, keys: list[str], method: str = "shift", target: str = "y", higher: bool = True) -> DataFrame:
+    """The surrogate test of any metric: observed, null_mean, null_std, quantiles, p, z per ``keys``.
+
+    ``metric_fn(rows, by)`` is a plan: from idx, x, y rows to one row per ``by`` (the keys and surrogate) with a column ``value``. It
+    runs over the data and all surrogates at once. ``method``: shift (round the circle) or phase (random phases of y).
+    """
+    if method not in ("shift", "phase") or method == "phase" and target != "y":
+        raise ValueError(f"method {method} with target {target}")
+    from .kernels import phase_surrogates
+
+    moved = time_shifted(pairs, n, keys, target) if method == "shift" else phase_surrogates(pairs, n, keys)
+    return surrogate_test(metric_fn(moved, [*keys, "surrogate"]).select(*keys, "surrogate", F.round("value", 9).alias("value")), keys, higher=higher)

@@ -77,6 +77,13 @@ def feat_windowed_complexity(spark, d):
     return _all(bd.windowed_complexity(sig_emb(spark, d), 32, 32, 64.0, [4, 8, 16], ["series_id"]))
 
 
+@query(None)
+def feat_windowed_complexity_pairs(spark, d):
+    """Windows of the series 2k and 2k + 1 laid end to end: window w of pair k is series 2k + w."""
+    s = sig_emb(spark, d).select(F.floor(F.col("series_id") / 2).cast("long").alias("pair_id"), (F.col("idx") + F.col("series_id") % 2 * 64).alias("idx"), "x")
+    return _all(bd.windowed_complexity(s, 64, 64, 64.0, [8, 16, 32], P))
+
+
 def _shaped(df):
     """Slopes and angles of small spectra are good to fewer decimals."""
     return _all(df, "slope", "orientation").withColumns({"slope": F.round("slope", 5) + 0.0, "orientation": F.round("orientation", 4) + 0.0})

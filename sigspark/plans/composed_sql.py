@@ -189,6 +189,8 @@ ORACLE["feat_complexity_summary"] = side_by_side(
     ],
 )
 
+ORACLE["feat_windowed_complexity_pairs"] = f"SELECT series_id // 2 AS pair_id, series_id % 2 AS w, * EXCLUDE (series_id) FROM ({ORACLE['feat_complexity_summary']})"
+
 _RATE = f"WITH sig_events AS ({VIEW_SQL['sig_events']}), g AS (SELECT series_id, t_s, lead(t_s) OVER (PARTITION BY series_id ORDER BY t_s) - t_s AS gap FROM sig_events), rate AS (SELECT series_id, t_s + gap / 2 AS t, 60 / nullif(gap, 0) AS x FROM g WHERE gap IS NOT NULL AND gap <> 0)"
 ORACLE["feat_rate_on_grid"] = _RATE + """, spans AS (SELECT series_id, min(t) AS a, max(t) AS b FROM rate GROUP BY series_id HAVING count(*) >= 3),
 grid AS (SELECT series_id, k.range AS idx, k.range / (1 / 3600e0) AS t FROM spans, range(0, 2000) k WHERE k.range BETWEEN ceil(a * (1 / 3600e0)) AND greatest(ceil(a * (1 / 3600e0)), floor(b * (1 / 3600e0)))),

@@ -241,4 +241,4 @@ def cpl_peak_statistic(spark, d):
 def cpl_peak_significance(spark, d):
     """The flagship: which activities couple with clicks, with p and its correction over activities."""
     tested = _peak_statistic(spark, d)
-    return st.bh_fdr(tested.withColumn("p", special.t_p("t", "df"))).select("channel", "n", r6("mean").alias("mean_z"), r6("t").alias("t"), r6("p").alias("p"), r6("p_fdr").alias("p_fdr"))
+    return st.bh_fdr(tested.withColumn("p", special.t_p("t", "df")), spread=False).select("channel", "n", r6("mean").alias("mean_z"), r6("t").alias("t"), r6("p").alias("p"), r6("p_fdr").alias("p_fdr"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators import coupling as cp, features as ft, filters as fl, frames as fr, kernels as kn, models as md, series as op, statistics as st, surrogates as su
-from .registry import cells, frame_emb, pair_emb, query, rounded, sig_emb, sig_events
+from ..operators import coupling as cp, features as ft, filters as fl, kernels as kn, models as md, statistics as st, surrogates as su
+from .registry import cells, pair_emb, query, rounded, sig_emb, sig_events
 from .tables import _diffs
 
 P = ["pair_id"]
@@ -57,29 +57,6 @@ def ent_svd(spark, d):
     return rounded(kn.svd_entropy(ft.svd_gram(sig_emb(spark, d)), ["series_id"]), "entropy")
 
 
-@query(None)
-def cpl_mi_knn(spark, d):
-    return rounded(kn.per_group(pair_emb(spark, d), P, ["x", "y"], kn.knn_mi, "mi_knn double"), "mi_knn")
-
-
-@query(None)
-def cpl_te_knn(spark, d):
-    return rounded(kn.per_group(pair_emb(spark, d), P, ["x", "y"], kn.knn_te, "te_knn double"), "te_knn")
-
-
-@query(None)
-def cpl_granger(spark, d):
-    found = kn.per_group(pair_emb(spark, d), P, ["x", "y"], kn.granger, "order long, f_xy double, f_yx double, p_xy double, p_yx double, direction double")
-    return rounded(found, "f_xy", "f_yx", "p_xy", "p_yx", "direction")
-
-
-@query(None)
-def cpl_granger_windowed(spark, d):
-    w = op.exploded_windows(pair_emb(spark, d), 32, 16, P)
-    found = kn.per_group(w, ["pair_id", "w"], ["x", "y"], kn.granger, "order long, f_xy double, f_yx double, p_xy double, p_yx double, direction double", "pos")
-    return rounded(found, "f_xy", "f_yx", "p_xy", "p_yx", "direction")
-
-
 @query(None)
 def cpl_phi_id(spark, d):
     a = kn.phi_id(cp.gaussian_atoms_input(pair_emb(spark, d), 1), P)
@@ -92,22 +69,17 @@ def surr_phase(spark, d):
     return rounded(su.surrogate_test(v, P), "observed", "null_mean", "null_std", "p2_5", "p95", "p97_5", "p", "z")
 
 
-@query(None)
-def vid_modes(spark, d):
-    return rounded(kn.modes(fr.snapshots_gram(frame_emb(spark, d)), ["clip"]), "energy")
-
-
 @query(None)
 def mdl_random_intercept(spark, d):
     """Event value on event order within the user, an intercept per user, one model per event type, FDR over them."""
     m = md.random_intercept(sig_events(spark, d), ["channel"], "series_id", "idx", "x")
-    return rounded(st.bh_fdr(m), "coefficient", "se", "z", "p", "var_subject", "var_residual", "p_fdr")
+    return rounded(st.bh_fdr(m, spread=False), "coefficient", "se", "z", "p", "var_subject", "var_residual", "p_fdr")
 
 
 @query(None)
 def mdl_gee(spark, d):
     e = sig_events(spark, d).withColumn("label", (F.col("idx") % 2).cast("int"))
-    return rounded(md.gee_logistic(e, ["channel"], "series_id", "x", "label"), "coefficient", "robust_se", "z", "p", "correlation")
+    return rounded(md.gee_logistic(e, ["channel"], "series_id", "x", "label"), "coefficient", "robust_se", "z", "p", "correlation", "accuracy", "auc")
 
 
 @query(None)
@@ -117,12 +89,12 @@ def stat_friedman_p(spark, d):
 
 @query(None)
 def stat_wilcoxon_p(spark, d):
-    return rounded(st.holm(st.signed_rank(_diffs(spark, d), ["other"])), "w", "p", "p_holm").select("other", "n", "w", "p", "p_holm")
+    return rounded(st.holm(st.signed_rank(_diffs(spark, d), ["other"]), spread=False), "w", "p", "p_holm").select("other", "n", "w", "p", "p_holm")
 
 
 @query(None)
 def stat_paired_t_p(spark, d):
-    return rounded(st.bh_fdr(st.t_one_sample(_diffs(spark, d), ["other"])), "mean", "t", "p", "p_fdr")
+    return rounded(st.bh_fdr(st.t_one_sample(_diffs(spark, d), ["other"]), spread=False), "mean", "t", "p", "p_fdr")
 
 
 @query(None)
