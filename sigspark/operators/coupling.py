@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import corr, ratio
 from .features import dfa, higuchi, hurst
-from .series import equal_frequency_bins, exploded_windows, ordered, ranked, whole
+from .series import binned_columns, exploded_windows, ordered, ranked, whole
 
 PAIR = ["pair_id"]
 
@@ -65,9 +65,7 @@ def spearman(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
 def binned(pairs: DataFrame, bins: int, keys: list[str] = PAIR, columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Each column as one of at most ``bins`` codes from 0: by percentile edges, or the values themselves where there are few.
     Equal values have equal codes, nulls none."""
-    for c in columns:
-        pairs = equal_frequency_bins(pairs, bins, keys, c, c)
-    return pairs
+    return binned_columns(pairs, bins, keys, {c: c for c in columns})
 
 
 def mutual_information(cells: DataFrame, keys: list[str] = PAIR) -> DataFrame:

@@ -14,17 +14,18 @@ from ..functions import special
 
 def per_group(df: DataFrame, keys: list[str], columns: list[str], kernel, schema: str, by: str = "idx") -> DataFrame:
     """Applies ``kernel(*arrays) -> dict or None`` to each group's columns in order of ``by``; None gives no row. A null is a
-    NaN in the arrays: every kernel says what it does with one."""
+    NaN in the arrays: every kernel says what it does with one. Groups travel as rows of arrays, many to an Arrow batch."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(by)
-        out = kernel(*(frame[c].to_numpy(float) for c in columns))
-        rows = [] if out is None else [{**{k: frame[k].iloc[0] for k in keys}, **out}]
-        return pd.DataFrame(rows, columns=[*keys, *names])
+    @F.pandas_udf(f"{schema}, _row boolean")
+    def run(*series: pd.Series) -> pd.DataFrame:
+        found = [kernel(*(np.array(v, float) for v in arrays)) for arrays in zip(*series)]
+        return pd.DataFrame([{**(f or {}), "_row": f is not None} for f in found], columns=[*names, "_row"])
 
-    names = [part.split()[0] for part in schema.split(", ")]
-    full = ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in keys), schema])
-    return df.select(*dict.fromkeys([*keys, by, *columns])).groupBy(*keys).applyInPandas(run, full)
+    values = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("_at"), *values))).alias("_v"))
+    found = rows.select(*keys, run(*[F.col(f"_v._{i}") for i in range(len(columns))]).alias("_f"))
+    return found.filter("_f._row").select(*keys, *[F.col(f"_f.{n}").alias(n) for n in names])
 
 
 def phrases(bits: np.ndarray) -> int:
@@ -171,16 +172,17 @@ def phase_shuffled(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def phase_surrogates(pairs: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """keys, surrogate, idx, x, y with y phase-shuffled; surrogate 0 is the original. A group is one pair and surrogate."""
-    each = pairs.select(*keys, "idx", "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("surrogate"))
+    """keys, surrogate, idx, x, y with y phase-shuffled; surrogate 0 is the original. A pair is gathered once."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        if frame["surrogate"].iloc[0]:
-            frame["y"] = phase_shuffled(frame["y"].to_numpy(float), seeded(*(frame[k].iloc[0] for k in keys), frame["surrogate"].iloc[0]))
-        return frame
+    @F.pandas_udf("array<double>")
+    def shuffled(values: pd.Series, names: pd.Series, surrogate: pd.Series) -> pd.Series:
+        return pd.Series([phase_shuffled(np.array(v, float), seeded(*k, s)) if s else np.array(v, float) for v, k, s in zip(values, names, surrogate)])
 
-    return each.groupBy(*keys, "surrogate").applyInPandas(run, each.schema)
+    rows = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("_v"))
+    each = rows.select(*keys, "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("surrogate"))
+    moved = each.select(*keys, "surrogate", "_v", shuffled(F.col("_v.y"), F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), "surrogate").alias("_y"))
+    back = moved.select(*keys, "surrogate", F.explode(F.arrays_zip("_v", "_y")).alias("_r"))
+    return back.select(*keys, "surrogate", F.col("_r._v.idx").alias("idx"), F.col("_r._v.x").alias("x"), F.when(~F.isnan("_r._y"), F.col("_r._y")).alias("y"))
 
 
 def modes(gram: DataFrame, keys: list[str], n: int = 4) -> DataFrame:

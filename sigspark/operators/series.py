@@ -54,13 +54,28 @@ def log_minmax(df: DataFrame, keys: list[str] = KEYS, x: str = "x", out: str = "
 def equal_frequency_bins(df: DataFrame, bins: int, keys: list[str] = KEYS, x: str = "x", out: str = "bin") -> DataFrame:
     """0 to bins - 1 by percentile edges; a series with few distinct values keeps them as its bins. Equal values share a bin;
     nulls have none."""
-    cuts = F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)]))
-    edges = df.groupBy(*keys).agg(cuts.alias("_cuts"), F.count_distinct(x).alias("_kinds"))
+    return binned_columns(df, bins, keys, {x: out})
+
+
+def _not_above(x: str) -> Callable[[Column], Column]:
+    return lambda c: c <= F.col(x)
+
+
+def binned_columns(df: DataFrame, bins: int, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """``equal_frequency_bins`` of several columns (value: name of its bins) by one aggregation and one join. Exact percentiles and
+    the set of values both hold a series' distinct values; what is joined back has at most ``bins`` + 1 of them."""
+    share = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    few = {f"_few{i}": x for i, x in enumerate(columns)}
+    cuts = [F.percentile(x, share).alias(f"_cuts{i}") for i, x in enumerate(columns)]
+    kinds = [F.slice(F.array_sort(F.collect_set(x)), 1, bins + 1).alias(name) for name, x in few.items()]
+    edges = df.groupBy(*keys).agg(*cuts, *kinds)
     joined = df.join(edges, keys)
-    counted = F.size(F.filter("_cuts", lambda c: c <= F.col(x))).cast("long")
-    dense = (F.dense_rank().over(W.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())) - 1).cast("long")
-    binned = F.when(F.col("_kinds") <= bins, dense).otherwise(counted)
-    return joined.withColumn("_bin", F.when(F.col(x).isNotNull(), binned)).drop("_cuts", "_kinds").withColumn(out, F.col("_bin")).drop("_bin")
+    codes = {}
+    for i, (x, name) in enumerate(columns.items()):
+        counted = F.size(F.filter(f"_cuts{i}", _not_above(x))).cast("long")
+        dense = (F.array_position(f"_few{i}", F.col(x)) - 1).cast("long")
+        codes[name] = F.when(F.col(x).isNotNull(), F.when(F.size(f"_few{i}") <= bins, dense).otherwise(counted))
+    return joined.withColumns(codes).drop(*[f"_cuts{i}" for i in range(len(columns))], *few)
 
 
 def trace(df: DataFrame, series: Column, fs: float, name: str, modality: str, t0: float, units: str, x: str = "x", idx: str = "idx") -> DataFrame:
