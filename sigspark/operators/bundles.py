@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.shared import cut_lineage
 from . import coupling as cp, features as ft, frames as fr, kernels as kn, series as op, spectral as sp
 
 
@@ -14,6 +15,16 @@ def bundle(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, keys, "full_outer"), parts)
 
 
+def complete_bundle(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The same, but only keys that every table has, with no measure missing or NaN."""
+    both = reduce(lambda a, b: a.join(b, keys), parts)
+    kinds = dict(both.dtypes)
+    for c in both.columns:
+        if c not in keys:
+            both = both.filter(F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True)))
+    return both
+
+
 def fingerprint(pairs: DataFrame, n: int, fs: float, band: tuple[float, float], width: int, step: int, max_lag: int, keys: list[str]) -> DataFrame:
     """Five measures per pair: mean absolute peak of windowed cross-correlation, band coherence, PLV, sine-ratio PLI, binned mutual information."""
     top = cp.peaks(cp.windowed_xcorr(pairs, width, step, max_lag, keys), [*keys, "w"], by_size=True)
@@ -71,13 +82,19 @@ def all_fractals(df: DataFrame, scales: list[int], keys: list[str]) -> DataFrame
     return bundle(parts, keys)
 
 
-def complexity_summary(df: DataFrame, n: int, step: int, fs: float, scales: list[int], keys: list[str]) -> DataFrame:
-    """Entropies, fractals, Hjorth numbers, spectral centroid and bandwidth, spectral slope, and the area under the multiscale entropy."""
+def complexity_summary(df: DataFrame, n: int, step: int, fs: float, scales: list[int], keys: list[str], bands: list[tuple[str, float, float]] = ()) -> DataFrame:
+    """Entropies, fractals, Hjorth numbers, spectral centroid and bandwidth, spectral slope, the area under the multiscale entropy,
+    and of every band (name, low, high) the power as <name>_abs and its share as <name>_rel."""
     psd = sp.welch(df, n, step, fs, keys)
     total, centre = F.sum("p"), F.sum(F.col("f") * F.col("p")) / F.sum("p")
     shape = psd.groupBy(*keys).agg(total.alias("power"), centre.alias("centroid"), F.sqrt(F.sum(F.col("f") * F.col("f") * F.col("p")) / total - centre * centre).alias("bandwidth"), F.regr_slope(F.when(F.col("k") > 0, F.ln("p")), F.when(F.col("k") > 0, F.ln("f"))).alias("psd_slope"))
     area = ft.multiscale_entropy(df, [1, 2, 3], keys=keys).groupBy(*keys).agg(F.sum("sampen").alias("mse_area"))
-    return bundle([all_entropies(df, n, step, fs, keys), all_fractals(df, scales, keys), ft.hjorth(df, keys), shape, area], keys)
+    parts = [all_entropies(df, n, step, fs, keys), all_fractals(df, scales, keys), ft.hjorth(df, keys), shape, area]
+    if bands:
+        table = df.sparkSession.createDataFrame([(b, float(low), float(high)) for b, low, high in bands], "band string, low double, high double")
+        powers = sp.band_powers(psd, table, keys)
+        parts.append(powers.groupBy(*keys).agg(*[F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{b}_{e}") for b, _, _ in bands for c, e in (("power", "abs"), ("relative", "rel"))]))
+    return bundle(parts, keys)
 
 
 def windowed_complexity(df: DataFrame, width: int, step: int, fs: float, scales: list[int], keys: list[str]) -> DataFrame:
@@ -98,6 +115,16 @@ def quantified_clip(frames: DataFrame, size: int, low: float, high: float) -> Da
     return bundle([fr.global_signals(frames, 16, low, high), spatial_complexity(frames, size, low, high)], fr.FRAME)
 
 
+def clip_complexity(signals: DataFrame, n: int, step: int, fs: float, scales: list[int]) -> DataFrame:
+    """clip, metric and the complexity summary of every signal of a clip (the columns of ``quantified_clip`` over its frames). The
+    signals are written to the shared folder once, as every measure reads them."""
+    long = long_form(signals, fr.FRAME).filter("value IS NOT NULL AND NOT isnan(value)")
+    place = F.dense_rank().over(W.partitionBy("clip", "metric").orderBy("frame")) - 1
+    series = long.select("clip", "metric", place.cast("long").alias("idx"), F.col("value").alias("x"))
+    keys = ["clip", "metric"]
+    return complexity_summary(cut_lineage(op.passes_quality(series, keys, n)), n, step, fs, scales, keys)
+
+
 def common_grid_mean(curves: DataFrame, group: list[str], subject: str, step: float, t: str = "t", x: str = "x") -> DataFrame:
     """Curves of several subjects on one grid up to the shortest span: mean, standard error and count where two or more are."""
     keys = [*group, subject]

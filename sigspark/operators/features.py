@@ -58,6 +58,28 @@ def sample_entropy(df: DataFrame, m: int = 2, r: float = 0.2, keys: list[str] =
     return _sampen(_matches(t, t, m, keys, True), df, keys)
 
 
+def approximate_entropy(df: DataFrame, m: int = 2, r: float = 0.2, keys: list[str] = KEYS) -> DataFrame:
+    """keys, apen: phi(m) - phi(m + 1), where phi is the mean log of the share of templates within r deviations of each one,
+    itself included. Every template counts for its own length; a constant series, or one without a template, gives null."""
+    w = whole(keys)
+    rows = df.filter(F.col("x").isNotNull()).withColumn("_r", r * F.stddev_pop("x").over(w)).filter("_r > 0")
+    parts = []
+    for size in (m, m + 1):
+        ahead = [F.lead("x", k).over(ordered(keys)) if k else F.col("x") for k in range(size)]
+        t = rows.select(*keys, "idx", "_r", F.array(*ahead).alias("t")).filter(F.element_at("t", size).isNotNull())
+        first = F.floor(F.element_at("t", 1) / F.col("_r")).cast("long")
+        left = t.select(*keys, F.col("idx").alias("_i"), F.col("t").alias("_a"), "_r", F.explode(F.array(first - 1, first, first + 1)).alias("_bucket"))
+        right = t.select(*keys, F.col("t").alias("_b"), first.alias("_bucket"))
+        close = F.lit(True)
+        for k in range(size):
+            close = close & (F.abs(F.col("_a")[k] - F.col("_b")[k]) <= F.col("_r"))
+        near = left.join(right, [*keys, "_bucket"]).filter(close).groupBy(*keys, "_i").agg(F.count("*").alias("_n"))
+        phi = near.groupBy(*keys).agg((F.avg(F.ln("_n")) - F.ln(F.count("*"))).alias("_phi"))
+        parts.append(phi.withColumn("_size", F.lit(size)))
+    both = parts[0].unionByName(parts[1]).groupBy(*keys).agg(F.max(F.when(F.col("_size") == m, F.col("_phi"))).alias("_p"), F.max(F.when(F.col("_size") == m + 1, F.col("_phi"))).alias("_q"))
+    return df.select(*keys).distinct().join(both, keys, "left").select(*keys, (F.col("_p") - F.col("_q") + 0.0).alias("apen"))
+
+
 def cross_sample_entropy(pairs: DataFrame, m: int = 2, r: float = 0.2, keys: list[str] = KEYS) -> DataFrame:
     """Of x against y, both standardised first; every pair of templates counts."""
     w = whole(keys)

@@ -39,6 +39,13 @@ def global_signals(frames: DataFrame, bins: int = 16, low: float = -1.0, high: f
     return g.join(histogram_entropy(frames, FRAME, F.col("v"), bins, low, high), FRAME)
 
 
+def colour_means(frames: DataFrame, channels: list[str]) -> DataFrame:
+    """clip, frame and the mean of every colour channel, and of what lies farthest from grey: the mean over pixels of the largest
+    less the smallest channel."""
+    spread = F.greatest(*map(F.col, channels)) - F.least(*map(F.col, channels))
+    return frames.groupBy(*FRAME).agg(*[F.avg(c).alias(c) for c in channels], F.avg(spread).alias("colourfulness"))
+
+
 def _neighbours(frames: DataFrame) -> DataFrame:
     """Adds the pixel to the left, right, above and below; edges repeat."""
     across, down = W.partitionBy(*FRAME, "y").orderBy("px"), W.partitionBy(*FRAME, "px").orderBy("y")

@@ -154,6 +154,13 @@ def band_coherence(spectrum: DataFrame, low: float, high: float, keys: list[str]
     return inside.select(*keys, "mean", F.col("_b.c").alias("peak"), F.col("_b.f").alias("peak_f"))
 
 
+def coherence_table(spectrum: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, band, mean, peak, peak_f: coherence of every key in every band. ``bands``: band, low, high, a small dimension table."""
+    inside = spectrum.join(bands, F.col("f").between(F.col("low"), F.col("high")))
+    g = inside.groupBy(*keys, "band").agg(F.avg("c").alias("mean"), F.max_by(F.struct("f", "c"), F.struct(F.round("c", 9), -F.col("k"))).alias("_b"))
+    return g.select(*keys, "band", "mean", F.col("_b.c").alias("peak"), F.col("_b.f").alias("peak_f"))
+
+
 def segment_length(samples: int, fs: float, low: float, high: float, least_bins: int = 4) -> int | None:
     """The shortest power of two, at most half the samples, that puts ``least_bins`` frequencies in the band."""
     n = 8

@@ -196,3 +196,21 @@ def test_exponents_by_name_or_function(spark):
     assert cp.matched_exponents(p, lambda df, s, k: df.groupBy(*k).agg(F.lit(0.5).alias("exponent")), []).first().match == 1
     with pytest.raises(KeyError):
         cp.matched_exponents(p, "none", [8])
+
+
+def whole_apen(x, m=2, r=0.2):
+    def phi(size):
+        t = np.array([x[k : len(x) - size + 1 + k] for k in range(size)])
+        near = (np.abs(t[:, :, None] - t[:, None, :]).max(0) <= r * x.std()).sum(1)
+        return np.log(near / t.shape[1]).mean()
+
+    return phi(m) - phi(m + 1)
+
+
+def test_approximate_entropy(spark):
+    rng = np.random.default_rng(15)
+    noise, ties = rng.normal(size=60), np.round(rng.normal(size=60))
+    rows = [(0, i, float(v)) for i, v in enumerate(noise)] + [(1, i, float(v)) for i, v in enumerate(ties)] + [(2, i, 1.0) for i in range(20)] + [(3, i, None) for i in range(20)] + [(4, 0, 1.0)]
+    got = {r.series_id: r.apen for r in ft.approximate_entropy(spark.createDataFrame(rows, "series_id int, idx long, x double")).collect()}
+    assert got[0] == pytest.approx(whole_apen(noise), abs=1e-9) and got[1] == pytest.approx(whole_apen(ties), abs=1e-9)
+    assert (got[2], got[3], got[4]) == (None, None, None)
