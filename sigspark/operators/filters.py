@@ -177,12 +177,18 @@ def _edge(v) -> float | None:
 
 
 def _extended(df: DataFrame, pad: Column, keys: list[str]) -> DataFrame:
-    """keys, idx, x, own: every series with its odd extension as rows before its first and after its last sample."""
+    """keys, idx, x, own: every series with its odd extension as rows before its first and after its last sample. A sample near
+    an end gives its mirror image along with itself."""
     ends = df.groupBy(*keys).agg(F.min("idx").alias("_i"), F.max("idx").alias("_j"), F.min_by("x", "idx").alias("_a"), F.max_by("x", "idx").alias("_b"))
     near = on_keys(df, ends, keys).withColumn("_pad", F.least(pad, F.col("_j") - F.col("_i")))
-    before = near.filter((F.col("idx") > F.col("_i")) & (F.col("idx") <= F.col("_i") + F.col("_pad"))).select(*keys, (2 * F.col("_i") - F.col("idx")).alias("idx"), (2 * F.col("_a") - F.col("x")).alias("x"))
-    after = near.filter((F.col("idx") < F.col("_j")) & (F.col("idx") >= F.col("_j") - F.col("_pad"))).select(*keys, (2 * F.col("_j") - F.col("idx")).alias("idx"), (2 * F.col("_b") - F.col("x")).alias("x"))
-    return df.select(*keys, "idx", "x", F.lit(True).alias("own")).unionByName(before.unionByName(after).withColumn("own", F.lit(False)))
+
+    def image(end: str, value: str) -> Column:
+        return F.struct((2 * F.col(end) - F.col("idx")).alias("idx"), (2 * F.col(value) - F.col("x")).alias("x"), F.lit(False).alias("own"))
+
+    before = F.when((F.col("idx") > F.col("_i")) & (F.col("idx") <= F.col("_i") + F.col("_pad")), image("_i", "_a"))
+    after = F.when((F.col("idx") < F.col("_j")) & (F.col("idx") >= F.col("_j") - F.col("_pad")), image("_j", "_b"))
+    itself = F.struct("idx", "x", F.lit(True).alias("own"))
+    return near.select(*keys, F.explode(F.array_compact(F.array(itself, before, after))).alias("_r")).select(*keys, "_r.*")
 
 
 def _summaries(fs: float, order: int):
