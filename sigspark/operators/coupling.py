@@ -11,6 +11,8 @@ from .features import dfa, higuchi, hurst
 from .series import binned_columns, exploded_windows, ordered, ranked, whole
 
 PAIR = ["pair_id"]
+#: Places of a series that one row holds while lags are read off.
+LAG_CHUNK = 4096
 
 
 def correlation(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
@@ -29,6 +31,25 @@ def _lag_rows(pairs: DataFrame, max_lag: int, keys: list[str], pos: str) -> Data
     return at.select(*keys, F.col("lag").cast("long").alias("lag"), F.col("_n").cast("long").alias("n"), both.alias("both"))
 
 
+def _lagged(pairs: DataFrame, max_lag: int, keys: list[str], chunk: int = LAG_CHUNK) -> DataFrame:
+    """keys, lag, x, y as in ``_lag_rows``, for series of any length: a row holds a chunk of places and, on both sides, the
+    places that its lags reach."""
+    place = F.col("_i")
+    rows = pairs.select(*keys, "x", "y", (F.row_number().over(ordered(keys)) - 1).cast("long").alias("_i"))
+    reached = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((place - max_lag) / chunk)), F.floor((place + max_lag) / chunk))
+    dealt = rows.select(*keys, F.explode(reached).alias("_chunk"), F.struct("_i", "x", "y").alias("_r"))
+    held = dealt.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list("_r")).alias("_v"))
+    lag, first = F.col("lag"), F.col("_v")[0]["_i"]
+    last = first + F.size("_v") - 1
+    low = F.greatest(F.col("_chunk") * chunk, first + lag)
+    high = F.least(F.col("_chunk") * chunk + chunk - 1, last, last + lag)
+    at = held.select("*", F.explode(F.sequence(F.lit(-max_lag).cast("long"), F.lit(max_lag).cast("long"))).alias("lag"))
+    at = at.select(*keys, "lag", "_v", first.alias("_first"), low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    there = lambda i: F.col("_v")[(i - F.col("_first")).cast("int")]
+    both = F.transform(F.sequence("_low", "_high"), lambda i: F.struct(there(i)["x"].alias("x"), there(i - lag)["y"].alias("y")))
+    return at.select(*keys, "lag", F.inline(both))
+
+
 def windowed_xcorr(pairs: DataFrame, width: int, step: int, max_lag: int, keys: list[str] = PAIR, unbiased: bool = False) -> DataFrame:
     """keys, w, lag, r of every window; biased by default, that is divided by the whole width at every lag."""
     w = whole([*keys, "w"])
@@ -48,8 +69,7 @@ def peaks(lags: DataFrame, keys: list[str], by_size: bool = False) -> DataFrame:
 
 def lagged_correlation(pairs: DataFrame, max_lag: int, keys: list[str] = PAIR) -> DataFrame:
     """Pearson correlation of what overlaps at each lag."""
-    rows = _lag_rows(pairs, max_lag, keys, "idx").select(*keys, "lag", F.inline("both"))
-    return rows.groupBy(*keys, "lag").agg(corr("x", "y").alias("r"))
+    return _lagged(pairs, max_lag, keys).groupBy(*keys, "lag").agg(corr("x", "y").alias("r"))
 
 
 def window_mean_correlation(pairs: DataFrame, width: int, step: int, keys: list[str] = PAIR) -> DataFrame:
@@ -77,7 +97,7 @@ def mutual_information(cells: DataFrame, keys: list[str] = PAIR) -> DataFrame:
 
 def lagged_mutual_information(pairs: DataFrame, bins: int, max_lag: int, keys: list[str] = PAIR) -> DataFrame:
     """mi_nats at each lag; positive: y comes later (other than in cross-correlation, where x does)."""
-    rows = _lag_rows(binned(pairs, bins, keys), max_lag, keys, "idx").select(*keys, (-F.col("lag")).alias("lag"), F.inline("both"))
+    rows = _lagged(binned(pairs, bins, keys), max_lag, keys).withColumn("lag", -F.col("lag"))
     return mutual_information(rows, [*keys, "lag"])
 
 

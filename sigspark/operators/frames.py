@@ -107,6 +107,18 @@ def box_counting(frames: DataFrame, sizes: list[int], inside: Column) -> DataFra
     return n.groupBy(*FRAME).agg((-F.regr_slope(F.ln("_n"), F.ln("s"))).alias("dimension"))
 
 
+def dark_dimension(frames: DataFrame, below: float = 128.0) -> DataFrame:
+    """clip, frame, dimension: box counting of the pixels darker than ``below`` with all boxes from 1 to half the shorter side.
+    Every picture has a row; without a dark pixel, or with one size of box, dimension is null. Null pixels are not dark."""
+    side = frames.groupBy(*FRAME).agg((F.least(F.max("y"), F.max("px")) + 1).alias("_p"))
+    sizes = F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("_p") / 2))))
+    dark = frames.filter(F.col("v") < below).join(side, FRAME).select(*FRAME, "y", "px", sizes.alias("_s"))
+    boxes = dark.select(*FRAME, "_s", F.floor(F.col("y") / F.col("_s")).alias("_y"), F.floor(F.col("px") / F.col("_s")).alias("_x")).distinct()
+    n = boxes.groupBy(*FRAME, "_s").agg(F.count("*").alias("_n"))
+    found = n.groupBy(*FRAME).agg((-F.regr_slope(F.ln("_n"), F.ln("_s"))).alias("dimension"))
+    return side.select(*FRAME).join(found, FRAME, "left")
+
+
 def lacunarity(frames: DataFrame, sizes: list[int]) -> DataFrame:
     """Mean log over sizes of 1 + variance / mean squared of box sums."""
     b = frames.withColumn("s", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import scalar as S
 from ..operators import features as ft, frames as fr, series as op, spectral as sp, statistics as st
+from ..sources import recordings as rec
 from .registry import cells, frame_emb, pair_emb, query, r6, rounded, sig_emb, sig_events, table
 
 C5 = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -200,6 +201,12 @@ def vid_box_counting(spark, d):
     return rounded(fr.box_counting(frame_emb(spark, d), [1, 2, 4], F.col("v") > 0), "dimension")
 
 
+@query(", side AS (SELECT clip, frame, least(max(y), max(px)) + 1 AS p FROM frame_emb GROUP BY ALL), dark AS (SELECT f.*, unnest(range(1, greatest(p // 2, 1) + 1)) AS s FROM frame_emb f JOIN side USING (clip, frame) WHERE v < 0), n AS (SELECT clip, frame, s, count(DISTINCT (y // s, px // s)) AS n FROM dark GROUP BY ALL), d AS (SELECT clip, frame, -regr_slope(ln(n), ln(s)) AS dimension FROM n GROUP BY ALL) SELECT clip, frame, round(dimension, 6) + 0e0 AS dimension FROM side LEFT JOIN d USING (clip, frame)", "frame_emb")
+def vid_dark_dimension(spark, d):
+    """Box-counting dimension of what is dark in every frame."""
+    return rounded(fr.dark_dimension(frame_emb(spark, d), 0.0), "dimension")
+
+
 @query(", b AS (SELECT clip, frame, s.s, sum(v + 1) AS m FROM frame_emb, (SELECT unnest([2, 4])::BIGINT AS s) s GROUP BY clip, frame, s.s, y // s.s, px // s.s), l AS (SELECT clip, frame, s, 1 + var_pop(m) / (avg(m) * avg(m)) AS l FROM b GROUP BY ALL) SELECT clip, frame, round(avg(ln(l)), 7) + 0e0 AS lacunarity FROM l GROUP BY ALL", "frame_emb")
 def vid_lacunarity(spark, d):
     return fr.lacunarity(frame_emb(spark, d).withColumn("v", F.col("v") + 1), [2, 4]).withColumn("lacunarity", F.round("lacunarity", 7) + 0.0)
@@ -254,9 +261,7 @@ def vid_motion(spark, d):
 @query("SELECT doc_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY text) = doc_id AS first FROM documents")
 def src_content_dedup(spark, d):
     """Which row of each group of equal contents is the first."""
-    w = W.partitionBy("h").orderBy("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.select("doc_id", "h", (F.row_number().over(w) == 1).alias("first"))
+    return rec.first_of_equal(table(spark, d, "documents"), F.col("text"), "doc_id").withColumnRenamed("sha256", "h")
 
 
 @query("SELECT o_orderkey, lpad((o_custkey % 20)::VARCHAR, 2, '0') AS subject, ((o_orderkey % 90) * 60 + o_orderkey % 60)::DOUBLE AS seconds, printf('%02d:%02d', o_orderkey % 90, o_orderkey % 60) AS clock FROM orders")

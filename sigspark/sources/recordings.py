@@ -118,7 +118,39 @@ def read_documents(spark: SparkSession, path: str, keys: str, row: str) -> DataF
     return spark.read.schema(f"{keys}, rows array<struct<{row}>>").json(path).select(*[k.split()[0] for k in keys.split(", ")], F.inline("rows"))
 
 
+def first_of_equal(df: DataFrame, content: Column, order: str) -> DataFrame:
+    """order, sha256, first: rows of equal content, the one with the least ``order`` marked, and one alike in both with it. Null
+    contents are equal; a null ``order`` is first only where no other is. Only hashes and ``order`` are shuffled, and no task holds a
+    group: the least is an aggregate, and it is joined on the hash and ``order`` together."""
+    hashed = df.select(order, F.sha2(content, 256).alias("sha256"))
+    firsts = hashed.groupBy(F.col("sha256").alias("_h")).agg(F.min(order).alias("_o")).withColumn("_first", F.lit(True))
+    same = F.col("sha256").eqNullSafe(F.col("_h")) & F.col(order).eqNullSafe(F.col("_o"))
+    return hashed.join(firsts, same, "left").select(order, "sha256", F.coalesce("_first", F.lit(False)).alias("first"))
+
+
 def first_of_equal_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256, first: equal files in any folder, the first path of each kind marked. Only hashes are shuffled."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
-    return files.withColumn("first", F.row_number().over(W.partitionBy("sha256").orderBy("path")) == 1)
+    """path, sha256, first: equal files in any folder, the first path of each kind marked."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return first_of_equal(files, F.col("content"), "path")
+
+
+def pictures(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
+    """clip, frame, y, px, v, red, green, blue: the images at ``path`` as a frame table, every ``stride``-th row and column.
+
+    clip is the file, frame 0, v the luma from 0 to 255. Images of one channel are grey; alpha is not read. Files that hold no
+    image give no rows. An image is cut into its lines before Python sees it.
+    """
+    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    wide = F.col("width") * F.col("nChannels")
+    lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1, F.lit(stride)), lambda y: F.struct(F.floor(y / stride).cast("long").alias("y"), F.substring("data", y * wide + 1, wide).alias("line")))
+    each = image.select(F.col("origin").alias("clip"), F.col("nChannels").alias("n"), F.inline(lines))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for clip, n, y, line in zip(batch["clip"], batch["n"], batch["y"], batch["line"]):
+                bgr = np.frombuffer(bytes(line), np.uint8).reshape(-1, n)[::stride, :3].astype(float)
+                b, g, r = bgr.T if n > 1 else (bgr[:, 0],) * 3
+                luma = (299 * r + 587 * g + 114 * b) / 1000  # exact for greys
+                yield pd.DataFrame({"clip": clip, "frame": 0, "y": y, "px": np.arange(len(luma)), "v": luma, "red": r, "green": g, "blue": b})
+
+    return each.mapInPandas(run, "clip string, frame long, y long, px long, v double, red double, green double, blue double")

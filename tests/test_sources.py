@@ -1,11 +1,13 @@
 import json
+import struct
 import wave
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from sigspark.functions import scalar as S
-from sigspark.operators import align as A
+from sigspark.operators import align as A, frames as fr
 from sigspark.sources import recordings as rec
 from sigspark.streaming import streams
 
@@ -66,6 +68,43 @@ def test_equal_files(spark, tmp_path):
     assert sorted((r.path[-3:], r.first) for r in rec.first_of_equal_files(spark, str(tmp_path)).collect()) == [("a/1", True), ("b/1", False), ("b/2", True)]
 
 
+def test_first_of_equal_rows(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (None, None), (4, ""), (None, "b"), (4, "")], "id int, text string")
+    found = sorted((r.id is None, r.id or 0, r.sha256 is None, r.first) for r in rec.first_of_equal(df, F.col("text"), "id").collect())
+    assert found == [(False, 1, False, True), (False, 2, True, True), (False, 3, False, False), (False, 4, False, True), (False, 4, False, True), (True, 0, False, True), (True, 0, True, False)]
+    assert rec.first_of_equal(df.limit(0), F.col("text"), "id").count() == 0
+
+
+def png(pixels):
+    h, w, c = pixels.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if c == 3 else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def test_a_folder_of_pictures_gives_a_row_per_file(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    colour, grey = rng.integers(0, 256, (9, 12, 3), dtype=np.uint8), rng.integers(0, 256, (16, 16, 1), dtype=np.uint8)
+    for name, data in (("a.png", png(colour)), ("b.png", png(grey)), ("c.png", png(np.full((4, 4, 1), 200, np.uint8))), ("d.png", b"no picture")):
+        (tmp_path / name).write_bytes(data)
+    frames = rec.pictures(spark, str(tmp_path))
+    first = {(r.y, r.px): r for r in frames.filter("clip LIKE '%a.png'").collect()}
+    assert len(first) == 108 and all([first[y, x].red, first[y, x].green, first[y, x].blue] == colour[y, x].tolist() for y in range(9) for x in range(12))
+    assert first[2, 3].v == colour[2, 3] @ np.array([299, 587, 114]) / 1000
+    thin = {(r.y, r.px): r.v for r in rec.pictures(spark, str(tmp_path), 5).filter("clip LIKE '%b.png'").collect()}
+    assert set(thin) == {(y, x) for y in range(4) for x in range(4)} and abs(thin[1, 2] - grey[5, 10, 0]) < 1e-9
+    found = {r.clip[-5:]: r.dimension for r in fr.dark_dimension(frames).collect()}
+
+    def dimension(v):
+        sizes = np.arange(1, min(v.shape) // 2 + 1)
+        y, x = np.nonzero(v < 128)
+        return -np.polyfit(np.log(sizes), np.log([len(set(zip(y // s, x // s))) for s in sizes]), 1)[0]
+
+    assert set(found) == {"a.png", "b.png", "c.png"} and found["c.png"] is None
+    assert abs(found["b.png"] - dimension(grey[:, :, 0])) < 1e-9 and abs(found["a.png"] - dimension(colour @ np.array([299, 587, 114]) / 1000)) < 1e-9
+    assert rec.pictures(spark, str(tmp_path)).limit(0).count() == 0 and fr.dark_dimension(frames.limit(0)).count() == 0
+
+
 def test_annotated_tables(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,condition_names\n1,a\n2,\n3,b\n")
     assert [r.time_s for r in rec.annotated(spark, str(tmp_path / "a.csv"), 2.0).orderBy("idx").collect()] == [0, 0.5, 1]

@@ -43,6 +43,18 @@ def test_lagged_information_is_positive_where_the_second_comes_later(spark):
     assert max(rows, key=lambda r: r.mi_nats).lag == 2
 
 
+def test_lags_do_not_depend_on_the_chunk(spark):
+    rng = random.Random(4)
+    series = {1: 23, 2: 1, 3: 8, 4: 4}
+    rows = [(k, 3 * i, None if (k, i) == (1, 5) else rng.random(), rng.random()) for k, n in series.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "pair_id long, idx long, x double, y double")
+    plain = [[r for r in rows if r[0] == k] for k in series]
+    expected = sorted((r[0][0], lag, r[i][2] or -1.0, r[i - lag][3]) for r in plain for lag in range(-5, 6) for i in range(len(r)) if 0 <= i - lag < len(r))
+    for chunk in (1, 4, 8, 100):
+        assert sorted((r.pair_id, r.lag, r.x or -1.0, r.y) for r in cp._lagged(df, 5, ["pair_id"], chunk).collect()) == expected
+    assert cp.lagged_correlation(df.limit(0), 3).count() == 0
+
+
 def test_windows_with_missing_rows_are_left_out(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(12) if i != 5], "series_id long, idx long, x double")
     assert {r.w for r in op.exploded_windows(df, 4, 4).collect()} == {0, 2}
