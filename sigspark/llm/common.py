@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 2 << 20
+#: Rows of a few numbers that make a partition of their own.
+GATHERED = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,6 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint of ``df`` in partitions of about ``GATHERED`` rows, and the number of rows. A small table then makes few
+    tasks and few shuffle files, however many partitions it came from."""
+    df = cut_lineage(df)
+    rows = df.count()
+    return df.coalesce(in_parts(rows)), rows
+
+
+def in_parts(rows: int) -> int:
+    return max(1, -(-rows // GATHERED))
+
+
 def join_hot(left: DataFrame, left_key: str, right: DataFrame, right_key: str, how: str = "inner") -> DataFrame:
     """A join of hot keys with one row per key. The hash as a second key keeps Spark from reusing the partitions of an
     aggregation on the right, so both sides have an exchange of their own and skewed partitions of the left are split."""

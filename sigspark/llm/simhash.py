@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut_lineage, join_hot
-from .components import components
+from .components import components, least_reached as roots
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -63,21 +63,6 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     return rows.mapInArrow(_fingerprints(words), "doc_id long, rest long, print long")
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row that each of ``n`` rows reaches over the links a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while (jumped := new[new] != new).any():
-            new[jumped] = new[new[jumped]]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose counter exceeds ``radius``, from the highest counter plane down."""
     more, same = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rolling, cut_lineage, join_hot, mixed, shared_dir, steps, word_bounds
+from .common import Rolling, cut_lineage, gathered, join_hot, mixed, shared_dir, steps, word_bounds
 from .components import components
 from .simhash import keep_first, near, roots, row_hash
 
@@ -199,7 +199,7 @@ def candidates(prints: DataFrame) -> DataFrame:
 def _written(df: DataFrame, name: str) -> DataFrame:
     """As a table in the shared folder; unlike a checkpoint, its size is known to the planner, which may then broadcast it."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    gathered(df)[0].write.parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
@@ -216,7 +216,7 @@ def _alike(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int) ->
     one = join_hot(pairs.select("u", "v"), "v", sets.select(F.col("print").alias("pv"), F.col("set").alias("sv")), "pv").drop("pv")
     both = join_hot(one, "u", sets.select(F.col("print").alias("pu"), F.col("set").alias("su")), "pu").drop("pu")
     common, total = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
-    return cut_lineage(both.filter(common * (LEAST[0] + LEAST[1]) >= total * LEAST[0]).select("u", "v"))
+    return gathered(both.filter(common * (LEAST[0] + LEAST[1]) >= total * LEAST[0]).select("u", "v"))[0]
 
 
 def _labelled(found: DataFrame, tree: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def _whole_families(families: DataFrame, prints: DataFrame, texts: DataFrame, wo
     """(u, v) of similar sets in each family (print, family, root) that has several roots. A family of more shingles than
     ``CHUNK`` is cut into chunks by hash, and every pair of chunks is compared."""
     several = families.groupBy(F.col("family").alias("f")).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("f")
-    open_ = cut_lineage(join_hot(families, "family", several, "f").select("print", "family", "root"))
+    open_, _ = gathered(join_hot(families, "family", several, "f").select("print", "family", "root"))
     sets = _sets_of(open_.select("print"), prints, texts, words)
     size = join_hot(open_.select("print", "family"), "print", sets.select(F.col("print").alias("p"), F.size("set").alias("n")), "p").groupBy(F.col("family").alias("f")).agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("chunks"))
     mine = F.pmod(F.xxhash64("print"), F.col("chunks"))
@@ -295,17 +295,16 @@ def links(prints: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     joined, until a round joins few; that settles families of similar texts with few checks. What is still apart inside a
     family is then compared whole.
     """
-    found = cut_lineage(candidates(prints))
+    found, _ = gathered(candidates(prints))
     families = cut_lineage(components(found))
     done, asked, tree, before = None, None, found.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0), None
     while True:
         apart = _labelled(found, tree).filter("ru <> rv")
         if asked is not None:
             apart = apart.join(asked, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti")
-        apart = cut_lineage(apart)
+        apart, _ = gathered(apart)
         ends = apart.select("ru", "u", "v", "d").unionByName(apart.select(F.col("rv").alias("ru"), "u", "v", "d"))
-        closest = cut_lineage(ends.groupBy("ru").agg(F.min(F.struct("d", "u", "v")).alias("best")).select("best.u", "best.v").distinct())
-        n = closest.count()
+        closest, n = gathered(ends.groupBy("ru").agg(F.min(F.struct("d", "u", "v")).alias("best")).select("best.u", "best.v").distinct())
         if not n or before is not None and n > before * 0.75:
             break
         before = n
@@ -316,7 +315,7 @@ def links(prints: DataFrame, texts: DataFrame, words: int) -> DataFrame:
         tree = cut_lineage(components(done))
     labels = join_hot(families.select(F.col("node").alias("print"), F.col("root").alias("family")), "print", tree.withColumnRenamed("root", "r"), "node", "left")
     rest = _whole_families(labels.select("print", "family", F.coalesce("r", "print").alias("root")), prints, texts, words)
-    rest = cut_lineage(rest)
+    rest, _ = gathered(rest)
     return rest if done is None else done.unionByName(rest)
 
 
