@@ -30,19 +30,23 @@ DOCS_PER_SHARD = 2048
 _SHARDS_PER_TASK = 8
 _ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
-_CACHED = 200_000
+#: Words and pieces that a worker keeps: fewer, and words that a corpus repeats now and then are merged again each time.
+_CACHED, _CACHED_PIECES = 700_000, 300_000
+
+
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Cache(dict):
     """Made on first use; beyond its size, every time."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         found = self.make(key)
-        if len(self) < _CACHED:
+        if len(self) < self.most:
             self[key] = found
         return found
 
@@ -67,7 +71,8 @@ class _Words:
         table = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(kept))}
         self.byte_text = [table[b] for b in range(256)]
         self.code = "H" if self.kind is np.uint16 else "I"
-        self.words, self.pieces = _Cache(self._word), _Cache(self._piece)
+        self.words, self.pieces = _Cache(self._word, _CACHED), _Cache(self._piece, _CACHED_PIECES)
+        self.model = self.tokenizer.model
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self._splits_words()
 
@@ -85,10 +90,21 @@ class _Words:
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() and piece.isalpha() else "".join([self.byte_text[b] for b in piece.encode()])
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _word(self, lower: str) -> bytes:
-        return self.pieces[lower] if lower.isalpha() else b"".join([self.pieces[p] for p in self._PIECES.findall(lower)])
+        # Letters are one piece, and so are punctuation marks after them: no contraction ends in a mark.
+        if lower.isalpha():
+            return self._letters(lower)
+        letters = lower.rstrip(_MARKS)
+        if letters.isalpha():
+            return self._letters(letters) + self.pieces[lower[len(letters) :]]
+        return b"".join([self.pieces[p] for p in self._PIECES.findall(lower)])
+
+    def _letters(self, piece: str) -> bytes:
+        # Kept with their words already; only words with marks would ask again.
+        found = self.words.get(piece)
+        return self.pieces[piece] if found is None else found
 
     def ids(self, text: str) -> np.ndarray:
         plain, lower = True, ""
@@ -151,28 +167,48 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(total[terms])], ["term", "df"])
 
 
-def bm25(terms: np.ndarray, times: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
-    """The weight of each term of one document."""
-    return idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * times.sum() / mean))
+def bm25(terms: np.ndarray, times: np.ndarray, idf: np.ndarray, mean: float, length: np.ndarray | None = None) -> np.ndarray:
+    """The weight of each term of one document, or of documents of the lengths given at each term."""
+    return idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * (times.sum() if length is None else length) / mean))
+
+
+def _turns(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What terms are ordered by for a weighted minhash."""
+    u = (mixed(terms.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(float) / 2**53
+    return -np.log(u + 2.0**-54) / np.maximum(weights, 1e-9)
 
 
 def route(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The first terms in the order of a weighted minhash: two documents agree on the first with a chance that is the
     common part of their weights."""
-    u = (mixed(terms.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(float) / 2**53
-    order = np.argsort(-np.log(u + 2.0**-54) / np.maximum(weights, 1e-9), kind="stable")[:_ROUTE_TERMS]
+    order = _turns(terms, weights).argsort(kind="stable")[:_ROUTE_TERMS]
     return np.pad(terms[order].astype(np.int64), (0, _ROUTE_TERMS - len(order)), constant_values=-1)
 
 
+def routes(profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> np.ndarray:
+    """A row per document: its ``route``."""
+    out = np.full((len(profiles), _ROUTE_TERMS), -1, np.int64)
+    sizes = np.array([len(t) for t, _ in profiles])
+    terms, times = (np.concatenate([p[k] for p in profiles]) for k in (0, 1))
+    ends = np.cumsum(sizes)
+    length = np.diff(np.concatenate(([0], np.cumsum(times)))[np.concatenate(([0], ends))])
+    weights = bm25(terms, times, idf, mean, np.repeat(length, sizes))
+    keys = _turns(terms, weights)
+    for d, (low, high) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+        first = terms[low:high][keys[low:high].argsort(kind="stable")[:_ROUTE_TERMS]]
+        out[d, : len(first)] = first
+    return out
+
+
 def _routed(statistics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean = statistics.value
         for batch in batches:
-            keys = [route(terms, bm25(terms, times, idf, mean)) for terms, times in _profiles(batch)]
-            out = batch
-            for k, column in enumerate(np.array(keys, np.int64).reshape(-1, _ROUTE_TERMS).T):
-                out = out.append_column(f"r{k}", pa.array(np.ascontiguousarray(column), pa.int32()))
-            yield out
+            for first in range(0, batch.num_rows, 1024):
+                out = batch.slice(first, 1024)
+                for k, column in enumerate(routes(list(_profiles(out)), idf, mean).T):
+                    out = out.append_column(f"r{k}", pa.array(np.ascontiguousarray(column), pa.int32()))
+                yield out
 
     return run
 
