@@ -37,8 +37,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into training windows, a row per piece."""
-    return packing.pack(docs, tokenizer_file())
+    """Packs what is left into training windows, a row per piece. Workers free their words, which the next run's stages would
+    have to live beside."""
+    return packing.pack(docs, tokenizer_file(), keep_words=False)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies), ("source mix", source_mix), ("packing", windows)]

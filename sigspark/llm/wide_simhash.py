@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rolling, cut_lineage, gathered, join_hot, mixed, shared_dir, steps, word_bounds
+from .common import Rolling, cut_lineage, gathered, join_hot, mixed, shared_dir, steps, trimmed, word_bounds
 from .components import components
 from .simhash import keep_first, near, roots, row_hash
 
@@ -106,6 +106,7 @@ def _prints(words: int):
     """Appends set (a hash of the shingle set, 0 if it is empty) and the fingerprint p0, p1, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for batch in batches:
             for low, high, data, at in steps(batch.column("text"), _STEP):
                 document, hashes = shingles(data, at, words)

@@ -35,3 +35,17 @@ def test_routes_of_many_documents_are_those_of_each():
     profiles = [(np.sort(rng.choice(500, n, replace=False)).astype(np.uint16), rng.integers(1, 400, n)) for n in (1, 3, 4, 60, 200, 2)]
     for row, (terms, times) in zip(packing.routes(profiles, idf, mean), profiles):
         assert row.tolist() == packing.route(terms, packing.bm25(terms, times, idf, mean)).tolist()
+
+
+def test_workers_of_the_pipeline_free_their_words(monkeypatch):
+    """In every later step of packing: with 700,000 words a worker, near-dedup of a second run went beyond its memory."""
+    import corpus_pipeline
+
+    steps = []
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda *_, **named: steps.append(named))
+    corpus_pipeline.windows(None, None, "")
+    packing._Words.of(PATH).ids("a few words, and some more")
+    assert not list(packing._later(iter, steps[0]["keep_words"])(iter([]))) and not packing._Words._made
+    kept = packing._Words.of(PATH)
+    list(packing._later(iter, True)(iter([])))
+    assert packing._Words.of(PATH) is kept
