@@ -44,12 +44,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Itera
             )
 
 
-def into_blocks(docs: DataFrame, text: str, id_column: str, size: int = BLOCK_BYTES) -> DataFrame:
-    """block, ids, sizes, words, data: a table in the shared folder. A null text is empty; a long one is a block alone."""
+def into_blocks(docs: DataFrame, text: str, id_column: str, size: int = BLOCK_BYTES, parts: int = 0) -> DataFrame:
+    """block, ids, sizes, words, data: a table in the shared folder. A null text is empty; a long one is a block alone.
+
+    With ``parts`` it is bucketed by block into so many: answers that are partitioned likewise meet their blocks without a
+    second copy of the blocks in a shuffle. The session's catalog then keeps an entry ``blocks_...`` for it."""
     spark = docs.sparkSession
     at = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows.mapInArrow(partial(_blocks, size=size), "block long, ids array<long>, sizes array<long>, words long, data binary").write.option("compression", "none").parquet(at)
+    made = rows.mapInArrow(partial(_blocks, size=size), "block long, ids array<long>, sizes array<long>, words long, data binary").write.option("compression", "none")
+    if parts:
+        name = f"blocks_{uuid.uuid4().hex}"
+        made.bucketBy(parts, "block").option("path", at).format("parquet").saveAsTable(name)
+        return spark.table(name)
+    made.parquet(at)
     return spark.read.parquet(at)
 
 

@@ -4,8 +4,9 @@ Exploded n-grams are put, block by block, to count tables that are partitioned b
 block and are summed per document. The counts cover every document. A document is scored against all others: what its
 own text adds to a count is taken off again, for else every n-gram of the corpus would be known.
 
-Words and pairs are asked about at once, longer n-grams one length after the other: an n-gram that another document has
-was seen there with both its shorter parts, so only those are asked about whose parts others have.
+N-grams are asked about one length after the other: an n-gram that another document has was seen there with both its
+shorter parts, so only those are asked about whose parts others have. Blocks are written once, bucketed; only keys and
+counts are shuffled, and the answers to one length once, however many lengths follow.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from .common import Rolling, mixed, per_document, word_bounds
 ORDER = 3
 BACKOFF = 0.4
 #: Larger blocks ask about fewer keys: a key is asked about once per block.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 6_000_000
+#: Spark's own limit of a table's buckets.
+_MOST_PARTS = 100_000
 
 
 def _grams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -50,9 +53,8 @@ def _untimed(data: bytes, n: int) -> np.ndarray:
 
 
 def _asked(batch: pa.RecordBatch, row: int):
-    for n, (_, hashes) in enumerate(_grams(*opened(batch, row), 2)[0], 1):
-        keys, counts = np.unique(hashes, return_counts=True)
-        yield n, keys, lambda a, b, counts=counts: _times(counts[a:b])
+    keys, counts = np.unique(_grams(*opened(batch, row), 1)[0][0][1], return_counts=True)
+    yield 1, keys, lambda a, b: _times(counts[a:b])
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -74,9 +76,9 @@ def _counted(table: pa.Table) -> pa.Table:
 
 class _Known:
     """A block's n-grams and what the replies say of them: ``elsewhere[n]``, the count of the n-gram that ends at each word
-    in all other documents; level 0 holds the words of all other documents."""
+    in all other documents, up to the length ``answered``; level 0 holds the words of all other documents."""
 
-    def __init__(self, blocks: pa.Table, replies: pa.Table, corpus_words: int, order: int, buckets: int):
+    def __init__(self, blocks: pa.Table, replies: pa.Table, corpus_words: int, order: int, buckets: int, answered: int):
         grams, self.first = _grams(*opened(blocks, 0), order)
         self.n = np.diff(self.first)
         self.document = np.repeat(np.arange(len(self.n)), self.n)
@@ -84,15 +86,12 @@ class _Known:
         self.salt = mixed(self.document.astype(np.uint64) + np.uint64(1))
         self.elsewhere = [np.repeat(corpus_words - self.n, self.n).astype(float)]
         self.buckets = buckets
-        for k, (last, hashes) in enumerate(grams, 1):
-            if k > 2:
+        for k, (last, hashes) in enumerate(grams[:answered], 1):
+            if k > 1:
                 last, hashes = self.possible(k, last, hashes)
             keys, back, own = np.unique(hashes, return_inverse=True, return_counts=True)
             totals = own.astype(np.int64)
-            parts = joined_answers(replies, k)
-            if k > 2 and not parts:  # not asked yet
-                break
-            for (_, a, b), part in zip(bucket_runs(keys, buckets), parts, strict=True):
+            for (_, a, b), part in zip(bucket_runs(keys, buckets), joined_answers(replies, k), strict=True):
                 bits = 1 + (b - a + 7) // 8
                 more = np.flatnonzero(np.unpackbits(np.frombuffer(part, np.uint8, bits - 1, 1))[: b - a])
                 totals[a + more] = np.frombuffer(restored(part[bits:]), f"<u{chr(part[0])}")
@@ -101,7 +100,7 @@ class _Known:
             if len(hashes):
                 counts[last] = totals[back] - times[mine]
             self.elsewhere.append(counts)
-        self.left = grams[len(self.elsewhere) - 1] if len(self.elsewhere) <= order else None
+        self.left = grams[answered] if answered < order else None
 
     def possible(self, k: int, last: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those n-grams of length k of which other documents have both parts, words 1 to k - 1 and 2 to k."""
@@ -114,7 +113,7 @@ def _asked_next(order: int, corpus_words: int, buckets: int):
     """Asks about the n-grams of length ``order`` of which other documents have both parts."""
 
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        known = _Known(blocks, replies, corpus_words, order, buckets)
+        known = _Known(blocks, replies, corpus_words, order, buckets, order - 1)
         keys, counts = np.unique(known.possible(order, *known.left)[1], return_counts=True)
         return pa.Table.from_batches([asked(blocks["block"][0].as_py(), order, keys, lambda a, b: _times(counts[a:b]), buckets)])
 
@@ -123,7 +122,7 @@ def _asked_next(order: int, corpus_words: int, buckets: int):
 
 def _scored(order: int, corpus_words: int, buckets: int):
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        known = _Known(blocks, replies, corpus_words, order, buckets)
+        known = _Known(blocks, replies, corpus_words, order, buckets, order)
         n, first, document, elsewhere = known.n, known.first, known.document, known.elsewhere
         log = -np.log10(np.maximum(elsewhere[0], 0) + 1)  # an unseen word: one in all other words and one
         level = np.zeros(len(document), np.int64)
@@ -151,13 +150,14 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", order:
     empty text has no words and scores 0. Rows that repeat an id are documents of their own; a null id stays null. An
     empty table gives no rows. Other columns are not read. Whole texts are scored, whatever their length.
     """
-    blocks = into_blocks(docs, text, id_column, BLOCK_BYTES)
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), _MOST_PARTS)
+    blocks = into_blocks(docs, text, id_column, BLOCK_BYTES, parts)
     n_blocks, words = blocks.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     buckets = bucket_count(n_blocks)
     whole, body = blocks.select("block", "ids", "sizes", "data"), blocks.select("block", "sizes", "data")
-    replies = body.mapInArrow(questions(_asked, buckets), ASKED).groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED)
-    for n in range(3, order + 1):
+    replies = body.mapInArrow(questions(_asked, buckets), ASKED).groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED).repartition(parts, "block")
+    for n in range(2, order + 1):
         more = whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_asked_next(n, words, buckets), ASKED)
-        replies = replies.unionByName(more.groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED))
+        replies = replies.unionByName(more.groupBy("kind", "bucket").applyInArrow(_counted, ANSWERED).repartition(parts, "block"))
     schema = "doc_id long, n_words long, n_backed_off long, log10_score double, mean_log10 double"
     return whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(order, words, buckets), schema)

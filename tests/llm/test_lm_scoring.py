@@ -44,3 +44,18 @@ def test_odd_rows(odd, empty, clashing):
     expected = brute([r[:2] for r in ODD], 3)
     assert got(odd, 3) == expected == got(clashing, 3)
     assert got(empty, 3) == []
+
+
+def test_many_blocks_against_brute_force(table, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 300)
+    rows = [(i, " ".join(f"{'abcdefghi'[(i * k + k * k) % 9]}{i % (1 + k % 4)}" for k in range(i % 31))) for i in range(120)]
+    assert got(table(rows).repartition(5), 3) == brute(rows, 3)
+
+
+def test_blocks_are_not_shuffled_and_answers_once(table):
+    """Blocks once more in a shuffle, and the answers about words and pairs twice, were about a fifth of the disk."""
+    plan = lm_scoring.score(table([(1, "a b c"), (2, "a b d")]))._jdf.queryExecution().executedPlan().toString()
+    lines = [line.lstrip(" :+-*()0123456789") for line in plan.splitlines()]
+    lines = [line for line in lines if not line.startswith(("Project", "ColumnarToRow"))]
+    below = {after.split()[0] for line, after in zip(lines, lines[1:]) if line.startswith("Exchange")}
+    assert below == {"MapInArrow", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow"}
