@@ -21,7 +21,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mixed, shared_dir, trimmed
+from .common import mixed, shared_dir, steps, trimmed
 
 WINDOW = 2048
 END_ID = 1
@@ -32,7 +32,15 @@ _ROUTE_TERMS = 4
 K1, B = 1.2, 0.75
 #: Words and pieces that a worker keeps: fewer, and words that a corpus repeats now and then are merged again each time.
 _CACHED, _CACHED_PIECES = 700_000, 300_000
+#: Bytes of text whose words are looked up together, each distinct one once. Larger steps take memory and no less time.
+_STEP = 1 << 20
 
+#: Bytes of lower-cased UTF-8: 1 is white space, 2 is what only the tokenizer splits (beyond Latin-1, or separators that ``\\s`` lacks).
+_SORT = np.zeros(256, np.uint8)
+_SORT[[0x20, *range(0x09, 0x0E)]] = 1
+_SORT[[*range(0x1C, 0x20), *range(0xC4, 0x100)]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -73,7 +81,7 @@ class _Words:
         self.code = "H" if self.kind is np.uint16 else "I"
         self.words, self.pieces = _Cache(self._word, _CACHED), _Cache(self._piece, _CACHED_PIECES)
         self.model = self.tokenizer.model
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self._splits_words()
 
     @classmethod
@@ -102,7 +110,7 @@ class _Words:
     def _word(self, lower: str) -> bytes:
         # Letters are one piece, and so are punctuation marks after them: no contraction ends in a mark.
         if lower.isalpha():
-            return self._letters(lower)
+            return self.pieces.get(lower) or self.pieces.make(lower)  # kept as a word, not as a piece too
         letters = lower.rstrip(_MARKS)
         if letters.isalpha():
             return self._letters(letters) + self.pieces[lower[len(letters) :]]
@@ -114,21 +122,82 @@ class _Words:
         return self.pieces[piece] if found is None else found
 
     def ids(self, text: str) -> np.ndarray:
-        plain, lower = True, ""
-        if self.by_word:
-            try:
-                latin = text.encode("latin-1")
-                lower = text.lower()
-                plain = len(latin.translate(None, b"\x1c\x1d\x1e\x1f")) < len(latin) or any(t in lower for t in self.added)
-            except UnicodeEncodeError:
-                pass
-        joined = self._plain(text) if plain else b"".join(map(self.words.__getitem__, lower.split()))
-        return np.append(np.frombuffer(joined, self.kind), self.kind(END_ID))
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.together(data, np.array([0, len(data)]))[0]
+
+    def together(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts between successive entries of ``at``, one after the other, each with the end id, and where each
+        ends. Equal words are looked up once."""
+        lower, space, plain = self._sorted_out(data, at)
+        begins, ends = ~space, ~space
+        begins[1:] &= space[:-1]
+        ends[:-1] &= space[1:]
+        edges = at[(at > 0) & (at < len(data))]  # texts that touch
+        begins[edges] = ~space[edges]
+        ends[edges - 1] = ~space[edges - 1]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+        sizes = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends + 1 - starts, out=sizes[1:])
+        coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(lower[~space])]).dictionary_encode()
+        found = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        end_id, n = self.kind(END_ID).tobytes(), len(at) - 1
+        # Behind the words of each text stands the end id, or all ids of a text that the tokenizer splits.
+        behind = np.full(n, len(found))
+        behind[plain] += 1 + np.arange(len(plain))
+        found += [end_id, *(self._plain(data[at[d] : at[d + 1]].tobytes().decode()) + end_id for d in plain.tolist())]
+        place = np.searchsorted(starts, at[1:])
+        codes = np.insert(coded.indices.to_numpy(), place, behind)
+        _, offsets, joined = pa.array(found, pa.large_binary()).take(pa.array(codes)).buffers()
+        width = np.dtype(self.kind).itemsize
+        last = np.frombuffer(offsets, np.int64)[place + np.arange(1, n + 1)] // width
+        return np.frombuffer(joined, self.kind, int(last[-1]) if n else 0), last
+
+    def _sorted_out(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, which of them are no part of a word, and the texts to leave to the tokenizer."""
+        if not self.by_word:
+            return data, np.ones(len(data), bool), np.arange(len(at) - 1)
+        lower = _LOWER[data]
+        after = np.flatnonzero(lower == 0xC3) + 1  # U+00C0 to U+00FF: capitals but the multiplication sign come first
+        second = lower[after]
+        lower[after[(second <= 0x9E) & (second != 0x97)]] += 32
+        sort = _SORT[lower]
+        space = sort == 1
+        wide = np.flatnonzero(lower == 0xC2)
+        wide = wide[(lower[wide + 1] == 0x85) | (lower[wide + 1] == 0xA0)]
+        space[wide] = space[wide + 1] = True
+        odd, whole = [np.flatnonzero(sort == 2)], lower.tobytes()
+        for token in self.added:
+            k = whole.find(token)
+            while k >= 0:
+                odd.append(np.array([k]))
+                k = whole.find(token, k + 1)
+        plain = np.unique(np.searchsorted(at, np.concatenate(odd), "right") - 1)
+        for d in plain.tolist():
+            space[at[d] : at[d + 1]] = True
+        return lower, space, plain
 
 
 _TOKENS = "doc_id long, n long, crcs array<long>, rest binary, width int, terms binary, times binary"
 
 
+def _counted(ids: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The distinct ids of each of the texts that end at ``ends``, and how often each occurs: in a byte, or four where one does
+    not do."""
+    wide = ids.dtype.itemsize > 2 or len(ends) > 1 << 16
+    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+    starts = np.concatenate(([0], ends[:-1]))
+    keys = np.repeat(np.arange(len(ends), dtype=kind) << kind(shift), ends - starts)
+    keys |= ids
+    keys.sort()
+    first = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    kinds, counts = keys[first].astype(ids.dtype).astype(ids.dtype.newbyteorder("<"), copy=False), np.diff(first, append=len(keys))
+    small = counts.astype(np.uint8)
+    at = np.searchsorted(first, np.append(starts, len(keys)))
+    many = np.maximum.reduceat(counts, at[:-1]) > 255
+    spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    return [kinds[low:high].tobytes() for low, high in spans], [(counts[low:high].astype("<u4") if m else small[low:high]).tobytes() for (low, high), m in zip(spans, many.tolist())]
+
+
 def _tokenized(path: str, window: int):
     """A row per document: the checksums of its whole windows, the ids after them, and the distinct terms of all of it with
     how often each occurs."""
@@ -137,19 +206,14 @@ def _tokenized(path: str, window: int):
         words = _Words.of(path)
         width = np.dtype(words.kind).itemsize
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                n, crcs, rests, terms, times = [], [], [], [], []
-                for text in part.column(1):
-                    ids = words.ids(text.as_py() or "")
-                    whole = len(ids) // window * window
-                    n.append(len(ids))
-                    crcs.append([zlib.crc32(ids[k : k + window].astype("<u4").tobytes()) for k in range(0, whole, window)])
-                    rests.append(ids[whole:].astype(f"<u{width}").tobytes())
-                    kinds, counts = np.unique(ids, return_counts=True)
-                    terms.append(kinds.astype(f"<u{width}").tobytes())
-                    times.append(counts.astype("<u4").tobytes() if counts.max() > 255 else counts.astype(np.uint8).tobytes())
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array([width] * len(n), pa.int32()), pa.array(terms, pa.binary()), pa.array(times, pa.binary())]
+            for first, end, data, at in steps(batch.column(1), _STEP):
+                ids, ends = words.together(data, at)
+                terms, times = _counted(ids, ends)
+                starts = np.concatenate(([0], ends[:-1]))
+                n, whole = ends - starts, ends - (ends - starts) % window
+                crcs = [[zlib.crc32(ids[k : k + window].astype("<u4").tobytes()) for k in range(low, high, window)] for low, high in zip(starts.tolist(), whole.tolist())]
+                rests = [ids[low:high].astype(f"<u{width}").tobytes() for low, high in zip(whole.tolist(), ends.tolist())]
+                columns = [batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), pa.array([width] * len(n), pa.int32()), pa.array(terms, pa.binary()), pa.array(times, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "crcs", "rest", "width", "terms", "times"])
 
     return run
@@ -189,6 +253,14 @@ def bm25(terms: np.ndarray, times: np.ndarray, idf: np.ndarray, mean: float, len
     return idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * (times.sum() if length is None else length) / mean))
 
 
+def _weights(profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all documents together: the number of terms of each, the terms, and their weights."""
+    sizes = np.array([len(t) for t, _ in profiles])
+    terms, times = (np.concatenate([p[k] for p in profiles]) for k in (0, 1))
+    length = np.diff(np.concatenate(([0], np.cumsum(times)))[np.concatenate(([0], np.cumsum(sizes)))])
+    return sizes, terms, bm25(terms, times, idf, mean, np.repeat(length, sizes))
+
+
 def _turns(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """What terms are ordered by for a weighted minhash."""
     u = (mixed(terms.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(float) / 2**53
@@ -205,12 +277,8 @@ def route(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def routes(profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float) -> np.ndarray:
     """A row per document: its ``route``."""
     out = np.full((len(profiles), _ROUTE_TERMS), -1, np.int64)
-    sizes = np.array([len(t) for t, _ in profiles])
-    terms, times = (np.concatenate([p[k] for p in profiles]) for k in (0, 1))
-    ends = np.cumsum(sizes)
-    length = np.diff(np.concatenate(([0], np.cumsum(times)))[np.concatenate(([0], ends))])
-    weights = bm25(terms, times, idf, mean, np.repeat(length, sizes))
-    keys = _turns(terms, weights)
+    sizes, terms, weights = _weights(profiles, idf, mean)
+    ends, keys = np.cumsum(sizes), _turns(terms, weights)
     for d, (low, high) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
         first = terms[low:high][keys[low:high].argsort(kind="stable")[:_ROUTE_TERMS]]
         out[d, : len(first)] = first
@@ -234,10 +302,9 @@ class _Index:
     """BM25 weights of one shard: postings of the rarer terms, and a matrix for those that very many documents have."""
 
     def __init__(self, profiles: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
-        sizes = np.array([len(t) for t, _ in profiles])
         self.n = len(profiles)
-        terms = np.concatenate([t for t, _ in profiles]).astype(np.int64)
-        weight = np.concatenate([bm25(t, c, idf, mean) for t, c in profiles]).astype(np.float32)
+        sizes, terms, weight = _weights(profiles, idf, mean)
+        terms, weight = terms.astype(np.int64), weight.astype(np.float32)
         doc = np.repeat(np.arange(self.n), sizes)
         often = np.bincount(terms, minlength=len(idf))
         column = np.full(len(idf), -1)

@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 
 from sigspark.llm import packing
@@ -49,3 +51,52 @@ def test_workers_of_the_pipeline_free_their_words(monkeypatch):
     kept = packing._Words.of(PATH)
     list(packing._later(iter, True)(iter([])))
     assert packing._Words.of(PATH) is kept
+
+
+def test_a_word_of_many_texts_is_looked_up_once(monkeypatch):
+    """Not once per occurrence: looking up every word of a text took most of the query's time."""
+    asked = []
+
+    class Counted(packing._Cache):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    words = packing._Words(PATH)
+    words.words = Counted(words._word, 1000)
+    monkeypatch.setitem(packing._Words._made, PATH, words)
+    texts = [f"Some words, some{'x' * (k % 3)} more words and ÉTÉ été" for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["doc_id", "text"])
+    rows = [r for out in packing._tokenized(PATH, 2048)(iter([batch])) for r in out.to_pylist()]
+    assert [r["n"] for r in rows] == [len(words._plain(t)) // 2 + 1 for t in texts]
+    assert sorted(asked) == sorted({w for t in texts for w in t.lower().split()})
+
+
+def test_texts_of_a_batch_have_the_ids_of_each(monkeypatch):
+    """Texts that the tokenizer splits itself stand between others, nulls and empty texts touch, and many steps are made."""
+    rng = random.Random(4)
+    alphabet = list("abcXYZ'.,!?0 \n\t\x1c\x85\xa0éÉ×ÞßµªÀ÷ſ字☃") + [" the", " The", "don't", " <|EndOfText|> "]
+    texts = [None, "", " ", "\xa0", "Ü", "Â", "a", "ÃÀ Â\xa0Â\x85", *("".join(rng.choices(alphabet[: 20 + k % 30], k=rng.choice((0, 3, 40, 400)))) for k in range(600)), " x" * 700, None]
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), column], ["doc_id", "text"])
+    for step, window in ((1, 2048), (5000, 16), (4 << 20, 64)):
+        monkeypatch.setattr(packing, "_STEP", step)
+        rows = [r for out in packing._tokenized(PATH, window)(iter([batch])) for r in out.to_pylist()]
+        assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+        words = packing._Words.of(PATH)
+        for text, row in zip(texts, rows):
+            ids = np.append(np.frombuffer(words._plain(text or ""), np.uint16), np.uint16(1))
+            whole = len(ids) // window * window
+            terms, times = np.unique(ids, return_counts=True)
+            assert row["n"] == len(ids) and row["rest"] == ids[whole:].tobytes() and row["terms"] == terms.tobytes(), text
+            assert row["crcs"] == [zlib.crc32(ids[k : k + window].astype("<u4").tobytes()) for k in range(0, whole, window)]
+            assert row["times"] == times.astype("<u4" if times.max() > 255 else np.uint8).tobytes()
+
+
+def test_weights_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(5)
+    idf, mean = rng.uniform(0, 9, 500), 40.0
+    profiles = [(np.sort(rng.choice(500, n, replace=False)).astype(np.uint16), rng.integers(1, 400, n)) for n in (1, 3, 60, 200, 2)]
+    sizes, terms, weights = packing._weights(profiles, idf, mean)
+    assert sizes.tolist() == [1, 3, 60, 200, 2] and terms.tolist() == [t for p, _ in profiles for t in p]
+    assert weights.tolist() == [w for p in profiles for w in packing.bm25(*p, idf, mean)]
