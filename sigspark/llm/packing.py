@@ -10,6 +10,7 @@ ids are the terms, so the statistics are bounded by the vocabulary.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from array import array
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -45,19 +47,81 @@ _LOWER[65:91] += 32
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _Cache(dict):
-    """Made on first use; beyond its size, every time."""
+class _Cache:
+    """Made on first use; beyond its size, every time.
 
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
+    Words and what is made of them stand in flat arrays behind an open hash table, some 40 bytes a word: as objects in a
+    dictionary they took four times as much in each worker. Of two words with one hash only the first is kept.
+    """
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.make(key)
-        if len(self) < self.most:
-            self[key] = found
+    def __init__(self, make, most: int):
+        self.make, self.most, self.n = make, most, 0
+        self.slots = memoryview(np.zeros(1 << (2 * most).bit_length(), np.uint32))  # entries from 1, 0 where free
+        self.hashes = memoryview(np.empty(most, np.int64))
+        self.key_ends, self.value_ends = (memoryview(np.zeros(most + 1, np.int64)) for _ in range(2))
+        self.keys, self.values = bytearray(), bytearray()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _slot(self, hashed: int) -> int:
+        """Where a hash stands, or the free slot for it."""
+        last = len(self.slots) - 1
+        at = hashed & last
+        while (entry := self.slots[at]) and self.hashes[entry - 1] != hashed:
+            at = (at + 1) & last
+        return at
+
+    def _at(self, slot: int, key: str) -> bytes | None:
+        entry = self.slots[slot] - 1
+        if entry < 0 or self.keys[self.key_ends[entry] : self.key_ends[entry + 1]] != key.encode():
+            return None
+        return bytes(self.values[self.value_ends[entry] : self.value_ends[entry + 1]])
+
+    def get(self, key: str) -> bytes | None:
+        return self._at(self._slot(hash(key)), key)
+
+    def __getitem__(self, key: str) -> bytes:
+        slot = self._slot(hash(key))
+        found = self._at(slot, key)
+        if found is None:
+            found = self.make(key)
+            if self.n < self.most and not self.slots[slot]:
+                self.keys += key.encode()
+                self.values += found
+                self.hashes[self.n] = hash(key)
+                self.n += 1
+                self.slots[slot], self.key_ends[self.n], self.value_ends[self.n] = self.n, len(self.keys), len(self.values)
         return found
 
+    def many(self, keys: pa.Array) -> pa.Array:
+        """What is made of each of many different words."""
+        asked = keys.to_numpy(zero_copy_only=False).tolist()
+        entries = self._entries(keys, np.fromiter(map(hash, asked), np.int64, len(asked)))
+        kept, missing = np.flatnonzero(entries >= 0), np.flatnonzero(entries < 0)
+        place = np.empty(len(asked), np.int64)
+        place[np.concatenate((kept, missing))] = np.arange(len(asked))
+        found = self._stored(self.values, self.value_ends, pa.large_binary(), entries[kept])
+        return pa.concat_arrays([found, pa.array([self[asked[k]] for k in missing.tolist()], pa.large_binary())]).take(pa.array(place))
+
+    def _entries(self, keys: pa.Array, hashed: np.ndarray) -> np.ndarray:
+        slots, hashes = np.asarray(self.slots), np.asarray(self.hashes)
+        out, left, at = np.full(len(hashed), -1), np.arange(len(hashed)), hashed & (len(slots) - 1)
+        while len(left):
+            entry = slots[at].astype(np.int64) - 1
+            left, at, entry = (x[entry >= 0] for x in (left, at, entry))
+            same = hashes[entry] == hashed[left]
+            out[left[same]] = entry[same]
+            left, at = left[~same], (at[~same] + 1) & (len(slots) - 1)
+        hit = np.flatnonzero(out >= 0)
+        equal = pc.equal(keys.take(pa.array(hit)), self._stored(self.keys, self.key_ends, keys.type, out[hit]))
+        out[hit[~equal.to_numpy(zero_copy_only=False).astype(bool)]] = -1
+        return out
+
+    def _stored(self, data: bytearray, ends: memoryview, kind: pa.DataType, entries: np.ndarray) -> pa.Array:
+        # A copy: while an array of it lives, a bytearray can't grow.
+        return pa.Array.from_buffers(kind, self.n, [None, pa.py_buffer(ends), pa.py_buffer(data)]).take(pa.array(entries))
+
 
 class _Words:
     """Token ids of whole texts as bytes, from caches of lower-cased words and of their pieces.
@@ -95,6 +159,7 @@ class _Words:
     def forget(cls) -> None:
         if cls._made:
             cls._made.clear()
+            gc.collect()  # words and caches know each other
             trimmed()
 
     def _splits_words(self) -> bool:
@@ -139,15 +204,15 @@ class _Words:
         sizes = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(ends + 1 - starts, out=sizes[1:])
         coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(lower[~space])]).dictionary_encode()
-        found = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        found = self.words.many(coded.dictionary)
         end_id, n = self.kind(END_ID).tobytes(), len(at) - 1
         # Behind the words of each text stands the end id, or all ids of a text that the tokenizer splits.
         behind = np.full(n, len(found))
         behind[plain] += 1 + np.arange(len(plain))
-        found += [end_id, *(self._plain(data[at[d] : at[d + 1]].tobytes().decode()) + end_id for d in plain.tolist())]
+        more = pa.array([end_id, *(self._plain(data[at[d] : at[d + 1]].tobytes().decode()) + end_id for d in plain.tolist())], pa.large_binary())
         place = np.searchsorted(starts, at[1:])
         codes = np.insert(coded.indices.to_numpy(), place, behind)
-        _, offsets, joined = pa.array(found, pa.large_binary()).take(pa.array(codes)).buffers()
+        _, offsets, joined = pa.concat_arrays([found, more]).take(pa.array(codes)).buffers()
         width = np.dtype(self.kind).itemsize
         last = np.frombuffer(offsets, np.int64)[place + np.arange(1, n + 1)] // width
         return np.frombuffer(joined, self.kind, int(last[-1]) if n else 0), last

@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -100,3 +102,46 @@ def test_weights_of_many_documents_are_those_of_each():
     sizes, terms, weights = packing._weights(profiles, idf, mean)
     assert sizes.tolist() == [1, 3, 60, 200, 2] and terms.tolist() == [t for p, _ in profiles for t in p]
     assert weights.tolist() == [w for p in profiles for w in packing.bm25(*p, idf, mean)]
+
+
+def test_many_words_take_little_memory():
+    """As strings and bytes in a dictionary 700,000 words took a third of a worker's memory, and the pipeline's executors went
+    beyond theirs."""
+    words = [f"word{k * 7919:x}" for k in range(250_000)]
+    tracemalloc.start()
+    try:
+        cache = packing._Cache(lambda w: b"123456", 250_000)
+        for k in range(0, len(words), 50_000):
+            cache.many(pa.array(words[k : k + 50_000], pa.large_string()))
+        taken = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(cache) == len(words) and taken < 60 * len(words)
+
+
+def test_a_cache_gives_what_is_made_of_each_word():
+    """One at a time or together, kept or beyond the cache's size, and where hashes and slots meet."""
+
+    class Same(str):  # three hashes for all words
+        def __hash__(self):
+            return len(self) % 3
+
+    rng, made = random.Random(6), []
+    cache = packing._Cache(lambda w: made.append(w) or w[::-1].encode(), 40)
+    for _ in range(300):
+        some = sorted({"".join(rng.choices("aé☃", k=rng.randrange(6))) for _ in range(rng.randrange(12))})
+        assert cache.many(pa.array(some, pa.large_string())).to_pylist() == [w[::-1].encode() for w in some]
+        for w in some:
+            assert cache[w] == w[::-1].encode() and cache.get(w) in (None, w[::-1].encode())
+    assert len(cache) == 40 and sum(made.count(w) == 1 for w in set(made)) >= 40
+    same = packing._Cache(lambda w: w.encode() * 2, 40)
+    for w in map(Same, ["a", "b", "ab", "bc", "abc", "", "b", "ab", "bc", "a"]):
+        assert same[w] == w.encode() * 2
+    assert len(same) == 3
+
+
+def test_words_freed_are_gone():
+    """Words and their caches refer to each other: a worker kept all of them until the next full collection, if one came."""
+    gone = weakref.ref(packing._Words.of(PATH))
+    packing._Words.forget()
+    assert gone() is None
