@@ -50,8 +50,8 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class _Cache:
     """Made on first use; beyond its size, every time.
 
-    Words and what is made of them stand in flat arrays behind an open hash table, some 40 bytes a word: as objects in a
-    dictionary they took four times as much in each worker. Of two words with one hash only the first is kept.
+    Words and what is made of them stand in flat arrays behind an open hash table, some 55 bytes a word: as objects in a
+    dictionary they took some 136. Of two words with one hash only the first is kept.
     """
 
     def __init__(self, make, most: int):
