@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.shared import cut_lineage
 from . import coupling as cp, features as ft, frames as fr, kernels as kn, series as op, spectral as sp
@@ -134,12 +134,30 @@ def common_grid_mean(curves: DataFrame, group: list[str], subject: str, step: fl
     return on.groupBy(*group, t).agg(F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("sem"), F.count(x).alias("n")).filter("n >= 2")
 
 
+def _grid_knots(peaks: DataFrame, fs: float, keys: list[str], t: str) -> DataFrame:
+    """keys, t, x, n: of the instantaneous rate the values that are next to a place of the grid; the ``n`` of a series add up to
+    the number of all its values. Peaks are ordered between two places of the grid only; a series is a row per such stretch."""
+    at = F.ceil(F.col(t) * fs).cast("long")
+    exact = F.when((at - 1) / fs >= F.col(t), at - 1).when(at / fs < F.col(t), at + 1).otherwise(at)  # above the place before, not above its own
+    rows = peaks.filter(F.col(t).isNotNull() & ~F.isnan(t)).select(*keys, F.col(t).cast("double").alias("_t"), exact.alias("_c"))
+
+    def knot(a: Column, b: Column) -> Column:
+        return F.when(b > a, F.struct((a + (b - a) / 2).alias("t"), (F.lit(60.0) / (b - a)).alias("x")))
+
+    inside = rows.withColumn("_k", knot(F.col("_t"), F.lead("_t").over(op.ordered([*keys, "_c"], "_t"))))
+    cells = inside.groupBy(*keys, "_c").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.min("_k").alias("_low"), F.max("_k").alias("_high"), F.count("_k").alias("_n"))
+    across = knot(F.col("_last"), F.lead("_first").over(op.ordered(keys, "_c")))
+    ends = F.array(F.struct(F.col("_low").alias("k"), F.least(F.col("_n"), F.lit(1)).alias("n")), F.struct(F.when(F.col("_n") > 1, F.col("_high")).alias("k"), (F.col("_n") - 1).alias("n")), F.struct(F.col("_across").alias("k"), F.lit(1).cast("long").alias("n")))
+    return cells.withColumn("_across", across).select(*keys, F.explode(ends).alias("_e")).filter("_e.k IS NOT NULL").select(*keys, "_e.k.t", "_e.k.x", "_e.n")
+
+
 def rate_on_grid(peaks: DataFrame, fs: float, keys: list[str], t: str = "t_s") -> DataFrame:
-    """Instantaneous rate at a regular rate, ends held; series with fewer than four peaks are left out."""
-    rate = ft.instantaneous_rate(peaks, keys, t)
-    spans = rate.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"), F.count("*").alias("_n")).filter("_n >= 3")
+    """Instantaneous rate at a regular rate, ends held; series with fewer than four peaks are left out. What is ordered over a
+    whole series are a few values per place of the grid, whatever the number of peaks."""
+    knots = _grid_knots(peaks, fs, keys, t)
+    spans = knots.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"), F.sum("n").alias("_n")).filter("_n >= 3")
     grid = spans.select(*keys, F.explode(F.sequence(F.ceil(F.col("_a") * fs).cast("long"), F.greatest(F.ceil(F.col("_a") * fs), F.floor(F.col("_b") * fs)).cast("long"))).alias("idx"))
-    on = op.interpolated(rate, grid.select(*keys, (F.col("idx") / fs).alias("t")), keys)
+    on = op.interpolated(knots, grid.select(*keys, (F.col("idx") / fs).alias("t")), keys)
     return on.select(*keys, F.round(F.col("t") * fs).cast("long").alias("idx"), "t", "x")
 
 

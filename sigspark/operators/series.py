@@ -19,6 +19,17 @@ def ordered(keys: list[str], by: str = "idx"):
     return W.partitionBy(*keys).orderBy(by)
 
 
+def so_far(keys: list[str], *by: str):
+    """The rows up to this one in order of ``by``."""
+    return W.partitionBy(*keys).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+
+
+def from_here(keys: list[str], *by: str):
+    """This row and those after it in order of ``by``, from the last row back to this one: its last value is the nearest. A frame
+    that ends unbounded would be read anew for every row, so its time is quadratic in a series."""
+    return so_far(keys, *[F.col(c).desc() for c in by])
+
+
 def unpivot_prefix(df: DataFrame, ids: list[str], prefix: str, exclude: tuple[str, ...] = (), name: str = "channel", value: str = "x") -> DataFrame:
     """The columns with this prefix as (channel, x) rows."""
     columns = [c for c in df.columns if c.startswith(prefix) and c not in exclude and c not in ids]
@@ -124,9 +135,9 @@ def windowed_apply(df: DataFrame, width: int, step: int, feature: Callable, sche
 
 def filled(df: DataFrame, keys: list[str] = KEYS, x: str = "x", idx: str = "idx", out: str = "x") -> DataFrame:
     """Linear over inner gaps, the nearest value at the edges; an all-null series stays null."""
-    before, after = ordered(keys, idx).rowsBetween(W.unboundedPreceding, 0), ordered(keys, idx).rowsBetween(0, W.unboundedFollowing)
+    before, after = so_far(keys, idx), from_here(keys, idx)
     at = F.when(F.col(x).isNotNull(), F.col(idx))
-    g = df.withColumns({"_a": F.last(x, True).over(before), "_b": F.first(x, True).over(after), "_i": F.last(at, True).over(before), "_j": F.first(at, True).over(after)})
+    g = df.withColumns({"_a": F.last(x, True).over(before), "_b": F.last(x, True).over(after), "_i": F.last(at, True).over(before), "_j": F.last(at, True).over(after)})
     blend = F.col("_a") + (F.col("_b") - F.col("_a")) * ratio(F.col(idx) - F.col("_i"), F.col("_j") - F.col("_i"))
     return g.withColumn(out, F.coalesce(x, blend, F.col("_a"), F.col("_b"))).drop("_a", "_b", "_i", "_j")
 
@@ -142,13 +153,12 @@ def detrended(df: DataFrame, keys: list[str] = KEYS, x: str = "x", idx: str = "i
 def interpolated(samples: DataFrame, grid: DataFrame, keys: list[str] = KEYS, t: str = "t", x: str = "x", hold: bool = True) -> DataFrame:
     """``samples`` (keys, t, x) linearly at the times of ``grid`` (keys, t); beyond the ends held, or null.
 
-    One union and one sort per series: brackets come from running last and first values, never from a range join.
+    One union and a sort each way per series: brackets come from running last values, never from a range join.
     """
     both = samples.select(*keys, F.col(t), F.col(x), F.lit(0).alias("_grid")).unionByName(grid.select(*keys, F.col(t), F.lit(None).cast("double").alias(x), F.lit(1).alias("_grid")))
-    w = W.partitionBy(*keys).orderBy(t, "_grid")
+    before, after = so_far(keys, t, "_grid"), from_here(keys, t, "_grid")
     at = F.when(F.col(x).isNotNull(), F.col(t))
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    g = both.withColumns({"_a": F.last(x, True).over(before), "_b": F.first(x, True).over(after), "_i": F.last(at, True).over(before), "_j": F.first(at, True).over(after)}).filter("_grid = 1")
+    g = both.withColumns({"_a": F.last(x, True).over(before), "_b": F.last(x, True).over(after), "_i": F.last(at, True).over(before), "_j": F.last(at, True).over(after)}).filter("_grid = 1")
     inner = F.when(F.col("_i") == F.col(t), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * ratio(F.col(t) - F.col("_i"), F.col("_j") - F.col("_i")))
     value = F.coalesce(inner, F.col("_a"), F.col("_b")) if hold else inner
     return g.select(*keys, t, value.alias(x))
