@@ -26,7 +26,7 @@ def matched_to_rate(peaks: DataFrame, envelope: DataFrame, fs: float, keys: list
     """keys, idx, x (gridded rate), y (envelope at the same places). Series with fewer than ``least`` common samples, or
     without variance on either side, are left out."""
     rate = bd.rate_on_grid(peaks, fs, keys, t).select(*keys, "idx", "x")
-    both = rate.join(envelope.select(*keys, "idx", F.col("x").alias("y")).filter("y IS NOT NULL"), [*keys, "idx"])
+    both = cut_lineage(rate.join(envelope.select(*keys, "idx", F.col("x").alias("y")).filter("y IS NOT NULL"), [*keys, "idx"]))  # the guard, and every path, read it
     good = both.groupBy(*keys).agg(F.count("*").alias("_n"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy")).filter((F.col("_n") >= least) & (F.col("_sx") > eps) & (F.col("_sy") > eps))
     return both.join(good.select(*keys), keys, "left_semi")
 

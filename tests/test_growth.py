@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import bundles as bd, series as op
+from sigspark.operators import bundles as bd, cardiac as cd, series as op
 
 
 def plan_of(frame, part="executedPlan"):
@@ -61,3 +61,10 @@ def test_gaps_and_ties_by_running_values(spark):
     grid = spark.createDataFrame([(1, float(t)) for t in (0, 1, 2, 3, 4)], "k long, t double")
     both = [op.interpolated(samples, grid, ["k"], hold=hold).orderBy("t").toPandas()["x"].tolist() for hold in (True, False)]
     assert both[0] == [10, 10, 20, 30, 30] and np.isnan(both[1][0]) and both[1][1:4] == [10, 20, 30] and np.isnan(both[1][4])
+
+
+def test_events_are_read_once_for_the_guard_and_the_paths(spark):
+    peaks = spark.range(200).select(F.lit(1).alias("k"), (F.col("id") + F.col("id") % 3 / 10).alias("t_s"))
+    envelope = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.sin("id").alias("x"))
+    pairs = cd.matched_to_rate(peaks, envelope, 1.0, ["k"])
+    assert pairs.count() > 100 and "lead(" not in plan_of(pairs, "optimizedPlan")
