@@ -66,13 +66,19 @@ def two_path_measures(pairs: DataFrame, fs: float, width: int, step: int, max_la
     """keys, path, metric, value for pairs that ``matched_to_rate`` has guarded. Slow, on windowed means, from three windows on:
     the largest correlation over lags, its lag in windows, and binned mutual information. Fast, on the samples, around the
     envelope's strongest frequency between those of ``search``: that frequency, PLV, its preferred lag, and wPLI."""
-    pairs = cut_lineage(pairs)  # seven measures read it
+    pairs = cut_lineage(pairs)  # both paths read it
     means = op.windowed(pairs, width, step, [F.avg("x").alias("x"), F.avg("y").alias("y")], keys).withColumn("idx", F.col("w"))
     enough = means.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n >= 3").select(*keys)
     means = cut_lineage(means.join(enough, keys, "left_semi"))
     top = cp.peaks(cp.lagged_correlation(means, max_lag, keys), keys)
     mi = cp.mutual_information(cp.binned(means, bins, keys), keys)
     bands = sp.dominant_band(pairs, segment, fs, keys, band_width, search)
-    fast = cut_lineage(sp.phase_sync(pairs, fs, keys, bands))
-    rows = [(top, "slow", "xcorr_peak", "peak_r"), (top, "slow", "xcorr_lag", "peak_lag"), (mi, "slow", "mi", "mi_nats"), (fast, "fast", "frequency", "f0"), (fast, "fast", "plv", "plv"), (fast, "fast", "preferred_lag_s", "preferred_lag_s"), (fast, "fast", "wpli", "wpli")]
-    return reduce(DataFrame.unionByName, [t.select(*keys, F.lit(path).alias("path"), F.lit(metric).alias("metric"), F.col(c).cast("double").alias("value")) for t, path, metric, c in rows])
+    fast = sp.phase_sync(pairs, fs, keys, bands)
+
+    def rows(t: DataFrame, path: str, columns: dict[str, str]) -> DataFrame:
+        metrics = [F.struct(F.lit(metric).alias("metric"), F.col(c).cast("double").alias("value")) for metric, c in columns.items()]
+        return t.select(*keys, F.lit(path).alias("path"), F.inline(F.array(*metrics)))
+
+    of_fast = {"frequency": "f0", "plv": "plv", "preferred_lag_s": "preferred_lag_s", "wpli": "wpli"}
+    parts = [rows(top, "slow", {"xcorr_peak": "peak_r", "xcorr_lag": "peak_lag"}), rows(mi, "slow", {"mi": "mi_nats"}), rows(fast, "fast", of_fast)]
+    return reduce(DataFrame.unionByName, parts)

@@ -68,3 +68,13 @@ def test_events_are_read_once_for_the_guard_and_the_paths(spark):
     envelope = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.sin("id").alias("x"))
     pairs = cd.matched_to_rate(peaks, envelope, 1.0, ["k"])
     assert pairs.count() > 100 and "lead(" not in plan_of(pairs, "optimizedPlan")
+
+
+def test_the_slow_path_does_not_compute_the_fast_one(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(cd, "cut_lineage", lambda df: written.append(df.columns) or df)
+    pairs = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.sin("id").alias("x"), F.cos("id").alias("y"))
+    found = cd.two_path_measures(pairs, 1.0, 48, 24, 2, 3, 64, ["k"], 0.06, (0.05, 0.3))
+    assert len(written) == 2  # pairs and windowed means
+    assert "python" not in plan_of(found.filter("path = 'slow'"), "optimizedPlan")
+    assert sorted(found.select("metric").toPandas()["metric"]) == ["frequency", "mi", "plv", "preferred_lag_s", "wpli", "xcorr_lag", "xcorr_peak"]
