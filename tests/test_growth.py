@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigspark.operators import bundles as bd, cardiac as cd, series as op
+from sigspark.plans.all import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(frame, part="executedPlan"):
@@ -78,3 +81,8 @@ def test_the_slow_path_does_not_compute_the_fast_one(spark, monkeypatch):
     assert len(written) == 2  # pairs and windowed means
     assert "python" not in plan_of(found.filter("path = 'slow'"), "optimizedPlan")
     assert sorted(found.select("metric").toPandas()["metric"]) == ["frequency", "mi", "plv", "preferred_lag_s", "wpli", "xcorr_lag", "xcorr_peak"]
+
+
+@pytest.mark.parametrize("name", ["feat_rate_spectrum"])
+def test_queries_have_no_open_frames(spark, name):
+    assert open_frames(QUERIES[name](spark, SF)) == 0
