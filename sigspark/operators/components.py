@@ -78,8 +78,8 @@ def _partial_products(keys: list[str], block: int):
                                 cells = a[:, i : i + block].T @ b[:, j : j + block]
                                 at = (i // block, j // block, what)
                                 sums[at] = sums[at] + cells if at in sums else cells
-            if len(held) > _HELD:
-                yield from flush()
+                if len(held) > _HELD:
+                    yield from flush()
         yield from flush()
 
     return run
@@ -189,45 +189,78 @@ def removed(df: DataFrame, reference: DataFrame, keys: list[str], channel: str,
 _DYNAMIC = "mode long, frequency double, growth double, energy double, size double, phase double, log_rate double, turn double"
 
 
-def dynamic_modes(df: DataFrame, keys: list[str], at: str, channel: str, fs: float, k: int = 4, x: str = "x") -> DataFrame:
+def _modes_of(before: np.ndarray, later: np.ndarray, first: np.ndarray, instants: int, fs: float, k: int) -> list[dict]:
+    """The rows of one key's dynamic modes, from its sums of products and its first instant."""
+    if not len(before) or instants <= 2:
+        return []
+    power, u = np.linalg.eigh(before)
+    keep = [i for i in np.argsort(-power)[: 2 * k] if power[i] > 1e-10 * max(power.max(), 1e-300) and power[i] > 1e-20]
+    if not keep:
+        return []
+    u, power = u[:, keep], power[keep]
+    rate, directions = np.linalg.eig(u.T @ later @ u / power)
+    modes = u @ directions
+    start = np.linalg.lstsq(modes, np.asarray(first, complex), rcond=None)[0]
+    turns = np.log(rate + 1e-30)
+    mean = np.array([np.mean(np.exp(np.minimum(t.real * np.arange(instants), 700))) for t in turns])
+    sizes = np.linalg.norm(modes, axis=0) * np.abs(start) * mean
+    best: dict[float, int] = {}
+    for i in range(len(rate)):
+        name = round(abs(turns[i].imag) * fs / (2 * math.pi), 4)
+        if name not in best or sizes[i] > sizes[best[name]] * (1 + 1e-9):
+            best[name] = i
+    order = sorted(best.values(), key=lambda i: -sizes[i])[:k]
+    return [{"mode": m, "frequency": abs(turns[i].imag) * fs / (2 * math.pi), "growth": turns[i].real * fs, "energy": sizes[i] / (sizes[order[0]] + 1e-12), "size": abs(start[i]), "phase": float(np.angle(start[i])), "log_rate": turns[i].real, "turn": turns[i].imag} for m, i in enumerate(order, 1)]
+
+
+def dynamic_modes(df: DataFrame, keys: list[str], at: str, channel: str, fs: float, k: int = 4, x: str = "x", bounded: bool = False) -> DataFrame:
     """keys, mode, frequency (Hz), growth (per second), energy (over the strongest), and size, phase, log_rate and turn of its
     series ``size * exp(log_rate t) * cos(phase + turn t)``: dynamic mode decomposition of rank 2 k of ``centred`` columns.
 
     Modes of equal frequency (four decimals), so both of a complex pair, count once: the stronger stays. Keys with fewer than
-    three instants, or without variance, give no rows.
+    three instants, or without variance, give no rows. ``bounded``: a key is a short window, so its samples are gathered in one
+    row; a matrix of channels by channels for each of its instants, as long keys hand on, would be many times their size.
     """
     kinds = dict(df.dtypes)
+    columns = [*keys, *(p.split()[0] for p in _DYNAMIC.split(", "))]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), _DYNAMIC])
+    if bounded:
+        return _windows_gathered(df, keys, at, channel, x).mapInPandas(_modes_of_windows(keys, columns, fs, k), schema)
     sums = product_sums(df, keys, at, channel, x, ahead=True)
     first = vectors(df, keys, at, channel, x).groupBy(*keys).agg(F.min_by("_v", at).alias("_first"))
     both = sums.join(first, keys) if keys else sums.crossJoin(first)  # one row
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        before, later = assembled(frame, "before"), assembled(frame, "next")
         instants = int(frame.loc[frame["what"] == "now", "n"].max())
-        if len(before) and instants > 2:
-            power, u = np.linalg.eigh(before)
-            keep = [i for i in np.argsort(-power)[: 2 * k] if power[i] > 1e-10 * max(power.max(), 1e-300) and power[i] > 1e-20]
-            if keep:
-                u, power = u[:, keep], power[keep]
-                rate, directions = np.linalg.eig(u.T @ later @ u / power)
-                modes = u @ directions
-                start = np.linalg.lstsq(modes, np.asarray(frame["_first"].iloc[0], complex), rcond=None)[0]
-                turns = np.log(rate + 1e-30)
-                mean = np.array([np.mean(np.exp(np.minimum(t.real * np.arange(instants), 700))) for t in turns])
-                sizes = np.linalg.norm(modes, axis=0) * np.abs(start) * mean
-                best: dict[float, int] = {}
-                for i in range(len(rate)):
-                    name = round(abs(turns[i].imag) * fs / (2 * math.pi), 4)
-                    if name not in best or sizes[i] > sizes[best[name]] * (1 + 1e-9):
-                        best[name] = i
-                order = sorted(best.values(), key=lambda i: -sizes[i])[:k]
-                for m, i in enumerate(order, 1):
-                    rows.append({**{c: frame[c].iloc[0] for c in keys}, "mode": m, "frequency": abs(turns[i].imag) * fs / (2 * math.pi), "growth": turns[i].real * fs, "energy": sizes[i] / (sizes[order[0]] + 1e-12), "size": abs(start[i]), "phase": float(np.angle(start[i])), "log_rate": turns[i].real, "turn": turns[i].imag})
-        return pd.DataFrame(rows, columns=columns)
+        rows = _modes_of(assembled(frame, "before"), assembled(frame, "next"), frame["_first"].iloc[0], instants, fs, k)
+        return pd.DataFrame([{**{c: frame[c].iloc[0] for c in keys}, **row} for row in rows], columns=columns)
 
-    columns = [*keys, *(p.split()[0] for p in _DYNAMIC.split(", "))]
-    return both.groupBy(*keys).applyInPandas(solve, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), _DYNAMIC]))
+    return both.groupBy(*keys).applyInPandas(solve, schema)
+
+
+def _windows_gathered(df: DataFrame, keys: list[str], at: str, channel: str, x: str) -> DataFrame:
+    """keys and three arrays of the same order: instants, channels, values; without missing values."""
+    rows = df.filter(F.col(x).isNotNull() & ~F.isnan(x)).select(*keys, F.col(at).cast("long").alias("_at"), F.col(channel).alias("_c"), F.col(x).cast("double").alias("_x"))
+    return rows.groupBy(*keys).agg(F.collect_list("_at").alias("_at"), F.collect_list("_c").alias("_c"), F.collect_list("_x").alias("_x"))
+
+
+def _modes_of_windows(keys: list[str], columns: list[str], fs: float, k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r, (at, channel, x) in enumerate(zip(frame["_at"], frame["_c"], frame["_x"])):
+                order = np.lexsort((channel, at))
+                instant, begin, size = np.unique(np.asarray(at)[order], return_index=True, return_counts=True)
+                whole_ = size == size.max()  # no channel is missing
+                v = np.asarray(x)[order][begin[whole_][:, None] + np.arange(size.max())]
+                instant = instant[whole_]
+                now = np.flatnonzero(np.diff(instant) == 1)
+                a, b = v[now], v[now + 1]
+                own = {c: frame[c].iloc[r] for c in keys}
+                rows += [{**own, **mode} for mode in _modes_of(a.T @ a if len(now) else np.zeros((0, 0)), b.T @ a, v[0], len(v), fs, k)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
 
 
 def mode_series(modes: DataFrame, instants: DataFrame, keys: list[str], at: str) -> DataFrame:

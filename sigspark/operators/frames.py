@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio
 from . import features as ft, spectral as sp
-from .series import detrended, interpolated, passes_quality, whole
+from .models import on_keys
+from .series import detrended, interpolated_columns, passes_quality, whole
 from .spectral import dft
 
 FRAME = ["clip", "frame"]
@@ -149,9 +150,10 @@ def glcm(frames: DataFrame, levels: int, low: float, high: float) -> DataFrame:
 
 
 def pixel_series(frames: DataFrame) -> DataFrame:
-    """Frames renumbered from 0 inside each clip: clip, y, px as a series over idx."""
-    place = F.dense_rank().over(W.partitionBy("clip").orderBy("frame")) - 1
-    return frames.select("clip", "y", "px", place.cast("long").alias("idx"), F.col("v").alias("x"))
+    """Frames renumbered from 0 inside each clip: clip, y, px as a series over idx. Frames are numbered, not their pixels."""
+    place = F.row_number().over(W.partitionBy("clip").orderBy("frame")) - 1
+    numbers = frames.select(*FRAME).distinct().select(*FRAME, place.cast("long").alias("idx"))
+    return on_keys(frames, numbers, FRAME).select("clip", "y", "px", "idx", F.col("v").alias("x"))
 
 
 def column_signal(frames: DataFrame, column: int) -> DataFrame:
@@ -275,9 +277,8 @@ def pixel_vectors(frames: DataFrame) -> DataFrame:
 def frame_curve(values: DataFrame, frames: DataFrame, columns: list[str], centre: Column) -> DataFrame:
     """clip, idx and ``columns`` on every frame of a clip, between the centres of the windows of ``values``; held at the ends."""
     grid = frames.select("clip", "idx").distinct().select("clip", F.col("idx").cast("double").alias("t"))
-    at = values.withColumn("t", centre.cast("double"))
-    parts = [interpolated(at.select("clip", "t", F.col(c).cast("double").alias(c)), grid, ["clip"], "t", c) for c in columns]
-    return reduce(lambda a, b: a.join(b, ["clip", "t"]), parts).select("clip", F.col("t").cast("long").alias("idx"), *columns)
+    at = values.select("clip", centre.cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in columns])
+    return interpolated_columns(at, grid, ["clip"], columns).select("clip", F.col("t").cast("long").alias("idx"), *columns)
 
 
 def column_waves(frames: DataFrame, column: int, n: int, step: int, fs: float) -> DataFrame:

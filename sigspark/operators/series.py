@@ -155,13 +155,25 @@ def interpolated(samples: DataFrame, grid: DataFrame, keys: list[str] = KEYS, t:
 
     One union and a sort each way per series: brackets come from running last values, never from a range join.
     """
-    both = samples.select(*keys, F.col(t), F.col(x), F.lit(0).alias("_grid")).unionByName(grid.select(*keys, F.col(t), F.lit(None).cast("double").alias(x), F.lit(1).alias("_grid")))
+    return interpolated_columns(samples, grid, keys, [x], t, hold)
+
+
+def interpolated_columns(samples: DataFrame, grid: DataFrame, keys: list[str], columns: list[str], t: str = "t", hold: bool = True) -> DataFrame:
+    """``interpolated`` of several columns by the same sorts; each is bracketed by its own values."""
+    both = samples.select(*keys, F.col(t), *columns, F.lit(0).alias("_grid")).unionByName(grid.select(*keys, F.col(t), *[F.lit(None).cast("double").alias(x) for x in columns], F.lit(1).alias("_grid")))
     before, after = so_far(keys, t, "_grid"), from_here(keys, t, "_grid")
-    at = F.when(F.col(x).isNotNull(), F.col(t))
-    g = both.withColumns({"_a": F.last(x, True).over(before), "_b": F.last(x, True).over(after), "_i": F.last(at, True).over(before), "_j": F.last(at, True).over(after)}).filter("_grid = 1")
-    inner = F.when(F.col("_i") == F.col(t), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * ratio(F.col(t) - F.col("_i"), F.col("_j") - F.col("_i")))
-    value = F.coalesce(inner, F.col("_a"), F.col("_b")) if hold else inner
-    return g.select(*keys, t, value.alias(x))
+    found = {}
+    for n, x in enumerate(columns):
+        at = F.when(F.col(x).isNotNull(), F.col(t))
+        found |= {f"_a{n}": F.last(x, True).over(before), f"_b{n}": F.last(x, True).over(after), f"_i{n}": F.last(at, True).over(before), f"_j{n}": F.last(at, True).over(after)}
+    g = both.withColumns(found).filter("_grid = 1")
+
+    def value(n: int) -> Column:
+        a, b, i, j = (F.col(f"_{c}{n}") for c in "abij")
+        inner = F.when(i == F.col(t), a).otherwise(a + (b - a) * ratio(F.col(t) - i, j - i))
+        return F.coalesce(inner, a, b) if hold else inner
+
+    return g.select(*keys, t, *[value(n).alias(x) for n, x in enumerate(columns)])
 
 
 def resampled(df: DataFrame, fs_from: float, fs_to: float, keys: list[str] = KEYS) -> DataFrame:

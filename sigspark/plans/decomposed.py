@@ -99,7 +99,7 @@ def vid_dynamic_modes_windowed(spark, d):
     """The two strongest dynamic modes of sliding windows, on the frames between the windows' centres."""
     s = fr.pixel_vectors(frame_emb(spark, d))
     w = op.exploded_windows(s, 16, 8, ["clip", "channel"]).select("clip", "w", "channel", F.col("pos").alias("idx"), "x")
-    modes = co.dynamic_modes(co.centred(w, ["clip", "w"], "channel"), ["clip", "w"], "idx", "channel", 25.0)
+    modes = co.dynamic_modes(co.centred(w, ["clip", "w"], "channel"), ["clip", "w"], "idx", "channel", 25.0, bounded=True)
     top = co.strongest(modes, ["clip", "w"])
     return _doubles(fr.frame_curve(top, s, ["n_modes", "top_frequency", "top_energy", "second_frequency", "second_energy"], F.col("w") * 8 + 8), 4)
 

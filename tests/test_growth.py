@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import bundles as bd, cardiac as cd, series as op
+from sigspark.operators import bundles as bd, cardiac as cd, components as co, frames as fr, series as op
 from sigspark.plans.all import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -76,8 +76,8 @@ def test_events_are_read_once_for_the_guard_and_the_paths(spark):
 def test_the_slow_path_does_not_compute_the_fast_one(spark, monkeypatch):
     written = []
     monkeypatch.setattr(cd, "cut_lineage", lambda df: written.append(df.columns) or df)
-    pairs = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.sin("id").alias("x"), F.cos("id").alias("y"))
-    found = cd.two_path_measures(pairs, 1.0, 48, 24, 2, 3, 64, ["k"], 0.06, (0.05, 0.3))
+    pairs = spark.range(300).select(F.lit(1).alias("s"), F.col("id").alias("idx"), F.sin("id").alias("x"), F.cos("id").alias("y"))
+    found = cd.two_path_measures(pairs, 1.0, 48, 24, 2, 3, 64, ["s"], 0.06, (0.05, 0.3))
     assert len(written) == 2  # pairs and windowed means
     assert "python" not in plan_of(found.filter("path = 'slow'"), "optimizedPlan")
     assert sorted(found.select("metric").toPandas()["metric"]) == ["frequency", "mi", "plv", "preferred_lag_s", "wpli", "xcorr_lag", "xcorr_peak"]
@@ -86,3 +86,34 @@ def test_the_slow_path_does_not_compute_the_fast_one(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["feat_rate_spectrum"])
 def test_queries_have_no_open_frames(spark, name):
     assert open_frames(QUERIES[name](spark, SF)) == 0
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_windows_gathered_in_a_row_give_the_same_dynamic_modes(spark, gaps):
+    rng = np.random.default_rng(3)
+    t = np.arange(40)
+    waves = np.outer(np.cos(0.5 * t), rng.normal(size=6)) + np.outer(np.sin(0.5 * t), rng.normal(size=6)) + 0.4 * np.outer(np.cos(1.3 * t) * 0.98**t, rng.normal(size=6)) + 0.01 * rng.normal(size=(40, 6))
+    rows = pd.DataFrame([(w, int(i), int(c), float(waves[w * 10 + i, c])) for w in range(3) for i in range(20) for c in range(6) if not (gaps and (i, c) in ((7, 2), (0, 1)))], columns=["w", "idx", "c", "x"])
+    df = co.centred(spark.createDataFrame(rows), ["w"], "c")
+    found = [co.dynamic_modes(df, ["w"], "idx", "c", 25.0, bounded=b).orderBy("w", "mode").toPandas() for b in (False, True)]
+    assert len(found[0]) > 6 and list(found[0].columns) == list(found[1].columns)
+    same = ["w", "mode", "frequency", "growth", "energy", "size", "log_rate"]  # either of a complex pair may stand for both
+    assert np.allclose(found[0][same].to_numpy(float), found[1][same].to_numpy(float), rtol=1e-5, atol=1e-6)
+
+
+def test_short_and_constant_windows_have_no_dynamic_modes(spark):
+    rows = [(1, i, c, 1.0) for i in range(5) for c in range(3)] + [(2, i, c, float(i * c)) for i in range(2) for c in range(3)]
+    df = co.centred(spark.createDataFrame(rows, "w long, idx long, c long, x double"), ["w"], "c")
+    assert co.dynamic_modes(df, ["w"], "idx", "c", 25.0, bounded=True).count() == 0
+
+
+def test_windowed_modes_hand_on_no_matrix_of_each_instant(spark):
+    plan = plan_of(QUERIES["vid_dynamic_modes_windowed"](spark, SF), "optimizedPlan")
+    assert "cells#" not in plan  # sums of products: 64 by 64 numbers for an instant of 64
+    assert plan.count("mapinpandas") == 1  # five columns of the curve, decomposed once
+
+
+def test_pixels_are_numbered_by_frame(spark):
+    rows = [(c, f, y, 0, 1.0) for c, frames in ((1, (7, 3, 9)), (2, (5,)), (None, (2, 1))) for f in frames for y in range(2)]
+    s = fr.pixel_series(spark.createDataFrame(rows, "clip long, frame long, y long, px long, v double"))
+    assert sorted((-1 if r.clip is None else r.clip, r.y, r.idx) for r in s.collect()) == sorted((c, y, i) for c, n in ((1, 3), (2, 1), (-1, 2)) for y in range(2) for i in range(n))
