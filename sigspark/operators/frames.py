@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import ratio
@@ -168,13 +171,66 @@ def synchrony(peaks: DataFrame, keys: list[str], f: str) -> DataFrame:
     return g.withColumn("sync", 1.0 / (1.0 + ratio("sd_f", "mean_f")))
 
 
+#: Numbers that a block of frames holds, and rows of one result batch.
+_BLOCK_CELLS, _OUT = 1 << 18, 1 << 17
+
+
+def _gathered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and five arrays of the same order: idx, y, px, the value (0 where it is null), and whether it is null."""
+    kept = rows.select(*by, *[F.col(c).cast("long").alias(f"_{c}") for c in ("idx", "y", "px")], F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("_x"), F.col("x").isNull().alias("_none"))
+    return kept.groupBy(*by).agg(*[F.collect_list(c).alias(c) for c in ("_idx", "_y", "_px", "_x", "_none")])
+
+
+def _arrays(batch: pa.RecordBatch, row: int, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [batch.column(n)[row].values.to_numpy(zero_copy_only=False) for n in names]
+
+
+def _dense(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
+    """Of each block its frames and, frame by pixel, the values, whether there is a pixel, and whether it has a value."""
+    y, px = (np.concatenate([a[n], b[n]]) for n in (1, 2))
+    code = (y - y.min()) * (px.max() - px.min() + 1) + px - px.min()
+    wide = int(code.max()) + 1
+    if wide > 4 * len(code):  # few pixels far apart
+        kinds, code = np.unique(code, return_inverse=True)
+        wide = len(kinds)
+    out = []
+    for v, at in ((a, code[: len(a[0])]), (b, code[len(a[0]) :])):
+        kinds, row = np.unique(v[0], return_inverse=True)
+        values, has, some = (np.zeros((len(kinds), wide)) for _ in range(3))
+        values[row, at], has[row, at], some[row, at] = v[3], 1.0, ~v[4].astype(bool)
+        out.append((kinds, values, has, some))
+    return out
+
+
+def _gram_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("_idx", "_y", "_px", "_x", "_none")
+    for batch in batches:
+        for r in range(batch.num_rows):
+            (i, x, x_has, x_some), (j, y, y_has, y_some) = _dense(_arrays(batch, r, names), _arrays(batch, r, tuple(f"{n}2" for n in names)))
+            step, same = max(1, _OUT // len(j)), x_has.all() and y_has.all()
+            for part in (slice(first, first + step) for first in range(0, len(i), step)):
+                wanted = i[part, None] <= j
+                a, b = np.nonzero(wanted if same else wanted & (x_has[part] @ y_has.T > 0))
+                none = None if x_some.all() and y_some.all() else (x_some[part] @ y_some.T == 0)[a, b]
+                clip = batch.column("clip").take(pa.array(np.full(len(a), r)))
+                yield pa.RecordBatch.from_arrays([clip, pa.array(i[part][a]), pa.array(j[b]), pa.array((x[part] @ y.T)[a, b], mask=none)], ["clip", "i", "j", "g"])
+
+
 def snapshots_gram(frames: DataFrame) -> DataFrame:
-    """clip, i, j, g: products of centred frames; its small eigenproblem gives the modes. One row per pixel and clip holds the
-    pixel's short series, so frames are never joined with frames."""
-    s = pixel_series(frames).withColumn("x", F.col("x") - F.avg("x").over(W.partitionBy("clip", "y", "px")))
-    rows = s.groupBy("clip", "y", "px").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("_v"))
-    left = rows.select("clip", "_v", F.explode("_v").alias("_a")).select("clip", "_a", F.explode("_v").alias("_b")).filter("_a.idx <= _b.idx")
-    return left.groupBy("clip", F.col("_a.idx").alias("i"), F.col("_b.idx").alias("j")).agg(F.sum(F.col("_a.x") * F.col("_b.x")).alias("g"))
+    """clip, i, j, g: products of centred frames (i <= j); its small eigenproblem gives the modes. The result has a row for every
+    two frames of a clip. Frames stand in blocks of ``_BLOCK_CELLS`` numbers, and a pair of blocks is a key of its own: what is
+    shuffled is every block once per other block of its clip, and a task holds two blocks, whatever the number of frames."""
+    means = frames.groupBy(*PIXEL).agg(F.avg("v").alias("_mean"))
+    s = on_keys(pixel_series(frames), means, PIXEL).withColumn("x", F.col("x") - F.col("_mean"))
+    per = frames.groupBy("clip").agg(F.count("*").alias("_all"), (F.count_distinct("frame") + F.max(F.col("frame").isNull().cast("long"))).alias("_frames"))
+    size = F.greatest(F.lit(1), F.floor(_BLOCK_CELLS * F.col("_frames") / F.col("_all"))).cast("long")
+    sizes = per.select("clip", size.alias("_size"), F.floor((F.col("_frames") - 1) / size).cast("long").alias("_last"))
+    blocks = _gathered(on_keys(s, sizes, ["clip"]).withColumn("_block", F.floor(F.col("idx") / F.col("_size")).cast("long")), ["clip", "_block", "_last"])
+    names = ["_idx", "_y", "_px", "_x", "_none"]
+    left = blocks.select("clip", F.col("_block").alias("_i"), F.explode(F.sequence("_block", "_last")).alias("_j"), *names)
+    right = blocks.select("clip", F.explode(F.sequence(F.lit(0).cast("long"), "_block")).alias("_i"), F.col("_block").alias("_j"), *[F.col(n).alias(f"{n}2") for n in names])
+    pairs = on_keys(left, right, ["clip", "_i", "_j"]).select("clip", *names, *[f"{n}2" for n in names])
+    return pairs.mapInArrow(_gram_of_blocks, f"clip {dict(frames.dtypes)['clip']}, i long, j long, g double")
 
 
 def block_motion(frames: DataFrame, block: int, reach: int, stride: int = 1) -> DataFrame:

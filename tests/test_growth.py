@@ -117,3 +117,30 @@ def test_pixels_are_numbered_by_frame(spark):
     rows = [(c, f, y, 0, 1.0) for c, frames in ((1, (7, 3, 9)), (2, (5,)), (None, (2, 1))) for f in frames for y in range(2)]
     s = fr.pixel_series(spark.createDataFrame(rows, "clip long, frame long, y long, px long, v double"))
     assert sorted((-1 if r.clip is None else r.clip, r.y, r.idx) for r in s.collect()) == sorted((c, y, i) for c, n in ((1, 3), (2, 1), (-1, 2)) for y in range(2) for i in range(n))
+
+
+def pictures(spark, rng, clips, size, drop=0.0):
+    """Frames of small pictures, some pixels missing and some null."""
+    rows = [(c, 3 * f + 1, y, x, None if drop and rng.random() < drop else float(np.float32(rng.integers(0, 4) / 4 + 0.1 * c))) for c, n in clips.items() for f in range(n) for y in range(size) for x in range(size) if not drop or rng.random() > drop]
+    return spark.createDataFrame(rows, "clip long, frame long, y long, px long, v double"), pd.DataFrame(rows, columns=["clip", "frame", "y", "px", "v"])
+
+
+@pytest.mark.parametrize("cells, drop", [(1 << 18, 0.0), (64, 0.0), (64, 0.3)])
+def test_gram_does_not_depend_on_the_blocks(spark, monkeypatch, cells, drop):
+    monkeypatch.setattr(fr, "_BLOCK_CELLS", cells)
+    frames, rows = pictures(spark, np.random.default_rng(8), {0: 21, 5: 1, 9: 7}, 4, drop)
+    rows["i"] = rows.groupby("clip")["frame"].rank("dense").astype(int) - 1
+    rows["v"] -= rows.groupby(["clip", "y", "px"])["v"].transform("mean")
+    both = rows.merge(rows, on=["clip", "y", "px"]).query("i_x <= i_y")
+    both["g"] = both["v_x"] * both["v_y"]
+    expected = both.groupby(["clip", "i_x", "i_y"])["g"].agg(lambda v: v.sum(min_count=1))
+    found = fr.snapshots_gram(frames).toPandas().set_index(["clip", "i", "j"])["g"].sort_index()
+    assert list(found.index) == list(expected.index)
+    assert np.allclose(found, expected, atol=1e-12, equal_nan=True)
+
+
+def test_gram_makes_no_row_for_every_pixel_of_two_frames(spark):
+    """Rows that are exploded are blocks; products of two frames are made where they are added up."""
+    frames, _ = pictures(spark, np.random.default_rng(8), {0: 5}, 4)
+    plan = plan_of(fr.snapshots_gram(frames), "optimizedPlan")
+    assert "explode(_v#" not in plan and plan.count("mapinarrow") == 1
