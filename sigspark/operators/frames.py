@@ -171,8 +171,8 @@ def synchrony(peaks: DataFrame, keys: list[str], f: str) -> DataFrame:
     return g.withColumn("sync", 1.0 / (1.0 + ratio("sd_f", "mean_f")))
 
 
-#: Numbers that a block of frames holds, and rows of one result batch.
-_BLOCK_CELLS, _OUT = 1 << 18, 1 << 17
+#: Numbers that a block of frames holds, frames that one task searches for motion at a time, and rows of one result batch.
+_BLOCK_CELLS, _MOTION_FRAMES, _OUT = 1 << 18, 64, 1 << 17
 
 
 def _gathered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -233,42 +233,94 @@ def snapshots_gram(frames: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_gram_of_blocks, f"clip {dict(frames.dtypes)['clip']}, i long, j long, g double")
 
 
+def _best_shifts(idx: np.ndarray, y: np.ndarray, px: np.ndarray, x: np.ndarray, none: np.ndarray, own: range, block: int, reach: int, strides: tuple[int, ...]) -> Iterator[tuple]:
+    """stride and arrays idx, by, bx, dy, dx of the frames ``own`` among those given: pictures as one dense array."""
+    times, t = np.unique(idx, return_inverse=True)
+    top, left = y.min() // block, px.min() // block
+    high, wide = (int(v.max() // block - a + 1) * block for v, a in ((y, top), (px, left)))
+    value, has, some = np.zeros((len(times), high, wide)), np.zeros((len(times), high, wide), bool), np.zeros((len(times), high, wide), bool)
+    at = t, y - top * block, px - left * block
+    value[at], has[at], some[at] = x, True, ~none.astype(bool)
+
+    def blocks(v: np.ndarray) -> np.ndarray:
+        return v.reshape(len(v), high // block, block, wide // block, block).sum((2, 4))
+
+    shifts = sorted(((a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)), key=lambda d: (abs(d[0]) + abs(d[1]), *d))
+    for stride in strides:
+        now = np.flatnonzero((times >= own.start) & (times < own.stop) & np.isin(times - stride, times))
+        then = np.searchsorted(times, times[now] - stride)
+        shape = len(now), high // block, wide // block
+        best, which, any_ = np.full(shape, np.inf), np.zeros(shape, np.int64), np.zeros(shape, bool)
+        for n, (dy, dx) in enumerate(shifts):
+            to, of = ((slice(max(0, d), size + min(0, d)) for d, size in ((s * dy, high), (s * dx, wide))) for s in (1, -1))
+            (ty, tx), (fy, fx) = to, of
+            if ty.start >= ty.stop or tx.start >= tx.stop:
+                continue
+            pairs, known, apart = np.zeros((len(now), high, wide), bool), np.zeros((len(now), high, wide), bool), np.zeros((len(now), high, wide))
+            pairs[:, ty, tx] = has[now][:, ty, tx] & has[then][:, fy, fx]
+            known[:, ty, tx] = some[now][:, ty, tx] & some[then][:, fy, fx]
+            apart[:, ty, tx] = np.abs(value[now][:, ty, tx] - value[then][:, fy, fx])
+            n_known = blocks(known)
+            sad = np.round(blocks(np.where(known, apart, 0.0)) / np.maximum(n_known, 1), 9)
+            # In order: nothing known, numbers, NaN. Of equal ones the first stays, and shifts come in their order.
+            rank = np.where(n_known == 0, -1.0, np.where(np.isnan(sad), np.finfo(float).max, sad))
+            better = (blocks(pairs) == block * block) & (~any_ | (rank < best))
+            best[better], which[better] = rank[better], n
+            any_ |= better
+        f, by, bx = np.nonzero(any_)
+        moved = np.array(shifts)[which[f, by, bx]].reshape(-1, 2)
+        yield stride, times[now][f], by + top, bx + left, moved[:, 0], moved[:, 1]
+
+
+def _motion(frames: DataFrame, block: int, reach: int, strides: tuple[int, ...], stretch: int = _MOTION_FRAMES) -> DataFrame:
+    """clip, stride, idx, by, bx, dy, dx. A stretch of a clip's frames and the frames that its strides reach back to, are gathered
+    in one row, and all strides and displacements are tried on it: pixels are shuffled once, not once for each of these."""
+    kind, back = dict(frames.dtypes)["clip"], max(strides)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                idx, y, px, x, none = _arrays(batch, r, ("_idx", "_y", "_px", "_x", "_none"))
+                first = batch.column("_chunk")[r].as_py() * stretch
+                for stride, *found in _best_shifts(idx, y, px, x, none, range(first, first + stretch), block, reach, strides):
+                    n = len(found[0])
+                    clip = batch.column("clip").take(pa.array(np.full(n, r)))
+                    yield pa.RecordBatch.from_arrays([clip, pa.array(np.full(n, stride, np.int64)), *(pa.array(c.astype(np.int64)) for c in found)], ["clip", "stride", "idx", "by", "bx", "dy", "dx"])
+
+    s = pixel_series(frames)
+    chunks = F.sequence(F.floor(F.col("idx") / stretch).cast("long"), F.floor((F.col("idx") + back) / stretch).cast("long"))
+    placed = s.withColumn("_chunk", F.explode(chunks))
+    return _gathered(placed, ["clip", "_chunk"]).mapInArrow(run, f"clip {kind}, stride long, idx long, by long, bx long, dy long, dx long")
+
+
 def block_motion(frames: DataFrame, block: int, reach: int, stride: int = 1) -> DataFrame:
     """clip, idx, by, bx, dy, dx: the displacement of least absolute difference from the frame ``stride`` before.
 
-    Equal sums go to the smaller displacement. Candidates are a small table of shifts, joined by the pixel they point to.
+    Equal sums go to the smaller displacement. Only blocks with all their pixels, all of which point to a pixel, are compared.
     """
-    s = pixel_series(frames).select("clip", "idx", "y", "px", "x")
-    shifts = [F.struct(F.lit(a).cast("long").alias("dy"), F.lit(b).cast("long").alias("dx")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    now = s.select("clip", "idx", F.floor(F.col("y") / block).cast("long").alias("by"), F.floor(F.col("px") / block).cast("long").alias("bx"), "y", "px", "x", F.explode(F.array(*shifts)).alias("_d"))
-    then = s.select("clip", (F.col("idx") + stride).alias("idx"), F.col("y").alias("_y"), F.col("px").alias("_x"), F.col("x").alias("_v"))
-    pairs = now.select("clip", "idx", "by", "bx", "x", "_d", (F.col("y") - F.col("_d.dy")).alias("_y"), (F.col("px") - F.col("_d.dx")).alias("_x")).join(then, ["clip", "idx", "_y", "_x"])
-    sad = pairs.groupBy("clip", "idx", "by", "bx", "_d").agg(F.avg(F.abs(F.col("x") - F.col("_v"))).alias("_sad"), F.count("*").alias("_n")).filter(F.col("_n") == block * block)
-    size = F.abs("_d.dy") + F.abs("_d.dx")
-    best = sad.groupBy("clip", "idx", "by", "bx").agg(F.min_by("_d", F.struct(F.round("_sad", 9), size, F.col("_d.dy"), F.col("_d.dx"))).alias("_b"))
-    return best.select("clip", "idx", "by", "bx", F.col("_b.dy").alias("dy"), F.col("_b.dx").alias("dx"))
-
-
-def motion_summary(motion: DataFrame, keys: tuple[str, ...] = ("clip", "idx"), directions: int = 8) -> DataFrame:
+    return _motion(frames, block, reach, (stride,)).drop("stride")
+
+
+def motion_summary(motion: DataFrame, keys: tuple[str, ...] = ("clip", "idx"), directions: int = 8, more: tuple[Column, ...] = ()) -> DataFrame:
     """Size (mean, 95th percentile), mean direction, divergence and curl of the displacement field of every frame, and the
-    entropy of the directions of the blocks that move, 0 to 1."""
-    across, down = W.partitionBy(*keys, "by").orderBy("bx"), W.partitionBy(*keys, "bx").orderBy("by")
-    m = motion.withColumns({"_m": F.hypot(F.col("dx").cast("double"), F.col("dy").cast("double")), "_ux": F.lead("dx").over(across) - F.col("dx"), "_vx": F.lead("dy").over(across) - F.col("dy"), "_uy": F.lead("dx").over(down) - F.col("dx"), "_vy": F.lead("dy").over(down) - F.col("dy")})
-    moving = motion.filter("dx <> 0 OR dy <> 0").withColumn("_d", F.pmod(F.floor(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")) / (2 * math.pi / directions) + 0.5), F.lit(directions)))
-    share = moving.groupBy(*keys, "_d").agg(F.count("*").alias("_n")).withColumn("_q", F.col("_n") / F.sum("_n").over(W.partitionBy(*keys)))
-    entropy = share.groupBy(*keys).agg((-F.sum(F.col("_q") * F.log2("_q")) / math.log2(directions) + 0.0).alias("direction_entropy"))
-    g = m.groupBy(*keys).agg(F.avg("_m").alias("mean"), F.percentile("_m", 0.95).alias("p95"), F.avg("dx").alias("u"), F.avg("dy").alias("v"), F.avg(F.coalesce("_ux", F.lit(0)) + F.coalesce("_vy", F.lit(0))).alias("divergence"), F.avg(F.coalesce("_vx", F.lit(0)) - F.coalesce("_uy", F.lit(0))).alias("curl"))
-    return g.join(entropy, list(keys), "left").withColumn("direction_entropy", F.coalesce("direction_entropy", F.lit(0.0)))
+    entropy of the directions of the blocks that move, 0 to 1; then the aggregates ``more``. A frame's blocks are dealt out once."""
+
+    def ahead(c: str, line: str, place: str) -> Column:
+        w = W.partitionBy(*keys).orderBy(line, place)
+        return F.when(F.lead(line).over(w) == F.col(line), F.lead(c).over(w)) - F.col(c)
+
+    turn = F.pmod(F.floor(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")) / (2 * math.pi / directions) + 0.5), F.lit(directions))
+    m = motion.withColumns({"_m": F.hypot(F.col("dx").cast("double"), F.col("dy").cast("double")), "_d": F.when((F.col("dx") != 0) | (F.col("dy") != 0), turn), "_ux": ahead("dx", "by", "bx"), "_vx": ahead("dy", "by", "bx"), "_uy": ahead("dx", "bx", "by"), "_vy": ahead("dy", "bx", "by")})
+    shares = [ratio(F.count_if(F.col("_d") == d), F.count("_d")) for d in range(directions)]
+    entropy = -reduce(lambda a, b: a + b, [F.when(q > 0, q * F.log2(q)).otherwise(0.0) for q in shares]) / math.log2(directions) + 0.0
+    return m.groupBy(*keys).agg(F.avg("_m").alias("mean"), F.percentile("_m", 0.95).alias("p95"), F.avg("dx").alias("u"), F.avg("dy").alias("v"), F.avg(F.coalesce("_ux", F.lit(0)) + F.coalesce("_vy", F.lit(0))).alias("divergence"), F.avg(F.coalesce("_vx", F.lit(0)) - F.coalesce("_uy", F.lit(0))).alias("curl"), entropy.alias("direction_entropy"), *more)
 
 
 def motion_at_strides(frames: DataFrame, block: int, reach: int, strides: tuple[int, ...] = (1, 3, 9)) -> DataFrame:
     """The summary at several strides, and the shares of blocks that move at all and that move by at least ``reach``."""
-    parts = [block_motion(frames, block, reach, s).withColumn("stride", F.lit(s).cast("long")) for s in strides]
-    motion = reduce(DataFrame.unionByName, parts)
-    keys = ("clip", "stride", "idx")
     size = F.greatest(F.abs("dx"), F.abs("dy"))
-    split = motion.groupBy(*keys).agg(F.avg(((size > 0) & (size < reach)).cast("int")).alias("small"), F.avg((size >= reach).cast("int")).alias("large"))
-    return motion_summary(motion, keys).join(split, list(keys))
+    shares = F.avg(((size > 0) & (size < reach)).cast("int")).alias("small"), F.avg((size >= reach).cast("int")).alias("large")
+    return motion_summary(_motion(frames, block, reach, strides), ("clip", "stride", "idx"), more=shares)
 
 
 def pixel_complexity(frames: DataFrame, scales: list[int], least: int = 32, eps: float = 1e-9) -> DataFrame:

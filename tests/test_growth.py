@@ -144,3 +144,37 @@ def test_gram_makes_no_row_for_every_pixel_of_two_frames(spark):
     frames, _ = pictures(spark, np.random.default_rng(8), {0: 5}, 4)
     plan = plan_of(fr.snapshots_gram(frames), "optimizedPlan")
     assert "explode(_v#" not in plan and plan.count("mapinarrow") == 1
+
+
+@pytest.mark.parametrize("drop", [0.0, 0.03])
+def test_motion_equals_a_search_of_every_block(spark, drop):
+    """Ties, missing pixels and nulls, over the borders of stretches of frames."""
+    frames, rows = pictures(spark, np.random.default_rng(2), {2: 14, 3: 2}, 6, drop)
+    rows["i"] = rows.groupby("clip")["frame"].rank("dense").astype(int) - 1
+    at = {(r.clip, r.i, r.y, r.px): r.v for r in rows.itertuples()}
+    expected = set()
+    for clip, n in ((2, 14), (3, 2)):
+        for stride in (1, 3, 9):
+            for i in range(stride, n):
+                for by in range(3):
+                    for bx in range(3):
+                        tried = []
+                        for dy in range(-2, 3):
+                            for dx in range(-2, 3):
+                                met = [(at[a], at[b]) for y in (2 * by, 2 * by + 1) for x in (2 * bx, 2 * bx + 1) if (a := (clip, i, y, x)) in at and (b := (clip, i - stride, y - dy, x - dx)) in at]
+                                if len(met) == 4:
+                                    d = [abs(p - q) for p, q in met if p == p and q == q]
+                                    tried.append((round(sum(d) / len(d), 9) if d else -1.0, abs(dy) + abs(dx), dy, dx))
+                        if tried:
+                            expected.add((clip, stride, i, by, bx, *min(tried)[2:]))
+    found = fr._motion(frames, 2, 2, (1, 3, 9), 4)
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected)
+    one = fr.block_motion(frames, 2, 2, 3)
+    assert {tuple(r) for r in one.collect()} == {(c, *rest) for c, s, *rest in expected if s == 3}
+
+
+def test_motion_copies_no_pixel_for_a_displacement(spark):
+    frames, _ = pictures(spark, np.random.default_rng(2), {2: 4}, 4)
+    plan = plan_of(fr.motion_at_strides(frames, 2, 2), "optimizedPlan")
+    assert plan.count("generate explode(") == plan.count("mapinarrow run") == 1  # stretches of frames
+    assert "explode(array(" not in plan and "explode([" not in plan
