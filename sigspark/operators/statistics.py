@@ -72,7 +72,8 @@ def bh_fdr(df: DataFrame, p: str = "p", keys: list[str] | None = None, out: str
     valid = F.when(~F.isnan(p), F.col(p))
     w = W.partitionBy(*keys).orderBy(F.col("_p").asc_nulls_last())
     d = df.withColumn("_p", valid).withColumns({"_m": F.count("_p").over(whole(keys)), "_k": F.row_number().over(w)})
-    q = F.min(F.col("_p") * F.col("_m") / F.col("_k")).over(w.rowsBetween(0, W.unboundedFollowing))
+    back = W.partitionBy(*keys).orderBy(F.col("_p").desc_nulls_first(), F.desc("_k"))  # from the last row, as a frame that ends there is read anew for every row
+    q = F.min(F.col("_p") * F.col("_m") / F.col("_k")).over(back.rowsBetween(W.unboundedPreceding, 0))
     return d.withColumn(out, F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), q))).drop("_p", "_m", "_k")
 
 

@@ -20,7 +20,7 @@ def _pvalues(spark, d):
 
 @query(_PV + ", k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p) AS k, count(*) OVER (PARTITION BY fam) AS m FROM pv) SELECT id, fam, p, round(least(1, min(p * m / k) OVER (PARTITION BY fam ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS p_fdr FROM k")
 def stat_bh_fdr(spark, d):
-    return st.bh_fdr(_pvalues(spark, d), "p", ["fam"]).withColumn("p_fdr", F.round("p_fdr", 9))
+    return st.bh_fdr(_pvalues(spark, d), "p", ["fam"], spread=True).withColumn("p_fdr", F.round("p_fdr", 9))
 
 
 @query(_PV + ", k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p) AS k, count(*) OVER (PARTITION BY fam) AS m FROM pv) SELECT id, fam, p, round(least(1, max(p * (m - k + 1)) OVER (PARTITION BY fam ORDER BY p ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM k")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import bundles as bd, cardiac as cd, components as co, frames as fr, series as op
+from sigspark.operators import bundles as bd, cardiac as cd, components as co, frames as fr, series as op, statistics as st
 from sigspark.plans.all import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -178,3 +178,20 @@ def test_motion_copies_no_pixel_for_a_displacement(spark):
     plan = plan_of(fr.motion_at_strides(frames, 2, 2), "optimizedPlan")
     assert plan.count("generate explode(") == plan.count("mapinarrow run") == 1  # stretches of frames
     assert "explode(array(" not in plan and "explode([" not in plan
+
+
+def test_families_are_ranked_by_many_tasks_and_without_open_frames(spark):
+    rng = np.random.default_rng(4)
+    p = np.r_[rng.integers(0, 30, 200) / 30, np.nan, np.nan]
+    df = spark.createDataFrame([(int(i % 2), i, None if v != v else float(v)) for i, v in enumerate(p)], "fam long, id long, p double")
+    found = [st.bh_fdr(df, "p", ["fam"], spread=spread) for spread in (False, True)]
+    assert open_frames(found[0]) == 0
+    got = [f.orderBy("id").toPandas()["p_fdr"].to_numpy(float) for f in found]
+    assert np.allclose(got[0], got[1], rtol=1e-12, equal_nan=True)
+    for fam in (0, 1):
+        own = p[fam:200:2]
+        by = np.argsort(own)
+        q = np.minimum.accumulate((own[by] * len(own) / np.arange(1, len(own) + 1))[::-1])[::-1]
+        assert np.allclose(got[0][fam:200:2][by], np.minimum(q, 1))
+    plan = plan_of(QUERIES["stat_bh_fdr"](spark, SF), "optimizedPlan")
+    assert all("_c#" in w.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0] for w in plan.split("window [")[1:])
