@@ -9,13 +9,17 @@ times their stretch, whatever the number of samples; equal values are counted as
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from . import kernels as kn, surrogates as su
+from ..functions.scalar import ratio
+from . import kernels as kn
 from .series import exploded_windows, filled
 
 #: Distances that one step holds.
 CELLS = 1 << 21
+#: Samples up to which all distances of a window are found at once.
+SHORT = 128
 
 
 def kth_distance(columns: tuple[np.ndarray, ...], k: int) -> np.ndarray:
@@ -131,10 +135,60 @@ def windowed_information(pairs: DataFrame, width: int, step: int, fs: float, key
     return found.withColumn("time_centre", (F.col("w") * step + width / 2) / fs)
 
 
+def _many(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """``mutual_information`` of every row of two matrices of finite values: short rows, so all distances of a slice of rows at once."""
+    rows, n = x.shape
+    out, of = np.empty(rows), np.r_[np.nan, kn.digamma(np.arange(1, n + 1))]
+    own = np.arange(n)
+    for first in range(0, rows, max(1, CELLS // (4 * n * n))):
+        part = slice(first, first + max(1, CELLS // (4 * n * n)))
+        u, v = (np.stack([kn.scaled(r) for r in m[part]]) for m in (x, y))
+        du, dv = (np.abs(m[:, :, None] - m[:, None, :]) for m in (u, v))
+        du[:, own, own] = dv[:, own, own] = np.inf
+        radius = np.partition(np.maximum(du, dv), k - 1, axis=2)[:, :, k - 1 : k]
+        nx, ny = (du < radius).sum(2), (dv < radius).sum(2)
+        out[part] = np.maximum(0.0, of[k] + of[n] - (of[nx + 1] + of[ny + 1]).mean(1))
+    return out
+
+
+def _tested_rows(surrogates: int, keys: list[str], k: int):
+    """For every gathered window the information of its pair and of each surrogate (null with too few points), in one list."""
+    n = surrogates + 1
+
+    @F.pandas_udf("array<double>")
+    def run(xs: pd.Series, ys: pd.Series, names: pd.Series) -> pd.Series:
+        found = np.full((len(xs), n), np.nan)
+        whole: dict[int, tuple[list, list, list]] = {}
+        for r, (x, y, name) in enumerate(zip(xs, ys, names)):
+            x, y = np.array(x, float), np.array(y, float)
+            moved = [y, *(kn.phase_shuffled(y, kn.seeded(*name, s)) for s in range(1, n))]
+            if k + 1 < len(x) <= SHORT and np.isfinite(x).all() and np.isfinite(y).all():
+                at, left, right = whole.setdefault(len(x), ([], [], []))
+                at.append(r), left.append(x), right.append(moved)
+            else:
+                found[r] = [np.nan if (v := mutual_information(x, m, k)["mi_knn"]) is None else v for m in moved]
+        for at, left, right in whole.values():
+            right = np.array(right)
+            found[at] = _many(np.repeat(np.array(left), n, axis=0), right.reshape(-1, right.shape[2]), k).reshape(-1, n)
+        return pd.Series([[None if v != v else float(v) for v in row] for row in found])
+
+    return run
+
+
 def effective_information(pairs: DataFrame, surrogates: int, keys: list[str], k: int = 3) -> DataFrame:
     """keys, observed, null_mean, null_std, effective (observed less the mean of phase-shuffled surrogates), p, z. With a
-    window among the keys this is the windowed form."""
-    moved = kn.phase_surrogates(pairs, surrogates, keys)
-    values = kn.per_group(moved, [*keys, "surrogate"], ["x", "y"], lambda x, y: mutual_information(x, y, k), "mi_knn double")
-    tested = su.surrogate_test(values.select(*keys, "surrogate", F.round("mi_knn", 9).alias("value")), keys)
-    return tested.select(*keys, "observed", "null_mean", "null_std", (F.col("observed") - F.col("null_mean")).alias("effective"), "p", "z")
+    window among the keys this is the windowed form. A pair is gathered once; its surrogates are drawn and tested where it stands,
+    and are never rows."""
+    values = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
+    rows = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", *values))).alias("_v"))
+    names = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys])
+    found = rows.select(*keys, _tested_rows(surrogates, keys, k)(F.col("_v.x"), F.col("_v.y"), names).alias("_f"))
+    found = found.select(*keys, F.transform("_f", lambda v: F.round(v, 9)).alias("_f")).select(*keys, F.col("_f")[0].alias("observed"), F.filter(F.slice("_f", 2, max(surrogates, 1)), lambda v: v.isNotNull()).alias("_null"))
+    size = F.size("_null").cast("double")
+    mean = ratio(F.aggregate("_null", F.lit(0.0), lambda a, v: a + v), size)
+    found = found.withColumn("null_mean", mean)
+    spread = F.sqrt(ratio(F.aggregate("_null", F.lit(0.0), lambda a, v: a + (v - F.col("null_mean")) * (v - F.col("null_mean"))), size))
+    beyond = F.size(F.filter("_null", lambda v: v >= F.col("observed")))
+    tested = found.withColumns({"null_std": spread, "p": (beyond + 1) / (F.size("_null") + 1)})
+    gap = F.col("observed") - F.col("null_mean")
+    return tested.select(*keys, "observed", "null_mean", "null_std", gap.alias("effective"), "p", ratio(gap, "null_std").alias("z"))

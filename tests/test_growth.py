@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import bundles as bd, cardiac as cd, components as co, frames as fr, series as op, statistics as st
+from sigspark.operators import bundles as bd, cardiac as cd, components as co, frames as fr, kernels as kn, neighbours as nn, series as op, statistics as st, surrogates as su
 from sigspark.plans.all import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -195,3 +195,25 @@ def test_families_are_ranked_by_many_tasks_and_without_open_frames(spark):
         assert np.allclose(got[0][fam:200:2][by], np.minimum(q, 1))
     plan = plan_of(QUERIES["stat_bh_fdr"](spark, SF), "optimizedPlan")
     assert all("_c#" in w.split("windowspecdefinition(")[1].split("specifiedwindowframe")[0] for w in plan.split("window [")[1:])
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_all_distances_at_once_equal_the_growing_stretch(k):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(30, 32)), rng.normal(size=(30, 32))
+    x[5:10], y[5:15] = rng.integers(0, 4, (5, 32)), rng.integers(0, 3, (10, 32))  # ties
+    y[20] = 1.0
+    assert np.allclose(nn._many(x, y, k), [nn.mutual_information(a, b, k)["mi_knn"] for a, b in zip(x, y)], rtol=1e-12, atol=1e-12)
+
+
+def test_effective_information_equals_rows_of_surrogates(spark):
+    rng = np.random.default_rng(7)
+    rows = [(p, i, None if (p, i) == (1, 4) or p == 3 else float(rng.normal()), float(rng.normal())) for p, n in ((0, 32), (1, 32), (2, 3), (3, 8), (4, 150)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair_id long, idx long, x double, y double")
+    found = nn.effective_information(df, 9, ["pair_id"])
+    assert plan_of(found, "optimizedPlan").count("generate") == 0
+    values = kn.per_group(kn.phase_surrogates(df, 9, ["pair_id"]), ["pair_id", "surrogate"], ["x", "y"], lambda a, b: nn.mutual_information(a, b, 3), "mi_knn double")
+    old = su.surrogate_test(values.select("pair_id", "surrogate", F.round("mi_knn", 9).alias("value")), ["pair_id"])
+    a, b = (f.orderBy("pair_id").toPandas() for f in (found, old))
+    for c in ("pair_id", "observed", "null_mean", "null_std", "p", "z"):
+        assert np.allclose(a[c].to_numpy(float), b[c].to_numpy(float), rtol=1e-9, atol=1e-9, equal_nan=True), c
